@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality_model
 from .common import table
 from .decontaminate import decontaminate
 from .ngram_join import ngram_join
@@ -45,6 +46,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.where(_fold(5) != 0))
+    out = quality_model.score(docs, model)
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.fit(docs.where(_fold(3) != 1)))
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
@@ -52,6 +70,8 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_packing": op7_packing,
+    "op8_quality_model": op8_quality_model,
+    "op9_language": op9_language,
 }
 
 _W5 = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
