@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language, quality_model
 from .common import table
 from .decontaminate import decontaminate
+from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_rules import quality_rules
@@ -63,6 +64,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
@@ -72,6 +78,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_quality_model": op8_quality_model,
     "op9_language": op9_language,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _W5 = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -127,4 +134,20 @@ it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT row_number() OVER () AS x, r, doc_id, i, ls[i] AS t, list_filter(regexp_split_to_array(translate(ls[i],
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda z: z <> '') AS w
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, r, i) AS pos, array_to_string(w, ' ') AS s, len(w) AS n FROM l),
+u AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min(pos) AS pos FROM o WHERE n >= 5 GROUP BY s),
+v AS (SELECT s, pos, p, array_to_string(w[1 : p - 1] || w[p + 1 :], ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM u WHERE n >= 8)),
+near AS (
+  SELECT s FROM v QUALIFY pos > min(pos) OVER (PARTITION BY v, p)
+  UNION SELECT v.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE u.pos < v.pos
+  UNION SELECT u.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE v.pos < u.pos),
+k AS (SELECT o.*, o.n < 5 OR (o.pos = u.pos AND o.s NOT IN (SELECT s FROM near)) AS stay FROM o LEFT JOIN u USING (s))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (NOT stay) AS n_removed,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (stay), '')) AS text_sha256
+FROM k GROUP BY r""",
 }
