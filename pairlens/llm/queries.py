@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_store import token_store
 from .warc import archive
 
@@ -29,6 +30,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
     "op3_ngram_join": op3_ngram_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_packing": op7_packing,
