@@ -1,4 +1,74 @@
-STAGES = []
+"""A corpus pipeline of five stages, each an operator of ``pairlens.llm``.
+
+Each stage gets what its predecessor kept, written as Parquet and read again,
+and all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlens.llm import language
+from pairlens.llm.common import bounded_broadcast, table, written
+from pairlens.llm.decontaminate import decontaminate
+from pairlens.llm.line_dedup import line_dedup
+from pairlens.llm.ngram_join import ngram_join
+from pairlens.llm.packing import pack
+
+#: A document whose best language has less of the likelihood is rejected.
+LEAST_SCORE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, or of no clear language."""
+    out = language.predict(docs, language.fit(docs), keep_row=True)
+    return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out; a document that has nothing else goes."""
+    out = line_dedup(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[
+        F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in new else F.col(f"row.{c}").alias(c)
+        for c in docs.columns
+    ])
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by five-word shingles at 0.8, that of least id stays."""
+    out = ngram_join(docs, k=5, num=80, den=100)
+    gone = written(out.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(bounded_broadcast(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a window with a benchmark item."""
+    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = written(out.where("contaminated").select("doc_id").distinct(), "gone")
+    return docs.join(bounded_broadcast(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near_copies", near_copy_stage),
+    ("benchmark", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: Language identification is no SQL; the stages are tested one by one.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
