@@ -1,5 +1,494 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's own operators and their SQL.
 
-FLAGSHIP = "char_rate_by_lang"
+The tables at hand have no evaluation reports.  A turn of ``conversations`` and
+the one after it stand for a reference and a candidate's output, the one before
+for a baseline's; conversations are blocks, roles are sets.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+from math import exp, factorial
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import audio, text
+from .functions.distance import char_edits, score, word_count, word_edits
+from .functions.letters import letters_to_latin
+from .functions.numerals import as_column, harmonize, harmonize2, split_attached, to_digits
+from .operators import compare, integrity, overlap, rates, resample, splits, steps
+from .plans import verdicts
+from .streaming.steps import retry_states
+
+FLAGSHIP = "char_rate_by_role"
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, conv_id, role, reference, and the next and the previous turn's text."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    d = _t(spark, sf_dir, "conversations").select("*", F.lead("text").over(w).alias("next"), F.lag("text").over(w).alias("last"))
+    return d.where("next is not null").select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), "conv_id", "turn", "role", F.col("text").alias("reference"), "next", F.coalesce("last", F.lit("")).alias("last"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, conv_id, role, reference, length, edits_a (next), edits_b (last)."""
+    n = text.normalize
+    d = turns(spark, sf_dir).select("*", n("reference").alias("r"), n("next").alias("a"), n("last").alias("b"))
+    return d.where("r <> ''").select(
+        "id", "conv_id", "turn", "role", "reference", F.length("r").cast("long").alias("length"), char_edits("r", "a").alias("edits_a"), char_edits("r", "b").alias("edits_b"))
+
+
+def _norm(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s'']', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _dense(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', '', 'g')"
+
+
+def _bytes(x: str) -> str:
+    # A distance in bytes is one in characters if each has one byte.
+    return f"translate({_norm(x)}, 'ßàáâäçèéêëíîïñóôöùúûüœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+_P = f"""WITH t AS (SELECT *, lead(text) OVER w AS nxt, coalesce(lag(text) OVER w, '') AS prv FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id || '_' || turn AS id, conv_id, turn, role, text AS reference, length({_norm('text')}) AS length,
+  levenshtein({_bytes('text')}, {_bytes('nxt')}) AS edits_a, levenshtein({_bytes('text')}, {_bytes('prv')}) AS edits_b
+  FROM t WHERE nxt IS NOT NULL AND {_norm('text')} <> '')"""
+
+
+def _sums(values: str, where: str = "true", name: str = "", seed: int = 0, samples: int = 1000) -> str:
+    """CTEs of the bootstrap sums of ``values`` over conversations."""
+    cols = [v.strip() for v in values.split(",")]
+    n = name
+    return f"""u{n} AS (SELECT conv_id::VARCHAR AS unit, row_number() OVER (ORDER BY conv_id::VARCHAR) - 1 AS pos, {', '.join(f'sum({c}) AS {c}' for c in cols)} FROM p WHERE {where} GROUP BY conv_id),
+n{n} AS (SELECT count(*) AS n FROM u{n}),
+k{n} AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', {seed}, rep, slot)), 1, 8))::BIGINT % n AS pos FROM n{n}, range(n) s(slot), range({samples}) r(rep)),
+s{n} AS (SELECT rep, {', '.join(f'sum({c}) AS {c}' for c in cols)} FROM k{n} JOIN u{n} USING (pos) GROUP BY rep)"""
+
+
+_ENDS = "SELECT round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high FROM {t}"
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS key FROM documents")
+def normalize_ws(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalize("text").alias("key"))
+
+
+@query(f"SELECT doc_id, {_dense('text')} AS key FROM documents")
+def normalize_compact(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalize("text", "ko").alias("key"))
+
+
+@query(f"SELECT doc_id, sha256({_norm('text')}) AS hash FROM documents")
+def sentence_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.sentence_hash(text.sentence_key("text", "en")).alias("hash"))
+
+
+@query(f"{_P} SELECT id, length, edits_a AS edits FROM p")
+def char_edits_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id", "length", F.col("edits_a").alias("edits"))
+
+
+@query()
+def word_edits_pairs(spark, sf_dir):
+    d = turns(spark, sf_dir)
+    return d.select("id", word_edits("reference", "next").alias("edits"), word_count("reference").alias("length"))
+
+
+@query()
+def score_words(spark, sf_dir):
+    d = turns(spark, sf_dir).withColumnRenamed("next", "hypothesis")
+    return rates.error_rate(score(d), "role")
+
+
+@query(f"{_P} SELECT role, count(*) AS rows, sum(edits_a) AS edits, sum(length) AS length, sum(edits_a) / sum(length) AS rate FROM p GROUP BY role")
+def char_rate_by_role(spark, sf_dir):
+    return rates.error_rate(pairs(spark, sf_dir), "role", edits="edits_a").withColumnRenamed("edits_a", "edits")
+
+
+@query(f"{_P} SELECT conv_id, count(*) AS rows, sum(edits_a) AS edits, sum(length) AS length, sum(edits_a) / sum(length) AS rate FROM p GROUP BY conv_id")
+def char_rate_by_block(spark, sf_dir):
+    return rates.error_rate(pairs(spark, sf_dir), "conv_id", edits="edits_a")
+
+
+@query("SELECT l_returnflag, count(*) AS rows, sum(l_linenumber) AS edits, sum(l_suppkey) AS length, sum(l_linenumber) / sum(l_suppkey) AS rate FROM lineitem GROUP BY 1")
+def rate_on_lineitem(spark, sf_dir):
+    return rates.error_rate(_t(spark, sf_dir, "lineitem"), "l_returnflag", edits="l_linenumber", length="l_suppkey")
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '[0-9]') AS has_digit FROM documents WHERE length({_norm('text')}) > 0")
+def digit_flag(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where(F.length(text.normalize("text")) > 0)
+    return d.select("doc_id", text.has_digit("text").alias("has_digit"))
+
+
+_CMP = """count(*) AS utterances, sum(edits_b) / sum(length) AS baseline, sum(edits_a) / sum(length) AS candidate,
+round(sum(edits_a) / sum(length) - sum(edits_b) / sum(length), 9) AS delta, round((sum(edits_a) / sum(length) - sum(edits_b) / sum(length)) / (sum(edits_b) / sum(length)), 9) AS relative"""
+
+
+@query(f"{_P} SELECT {_CMP} FROM p")
+def paired_compare(spark, sf_dir):
+    return _rounded(compare.compare(pairs(spark, sf_dir)), "delta", "relative")
+
+
+@query(f"{_P} SELECT role, {_CMP} FROM p GROUP BY role")
+def compare_by_set(spark, sf_dir):
+    return _rounded(compare.compare(pairs(spark, sf_dir), "role"), "delta", "relative")
+
+
+@query(f"{_P} SELECT regexp_matches(reference, '[0-9]') AS has_digit, {_CMP} FROM p GROUP BY 1")
+def digit_split(spark, sf_dir):
+    return _rounded(compare.compare(compare.digit_split(pairs(spark, sf_dir)), "has_digit"), "delta", "relative")
+
+
+@query(f"""{_P} SELECT c.id, c.length, c.edits_a, b.edits_b FROM p c JOIN p b USING (id)""")
+def paired_join(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    a = p.select("id", F.col("edits_a").alias("edits"), "length")
+    b = p.select("id", F.col("edits_b").alias("edits"), "length", "reference")
+    return compare.paired(a, b).drop("reference")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def keep_listed(spark, sf_dir):
+    listed = _t(spark, sf_dir, "labels").where("toxic = 1")
+    return splits.route(_t(spark, sf_dir, "documents").select("doc_id", "source"), listed, "doc_id", True)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def drop_listed(spark, sf_dir):
+    listed = _t(spark, sf_dir, "labels").where("toxic = 1")
+    return splits.route(_t(spark, sf_dir, "documents").select("doc_id", "source"), listed, "doc_id", False)
+
+
+@query("SELECT doc_id AS id FROM documents INTERSECT SELECT doc_id FROM labels INTERSECT SELECT page_id FROM pages")
+def k_way_intersection(spark, sf_dir):
+    parts = [_t(spark, sf_dir, t).select(F.col(c).alias("id")) for t, c in (("documents", "doc_id"), ("labels", "doc_id"), ("pages", "page_id"))]
+    return compare.shared_ids(parts)
+
+
+@query(f"{_P}, {_sums('edits_a, length')} " + _ENDS.format(x="edits_a / length", t="s"))
+def rate_ci(spark, sf_dir):
+    return _rounded(resample.interval(pairs(spark, sf_dir), "conv_id", "edits_a"), "low", "high")
+
+
+@query(f"{_P}, {_sums('edits_a, edits_b, length')} " + _ENDS.format(x="edits_a / length - edits_b / length", t="s"))
+def block_ci(spark, sf_dir):
+    return _rounded(resample.difference_interval(pairs(spark, sf_dir), "conv_id"), "low", "high")
+
+
+@query(f"{_P}, {_sums('edits_a, edits_b, length', samples=200).replace('conv_id', 'id')} " + _ENDS.format(x="edits_a / length - edits_b / length", t="s"))
+def paired_ci(spark, sf_dir):
+    return _rounded(resample.difference_interval(pairs(spark, sf_dir), "id", samples=200), "low", "high")
+
+
+_POISSON = " + ".join(f"(u >= {b!r})::INT" for b in accumulate(exp(-1) / factorial(k) for k in range(12)))
+
+
+@query(f"""{_P}, v AS (SELECT rep, edits_a, length, ('0x' || substr(md5(concat_ws(':', 0, rep, id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p, range(200) r(rep)),
+s AS (SELECT rep, sum(edits_a * w) AS edits_a, sum(length * w) AS length FROM (SELECT *, {_POISSON} AS w FROM v) GROUP BY rep) """ + _ENDS.format(x="edits_a / length", t="s"))
+def poisson_ci(spark, sf_dir):
+    return _rounded(resample.interval(pairs(spark, sf_dir), "id", "edits_a", samples=200, mode="poisson"), "low", "high")
+
+
+@query()
+def parity_ci(spark, sf_dir):
+    return resample.difference_interval(pairs(spark, sf_dir), "conv_id", mode="parity")
+
+
+@query(f"""{_P}, b AS (SELECT conv_id, sum(edits_a) a, sum(edits_b) b, sum(length) l FROM p GROUP BY conv_id)
+SELECT conv_id, round((sum(a) OVER () - a - sum(b) OVER () + b) / (sum(l) OVER () - l), 9) AS delta FROM b""")
+def leave_one_out(spark, sf_dir):
+    return _rounded(resample.leave_one_out(pairs(spark, sf_dir), "conv_id"), "delta")
+
+
+@query(f"{_P}, {_sums('edits_a, edits_b, length', "role = 'user'", '1', 0, 300)}, {_sums('edits_a, edits_b, length', "role = 'assistant'", '2', 1, 300)} "
+       + _ENDS.format(x="x.edits_a / x.length - x.edits_b / x.length - (y.edits_a / y.length - y.edits_b / y.length)", t="s1 x JOIN s2 y USING (rep)"))
+def diff_of_diff_ci(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return _rounded(resample.share_interval(p.where("role = 'user'"), p.where("role = 'assistant'"), "conv_id", samples=300), "low", "high")
+
+
+@query("SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY sha256(source), source LIMIT 10")
+def hash_pick_groups(spark, sf_dir):
+    return splits.hash_pick(_t(spark, sf_dir, "documents"), "source", 10)
+
+
+_KEYS = f"k AS (SELECT *, {_norm('text')} AS key FROM documents), h AS (SELECT key FROM (SELECT key, row_number() OVER (ORDER BY sha256(key), key) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT key FROM k)) WHERE r <= (n * 15 + 50) // 100)"
+
+
+def _keyed(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").withColumn("key", text.normalize("text"))
+
+
+@query(f"WITH {_KEYS} SELECT sha256(key) AS hash FROM h")
+def hash_holdout(spark, sf_dir):
+    return splits.hash_share(_keyed(spark, sf_dir), "key", 15).select(text.sentence_hash("key").alias("hash"))
+
+
+@query(f"WITH {_KEYS} SELECT doc_id, source FROM k WHERE key IN (SELECT key FROM h)")
+def holdout_rows(spark, sf_dir):
+    d = _keyed(spark, sf_dir)
+    return splits.route(d, splits.hash_share(d, "key", 15), "key", True).select("doc_id", "source")
+
+
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50")
+def first_n_per_group(spark, sf_dir):
+    return splits.first_n(_t(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 50)
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, length(text) DESC, doc_id DESC LIMIT 20")
+def longest_n(spark, sf_dir):
+    return splits.longest(_t(spark, sf_dir, "documents"), "n_chars", "text", "doc_id", 20).select("doc_id", "n_chars")
+
+
+@query('SELECT doc_id, source, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents')
+def running_offset(spark, sf_dir):
+    return splits.running_offset(_t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "n_chars", "source", "doc_id").drop("n_chars")
+
+
+@query("SELECT conv_id, turn, conv_id::VARCHAR || CASE WHEN r > 1 THEN '#' || r ELSE '' END AS uid FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)")
+def dup_id_suffix(spark, sf_dir):
+    return splits.number_duplicates(_t(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", "uid")
+
+
+@query("SELECT doc_id, position, batch FROM (SELECT doc_id, position, position // 16 AS batch, n FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws(':', 3, doc_id)), doc_id) - 1 AS position, count(*) OVER () AS n FROM documents)) WHERE batch < n // 16")
+def epoch_order(spark, sf_dir):
+    return splits.epoch_order(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 1, 2, 16)
+
+
+def _two(spark, sf_dir):
+    """Documents without and with a label, by key."""
+    d, listed = _keyed(spark, sf_dir).select("doc_id", "key", "source"), _t(spark, sf_dir, "labels")
+    return splits.route(d, listed, "doc_id", False), splits.route(d, listed, "doc_id", True)
+
+
+_TWO = f"""WITH k AS (SELECT doc_id, source, {_norm('text')} AS key FROM documents), tr AS (SELECT * FROM k WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+ev AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM labels)), c AS (SELECT key, count(*) AS n FROM tr GROUP BY key), r AS (SELECT ev.*, coalesce(n, 0) AS train_reads FROM ev LEFT JOIN c USING (key))"""
+
+
+@query(f"{_TWO} SELECT doc_id, train_reads FROM r")
+def train_reads(spark, sf_dir):
+    train, rows = _two(spark, sf_dir)
+    return overlap.read_counts(rows, train, "key").select("doc_id", "train_reads")
+
+
+@query(f"{_TWO} SELECT count(*) AS rows, count(*) FILTER (train_reads > 0) AS rows_in_train, count(DISTINCT CASE WHEN train_reads > 0 THEN key END) AS keys_in_train, max(train_reads) AS most_reads FROM r")
+def overlap_counts(spark, sf_dir):
+    train, rows = _two(spark, sf_dir)
+    return overlap.overlap_summary(rows, train, "key")
+
+
+@query(f"{_TWO} SELECT doc_id FROM r WHERE train_reads = 0")
+def not_in_train(spark, sf_dir):
+    train, rows = _two(spark, sf_dir)
+    return overlap.not_in_train(rows, train, "key").select("doc_id")
+
+
+@query(f"{_TWO} SELECT doc_id FROM r WHERE train_reads > 0")
+def in_train(spark, sf_dir):
+    train, rows = _two(spark, sf_dir)
+    return overlap.in_train(rows, train, "key").select("doc_id")
+
+
+@query(f"SELECT count(*) AS sentences, count(*) FILTER (n > 1) AS repeated_sentences, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS repeated_rows, max(n) AS most_reads FROM (SELECT {_norm('text')} AS key, count(*) AS n FROM documents GROUP BY 1)")
+def within_repeats(spark, sf_dir):
+    return overlap.within(_keyed(spark, sf_dir), "key")
+
+
+@query(f"{_TWO} SELECT source FROM tr INTERSECT SELECT source FROM ev")
+def group_overlap(spark, sf_dir):
+    train, rows = _two(spark, sf_dir)
+    return overlap.group_overlap(train, rows, "source")
+
+
+@query(f"{_TWO} SELECT 'key' AS gate, count(*) AS n FROM r WHERE train_reads > 0 UNION ALL SELECT 'source', count(*) FROM (SELECT source FROM tr INTERSECT SELECT source FROM ev)")
+def leakage_gate(spark, sf_dir):
+    train, rows = _two(spark, sf_dir)
+    return overlap.leakage_gate(train, rows, ["key"], "source")
+
+
+@query("SELECT lang, count(*) AS rows, count(DISTINCT source) FILTER (source <> '') AS groups, round(sum(n_chars) / 16000 / 3600, 2) AS hours FROM documents GROUP BY lang")
+def set_summary(spark, sf_dir):
+    return overlap.set_summary(_t(spark, sf_dir, "documents"), "lang", "source", "n_chars")
+
+
+@query(f"{_P} SELECT id FROM p WHERE edits_a > length")
+def loops_flag(spark, sf_dir):
+    return compare.loops(pairs(spark, sf_dir).withColumnRenamed("edits_a", "edits")).select("id")
+
+
+@query(f"""{_P} SELECT id, turn > 1 AS redecoded, false AS exhausted, nxt <> prv AS changed, nxt <> prv AND NOT turn > 1 AS changed_not_redecoded, nxt <> prv AND NOT edits_b > length AS changed_outside_loops,
+edits_b > length AS loop_before, edits_a > length AS loop_after, trim(nxt) = '' AS empty FROM p JOIN t USING (conv_id, turn)""")
+def change_flags(spark, sf_dir):
+    d = pairs(spark, sf_dir).join(turns(spark, sf_dir).select("id", "next", "last"), "id")
+    before = d.select("id", F.col("last").alias("hypothesis"), F.col("edits_b").alias("edits"), "length")
+    after = d.select("id", F.col("next").alias("hypothesis"), F.col("edits_a").alias("edits"), "length", F.when(F.col("turn") > 1, 0.2).otherwise(0.0).alias("temperature"), F.lit(False).alias("fallback_exhausted"))
+    return compare.change_flags(before, after)
+
+
+@query(f"{_P} SELECT count(*) FILTER (turn > 1) AS redecoded, 0::BIGINT AS exhausted, count(*) FILTER (trim(nxt) = '') AS empty, count(*) FILTER (edits_a > length) AS loops FROM p JOIN t USING (conv_id, turn)")
+def decoding_counts(spark, sf_dir):
+    d = pairs(spark, sf_dir).join(turns(spark, sf_dir).select("id", F.col("next").alias("hypothesis")), "id").withColumnRenamed("edits_a", "edits")
+    return rates.decoding_counts(d.select("*", F.when(F.col("turn") > 1, 0.2).otherwise(0.0).alias("temperature"), F.lit(False).alias("fallback_exhausted")))
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS differ FROM documents")
+def same_rows_gate(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("text").alias("hypothesis"))
+    return compare.same_rows(d, d.withColumn("hypothesis", F.concat("hypothesis", F.lit(""))))
+
+
+@query(f"{_P}, r AS (SELECT conv_id, sum(edits_a) / sum(length) AS rate FROM p GROUP BY conv_id) SELECT conv_id FROM r ORDER BY rate, conv_id LIMIT 1")
+def pick_best(spark, sf_dir):
+    return splits.best_of(rates.error_rate(pairs(spark, sf_dir), "conv_id", edits="edits_a"), "rate", "conv_id", "conv_id")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 3) AS median, round(quantile_cont(value, 0.9), 3) AS p90 FROM events GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return rates.latency_summary(_t(spark, sf_dir, "events"), "value", "event_type")
+
+
+@query("SELECT event_type, round(avg(value), 9) AS mean, (max(value) - min(value)) / avg(value) > 0.1 AS apart FROM events GROUP BY 1")
+def two_rounds(spark, sf_dir):
+    return _rounded(rates.two_rounds(_t(spark, sf_dir, "events"), "value", "event_type"), "mean")
+
+
+@query("SELECT max(value) AS highest, max(value) - 1.0 AS rise, round(avg(value), 1) AS mean FROM events")
+def monitor_stats(spark, sf_dir):
+    return steps.monitor(_t(spark, sf_dir, "events"), "value", 1.0)
+
+
+@query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def last_wins_dedupe(spark, sf_dir):
+    return steps.last_wins(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id")
+
+
+@query("SELECT count(*) AS steps, count(*) FILTER (event_type = 'error' AND event_id > 20) AS skipped, 0::INT AS nonfinite, round(quantile_cont(value, 0.5) FILTER (event_id > 20 AND event_type <> 'signup'), 9) AS median_seconds, 0::BIGINT AS peak_allocated_mb FROM events")
+def step_summary(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(
+        F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("event_type") == "error").alias("skipped"), F.col("value").alias("seconds"),
+        (F.col("event_type") == "signup").alias("longest"), F.lit(None).cast("long").alias("peak_allocated_mb"))
+    return _rounded(steps.step_summary(e, 20).withColumns({"skipped": F.size("skipped"), "nonfinite": F.size("nonfinite")}), "median_seconds")
+
+
+@query("SELECT coalesce(o_orderkey, l_orderkey) AS path, CASE WHEN o_orderkey IS NULL THEN 'not in the manifest' ELSE 'missing' END AS problem FROM orders FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR l_orderkey IS NULL")
+def integrity_diff(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.lit(1).alias("bytes"))
+    line = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.lit(1).alias("bytes")).distinct()
+    return integrity.inventory_diff(o, line, digest=None)
+
+
+@query("SELECT doc_id FROM labels WHERE quality <> toxic")
+def changed_keys(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels")
+    return integrity.changed_keys(labels.select("doc_id", F.col("quality").alias("v")), labels.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+
+
+@query("SELECT DISTINCT page_id AS doc_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
+def not_subset(spark, sf_dir):
+    return integrity.not_subset(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, sf_dir):
+    return integrity.repeated_ids(_t(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query("SELECT source AS set, count(*) AS rows, 50::BIGINT AS expected FROM documents WHERE source IN ('src0', 'src1') GROUP BY 1 HAVING count(*) <> 50")
+def cardinality_check(spark, sf_dir):
+    n = _t(spark, sf_dir, "documents").where("source in ('src0', 'src1')").groupBy(F.col("source").alias("set")).agg(F.count("*").alias("rows"))
+    return integrity.cardinality_check(n, {"src0": 50, "src1": 50})
+
+
+_CODE = "round_even((sign(x) * ln(1 + 255 * abs(x)) / ln(256.0::DOUBLE) + 1) / 2 * 255, 0)"
+
+
+@query(f"WITH v AS (SELECT event_id, greatest(-1.0, least(1.0, value / 500 - 0.5))::DOUBLE AS x FROM events), c AS (SELECT event_id, {_CODE} AS code FROM v), y AS (SELECT event_id, code, code / 255 * 2 - 1 AS y FROM c) SELECT event_id, code, round(sign(y) * (exp(abs(y) * ln(256.0::DOUBLE)) - 1) / 255, 9) AS restored FROM y")
+def mu_law(spark, sf_dir):
+    x = F.col("value") / 500 - 0.5
+    return _t(spark, sf_dir, "events").select("event_id", audio.mu_law_code(x).alias("code"), F.round(audio.mu_law_roundtrip(x), 9).alias("restored"))
+
+
+@query()
+def telephone(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", audio.telephone("embedding").alias("samples"))
+
+
+@query(f"""{_P}, b AS (SELECT conv_id, sum(edits_a) / sum(length) - sum(edits_b) / sum(length) AS d FROM p GROUP BY conv_id)
+SELECT conv_id, d + 0.05 < 0 AS below, d - 0.05 > 0 AS above, CASE WHEN d + 0.05 < 0 THEN 'better' WHEN d - 0.05 > 0 THEN 'worse' ELSE 'undecided' END AS verdict FROM b""")
+def verdict_table(spark, sf_dir):
+    d = compare.compare(pairs(spark, sf_dir), "conv_id").select("conv_id", (F.col("delta") - 0.05).alias("low"), (F.col("delta") + 0.05).alias("high"))
+    return verdicts.verdict(d, "sign").drop("low", "high")
+
+
+@query(f"{_P} SELECT role, printf('%.2f%%', 100.0 * sum(edits_a) / sum(length)) AS label FROM p GROUP BY role")
+def rate_labels(spark, sf_dir):
+    d = rates.error_rate(pairs(spark, sf_dir), "role", edits="edits_a")
+    return d.select("role", text.percent_label("rate").alias("label"))
+
+
+@query("SELECT doc_id, split_part(lang || '-x@y', '@', 1) AS base, CASE WHEN lang LIKE 'en%' THEN 'en' ELSE 'ko' END AS language, contains(lower(source || '-Test'), '-test') AS protected, split_part(source || '_1_2', '_', 1) AS block FROM documents")
+def name_rules(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id", text.base_set(F.concat("lang", F.lit("-x@y"))).alias("base"), text.language_of("lang", {"en": "en"}, "ko").alias("language"),
+        text.is_protected(F.concat("source", F.lit("-Test"))).alias("protected"), text.block_of("source", F.concat("source", F.lit("_1_2")), {"src": "_"}).alias("block"))
+
+
+@query()
+def word_diff(spark, sf_dir):
+    return compare.word_pair_counts(turns(spark, sf_dir), "reference", "next")
+
+
+def _rewriting(name: str, function, cases: list[tuple[str, str]]):
+    """A query that rewrites given sentences, and the expected ones as SQL."""
+    def run(spark, sf_dir):
+        d = spark.createDataFrame([(a,) for a, _ in cases], "before string")
+        return d.select("before", as_column(function, "before").alias("after"))
+
+    run.__name__ = name
+    query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in cases) + ") v(before, after)")(run)
+
+
+_rewriting("itn_digits", to_digits, [("이천 십 팔 년 완공", "2018년 완공"), ("지난 십 이 일 일부 언론", "지난 12일 일부 언론"), ("일 만 칠 천여 년 전", "1만 7천여 년 전"), ("이 일은 쉽다", "이 일은 쉽다"), ("스물 한 명이", "21명이")])
+_rewriting("harmonize_percent", harmonize, [("오십 퍼센트", "50퍼센트"), ("50%", "50퍼센트"), ("삼 % 였다", "3퍼센트 였다")])
+_rewriting("harmonize_attached", harmonize2, [("이천십육년, 오월.", "2016년 5월"), ("일만칠천명", "1만 7000명"), ("삼십%", "30퍼센트"), ("만세를 불렀다", "만세를 불렀다")])
+_rewriting("split_attached_numerals", split_attached, [("삼천만원", "삼천 만 원"), ("열세", "열 세"), ("이천에 갔다", "이천에 갔다")])
+_rewriting("letters_latin", letters_to_latin, [("에프 에이에이의 발표", "FAA의 발표"), ("에이아이.", "AI."), ("비디오를 보았다", "비디오를 보았다")])
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 5, false), ('b', 0, 0, NULL), ('c', 1, 4, true)) v(id, edits, length, has_digit)")
+def rescored_rows(spark, sf_dir):
+    d = spark.createDataFrame([("a", "오십 퍼센트", "50%"), ("b", "...", "x"), ("c", "오는 오 월", "오는 5월, 1")], "id string, reference string, hypothesis string")
+    return compare.rescored(d, "harmonized").select("id", "edits", "length", "has_digit")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 0.0, false), (1, 1, 0.4, false), (1, 2, 0.0, false), (1, 3, 0.2, false)) v(batch, \"row\", temperature, exhausted)")
+def retry_state_machine(spark, sf_dir):
+    calls = [(0.0, False), (0.0, True), (0.0, False), (0.0, True), (0.2, True), (0.2, False), (0.4, False)]
+    d = spark.createDataFrame([(1, p, 4, t, n) for p, (t, n) in enumerate(calls)], "batch long, pos int, rows int, temperature double, needs boolean")
+    return retry_states(d, (0.0, 0.2, 0.4, 0.6))
