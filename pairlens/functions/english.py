@@ -18,24 +18,31 @@ SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
 
 
 def _numbers(words: list[str]) -> list[str]:
+    """Runs of number words as digits; a word that can't go on with its run
+    starts another."""
     out: list[str] = []
-    total = part = None
-    for w in [*words, ""]:
-        if w in SMALL and (part is None or part % 100 == 0 or SMALL[w] < 10 <= part % 100 and part % 10 == 0):
+    total, part = 0, None
+
+    def close():
+        nonlocal total, part
+        if part is not None:
+            out.append(str(total + part))
+        total, part = 0, None
+
+    for w, after in zip(words, [*words[1:], ""], strict=True):
+        if w in SMALL:
+            fits = part is None or part % 100 == 0 or part % 10 == 0 and part % 100 >= 20 and 0 < SMALL[w] < 10
+            if not fits:
+                close()
             part = (part or 0) + SMALL[w]
-        elif w in SCALES and part is not None:
-            if w == "hundred":
-                part *= 100
-            else:
-                total, part = (total or 0) + part * SCALES[w], 0
-        else:
-            if part is not None:
-                out.append(str((total or 0) + part))
-            total = part = SMALL.get(w) and None
-            if w in SMALL:
-                part = SMALL[w]
-            elif w:
-                out.append(w)
+        elif part is not None and w == "hundred":
+            part *= 100
+        elif part is not None and w in SCALES:
+            total, part = total + part * SCALES[w], 0
+        elif w != "and" or not part or part % 100 or after not in SMALL:
+            close()
+            out.append(w)
+    close()
     return out
 
 
@@ -45,7 +52,7 @@ def normalize_english(text: str, spelling: dict[str, str] | None = None) -> str:
     text = re.sub(r"\s+'", "'", text)
     for pattern, to in CONTRACTIONS:
         text = re.sub(pattern, to, text)
-    text = re.sub(r"(\d),(?=\d)", r"\1", text).replace(" percent", "%").replace(" per cent", "%")
+    text = re.sub(r"(\d),(?=\d)", r"\1", text).replace(" percent", " %").replace(" per cent", " %")
     text = re.sub(r"[^\w\s%$£€.']|\.(?!\d)|_", " ", text)
     words = _numbers([w for w in text.replace("'", "").split() if w not in FILLERS])
     return " ".join((spelling or {}).get(w, w) for w in words).replace(" %", "%")

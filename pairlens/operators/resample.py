@@ -78,7 +78,7 @@ def _parity(units: DataFrame, values: list[str], samples: int, seed: int) -> Dat
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
-    return units.groupBy(F.lit(0)).applyInPandas(run, ", ".join(["rep long", *[f"{v} {kinds[v]}" for v in values]]))
+    return units.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, ", ".join(["rep long", *[f"{v} {kinds[v]}" for v in values]]))
 
 
 def _ends(df: DataFrame, value: Column, level: float = 0.95) -> DataFrame:

@@ -481,7 +481,7 @@ _rewriting("split_attached_numerals", split_attached, [("삼천만원", "삼천
 _rewriting("letters_latin", letters_to_latin, [("에프 에이에이의 발표", "FAA의 발표"), ("에이아이.", "AI."), ("비디오를 보았다", "비디오를 보았다")])
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 5, false), ('b', 0, 0, NULL), ('c', 1, 4, true)) v(id, edits, length, has_digit)")
+@query("SELECT * FROM (VALUES ('a', 0, 5, true), ('b', 0, 0, NULL), ('c', 1, 4, true)) v(id, edits, length, has_digit)")
 def rescored_rows(spark, sf_dir):
     d = spark.createDataFrame([("a", "오십 퍼센트", "50%"), ("b", "...", "x"), ("c", "오는 오 월", "오는 5월, 1")], "id string, reference string, hypothesis string")
     return compare.rescored(d, "harmonized").select("id", "edits", "length", "has_digit")
