@@ -35,11 +35,11 @@ def smoke_checks(steps: DataFrame, memory: DataFrame, expected: int = 50, grace:
     """One row: each check, whether all passed, and the steps that fit ``hours``."""
     s = step_summary(steps, grace)
     m = memory.agg(F.max("shared_mb").alias("shared"), F.max("smi_used_mb").alias("used"))
-    n = steps.agg(F.count_if(F.col("longest")).alias("longest_seen"))
+    n = steps.agg(F.count_if(F.col("longest")).alias("_longest"))
     j = s.join(F.broadcast(m)).join(F.broadcast(n))
     checks = {
         "all_steps": F.col("steps") == expected, "few_skips": F.size("skipped") <= max_skips, "finite": F.size("nonfinite") == 0,
-        "longest_seen": F.col("longest_seen") > 0, "shared_ok": F.col("shared") <= shared_mb, "gpu_ok": F.col("used") < gpu_mb,
+        "longest_seen": F.col("_longest") > 0, "shared_ok": F.col("shared") <= shared_mb, "gpu_ok": F.col("used") < gpu_mb,
         "allocated_ok": F.col("peak_allocated_mb") <= allocated_mb,
     }
     d = j.select("*", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
