@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
 _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space beyond ASCII's usual six: such a text is encoded in one piece.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -37,6 +37,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.split = str.split if drop_space else _CHUNKS.findall
+        self.fold = drop_space  # that normaliser lowers letters, too
         self.separator, self.sep_id = separator, self.tok.token_to_id(separator)
         self._reset()
 
@@ -57,7 +58,24 @@ class Encoder:
             self.flat[self.used : self.used + len(x)] = x
             self.used += len(x)
 
+    def _parts(self, piece: str) -> list[str]:
+        """A word and the marks after it, which both pre-tokenizers part, the
+        word in lower case if that makes no difference: fewer distinct pieces."""
+        if "'" in piece or "<|" in piece:
+            return [piece]
+        base = piece.rstrip(".,;:!?")
+        cut = [base, piece[len(base) :]] if base and base != piece and base[-1].isalnum() else [piece]
+        if self.fold and cut[0].isascii():
+            cut[0] = cut[0].lower()
+        return cut
+
     def _learn(self, new: list[str]) -> None:
+        parts = {x: y for x in new if (y := self._parts(x)) != [x]}
+        self._encode_new(sorted({x for x in new if x not in parts}.union(*parts.values()).difference(self.known)))
+        where = [[self.known[y] for y in ys] for ys in parts.values()]
+        self._add(list(parts), [np.concatenate([self.flat[self.start[k] : self.start[k] + self.length[k]] for k in ks]) for ks in where])
+
+    def _encode_new(self, new: list[str]) -> None:
         plain = [x for x in new if "<|" not in x]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
