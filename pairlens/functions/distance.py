@@ -25,11 +25,15 @@ def word_edits(reference, hypothesis) -> Column:
     """Least edits of words; null where the reference has none.  Each of a
     pair's distinct words becomes one character, so the built-in distance of
     strings does the work."""
-    ref, hyp = _words(_c(reference)), _words(_c(hypothesis))
-    known = F.array_distinct(F.concat(ref, hyp))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(
-        F.unhex(F.lpad(F.hex(F.array_position(known, w) + _FIRST), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(ref) > 0, F.levenshtein(code(ref), code(hyp)).cast("long"))
+    def code(words, known):
+        return F.array_join(F.transform(words, lambda w: F.decode(
+            F.unhex(F.lpad(F.hex(F.array_position(known, w) + _FIRST), 4, "0")), "UTF-16BE")), "")
+
+    # Arrays of one element bind values, which would else be computed per word.
+    words = F.array(F.struct(_words(_c(reference)).alias("r"), _words(_c(hypothesis)).alias("h")))
+    bound = F.transform(words, lambda x: F.struct(x["r"].alias("r"), x["h"].alias("h"), F.array_distinct(F.concat(x["r"], x["h"])).alias("k")))
+    edits = F.transform(bound, lambda x: F.when(F.size(x["r"]) > 0, F.levenshtein(code(x["r"], x["k"]), code(x["h"], x["k"])).cast("long")))
+    return F.get(edits, F.lit(0))
 
 
 def word_count(text) -> Column:
