@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,11 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, df_or_path) -> None:
-    """Deletes a written table that no later plan reads."""
+    """Deletes a written table that no later plan reads, and has the driver
+    collect its garbage, upon which Spark drops shuffle files of finished plans."""
     path = getattr(df_or_path, "_pairlens_path", df_or_path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

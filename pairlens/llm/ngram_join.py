@@ -7,8 +7,11 @@ bound, they agree in at least one whole fragment: documents that share a
 fragment are candidates.  Sizes fall in classes; a set is cut once for its own
 class and once for the next, so every pair within reach is cut alike.
 
-For candidates the overlap is counted in each of ``COUNT_FRAGMENTS`` wider
-fragments separately and summed per pair.  Equal sets are one node from the
+A set that shares too few fragments with any others to reach the threshold with
+one drops out.  For candidates, the parities of the counts in very many narrow
+fragments bound the difference from below, and pairs that it rules out go.  For
+the rest the overlap is counted in each of ``COUNT_FRAGMENTS`` wide fragments
+separately and summed per pair.  Equal sets are one node from the
 start.  Within a shared fragment, sets are compared with a few hubs rather than
 all with all; a fragment is done when its sets are in one component or each has
 been a hub, so no link between components is missed.
@@ -48,8 +51,9 @@ def set_digest(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=np.uint64) + _U(len(s))]))[0].view(np.int64))
 
 
-def fragment_keys(s: np.ndarray, bounds: list[int], num: int, den: int) -> np.ndarray:
-    """A key for each fragment of the sorted set ``s`` that takes part."""
+def fragment_keys(s: np.ndarray, bounds: list[int], num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, shared keys that a partner needs at least, keys) for both cuts of
+    the sorted set ``s``."""
     c = int(np.searchsorted(bounds, len(s)))
     mixed, out = mix(s), []
     for cls in (c, c + 1):
@@ -59,13 +63,32 @@ def fragment_keys(s: np.ndarray, bounds: list[int], num: int, den: int) -> np.nd
         parts = differ + 1 + SLACK
         at = ((s >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        sums = np.add.reduceat(mixed, first)
-        tag = at[first].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + np.array([cls], np.uint64) * _U(0xD6E8FEB86659FD93)
-        out.append(mix(sums + mix(tag)))
-        if parts - len(first) > SLACK:  # so many are empty that two sets may agree in such alone
-            empty = np.setdiff1d(np.arange(parts), at[first]).astype(np.uint64)
-            out.append(mix(mix(empty * _U(0x9E3779B97F4A7C15) + np.array([cls], np.uint64) * _U(0xD6E8FEB86659FD93))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        mark = mix(np.array([cls], np.uint64))
+        keys, empty = mix(np.add.reduceat(mixed, first) + mix(at[first].astype(np.uint64) + mark)), parts - len(first)
+        need = SLACK + 1 - empty
+        if need < 1:  # two sets may agree in empty fragments alone, so these take part
+            none = np.setdiff1d(np.arange(parts), at[first]).astype(np.uint64)
+            keys, need = np.concatenate([keys, mix(mix(none + mark))]), SLACK + 1
+        out.append((cls, need, keys))
+    return out
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One bit per narrow fragment (low bits of the hash, of two to four
+    fragments per hash): whether its count is odd."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Two sets differ in at least so many elements, by their sketches."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -104,25 +127,29 @@ def ngram_join(
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in text_slices(texts):
-                keys, node, n = [], [], []
+                keys, node, meta = [], [], []
                 for s in shingle_sets(texts[i:j], k):
                     if not len(s) or (own := set_digest(s)) in seen:
                         continue
                     seen.add(own)  # copies that this task has seen bring nothing new
-                    got = fragment_keys(s, bounds, num, den)
-                    keys.append(got)
-                    node.append(np.full(len(got), own, np.int64))
-                    n.append(np.full(len(got), len(s), np.int32))
+                    for cls, need, got in fragment_keys(s, bounds, num, den):
+                        keys.append(got)
+                        node.append(np.full(len(got), own, np.int64))
+                        meta.append(np.full(len(got), len(s) << 32 | need << 16 | cls, np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), pa.array(np.concatenate(node)), pa.array(np.concatenate(n))], names=["key", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), pa.array(np.concatenate(node)), pa.array(np.concatenate(meta))], names=["key", "node", "meta"])
 
-    shared = d.mapInArrow(keys_of, "key long, node long, n int")
+    shared = d.mapInArrow(keys_of, "key long, node long, meta long")
     w = Window.partitionBy("key").orderBy("node")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Of a node that several tasks sent, one row stays; keys of one node go.
-    kept = written(
+    met = written(
         shared.select("*", F.lag("node").over(w).alias("before"), F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"))
-        .where("lo < hi and (before is null or before <> node)").select("key", "node", "n"), "buckets")
+        .where("lo < hi and (before is null or before <> node)").select("key", "node", "meta"), "met")
+    enough = met.groupBy("node", "meta").agg(F.count("*").alias("c")).where(F.col("c") >= F.shiftright("meta", 16).bitwiseAND(0xFFFF))
+    kept = written(met.join(enough.select("node", "meta"), ["node", "meta"], "left_semi").select(
+        "key", "node", F.shiftright("meta", 32).cast("int").alias("n")), "buckets")
+    discard(spark, met)
     if kept.limit(1).count() == 0:
         links = None
     else:
@@ -143,7 +170,8 @@ def ngram_join(
 
 
 def _sets(d: DataFrame, nodes: DataFrame, kept: DataFrame, k: int) -> DataFrame:
-    """(node, part, n, hashes) of the nodes that share a fragment with another."""
+    """(node, part, n, hashes) of the nodes that share enough fragments; part -1
+    is the parity sketch."""
     wanted = nodes.join(kept.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = written(wanted.select("doc_id", "node"), "wanted")
 
@@ -157,6 +185,7 @@ def _sets(d: DataFrame, nodes: DataFrame, kept: DataFrame, k: int) -> DataFrame:
                     if node in seen or not len(s) or set_digest(s) != node:  # an id may stand for more than one text
                         continue
                     seen.add(node)
+                    rows.append((node, -1, len(s), parity_sketch(s)))
                     for p, x in enumerate(np.split(s, np.searchsorted(s, np.arange(1, COUNT_FRAGMENTS, dtype=np.uint64) << _U(62)))):
                         rows.append((node, p, len(s), x.astype("<u8").tobytes()))
                 if rows:
@@ -177,8 +206,19 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
-    left = sets.select(F.col("node").alias("a"), "part", F.col("n").alias("na"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), "part", F.col("n").alias("nb"), F.col("hashes").alias("y"))
+    def apart(batches):
+        for b in batches:
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            least = np.array([least_difference(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+            # a + b - 2 o differ, and o * (num + den) >= num * (a + b) is asked for.
+            good = pa.array((na + nb - least) * (num + den) >= 2 * num * (na + nb))
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in b.columns[:2]], names=["a", "b"])
+
+    side = lambda t, n, m, h: t.select(F.col("node").alias(n), "part", F.col("n").alias(m), F.col("hashes").alias(h))
+    sketch, content = sets.where("part < 0"), sets.where("part >= 0")
+    seen = pairs.join(side(sketch, "a", "na", "x").drop("part"), "a").join(side(sketch, "b", "nb", "y").drop("part"), "b").select("a", "b", "na", "nb", "x", "y")
+    pairs = written(seen.mapInArrow(apart, "a long, b long"), "pairs")
+    left, right = side(content, "a", "na", "x"), side(content, "b", "nb", "y")
     both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", "x", "y")
     total = both.mapInArrow(count, "a long, b long, na long, nb long, part long").groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
     return total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
@@ -189,11 +229,11 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     spark = kept.sparkSession
     w = Window.partitionBy("key").orderBy("node")
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    # First each with the fragment's least node and with the one before it.
+    # First each with one other: the least node of most of its fragments.
     hub = F.first(F.struct("node", "n")).over(w)
-    first = kept.select("node", "n", hub.alias("hub"), F.lag(F.struct("node", "n")).over(w).alias("before")).where("before is not null")
-    pairs = first.select("node", "n", F.explode(F.array("hub", "before")).alias("to")).where(near(F.col("n"), F.col("to.n")))
-    pairs = pairs.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct()
+    first = kept.select("node", "n", hub.alias("to")).where("node <> to.node").where(near(F.col("n"), F.col("to.n")))
+    votes = first.groupBy("node", "to").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("to", F.struct("c", F.col("to.node"))).alias("to"))
+    pairs = votes.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct()
     links = written(_overlaps(pairs, sets, num, den), "links")
     left = kept.select("key", "node", "n")
     while True:
