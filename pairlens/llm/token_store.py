@@ -39,6 +39,12 @@ _J = np.arange(16, dtype=np.int32)
 _TARGET = np.where(_J[None, :] <= _J[:, None], _J[None, :], (1 << _TOTAL) - 16 + _J[None, :]).astype(np.int16)
 
 
+def _row_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of each row's 16 booleans hold: eight at a time, as bytes."""
+    halves = rows.view(np.uint64)
+    return ((halves[:, 0] + halves[:, 1]) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+
+
 class _Lanes:
     """The models and range coders of ``n`` blocks side by side."""
 
@@ -173,7 +179,7 @@ def decode_blocks(parts: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         lanes = m.at[:a]
         m.predict(a)
         r, c = m.range[:a] >> _TOTAL, code[:a]
-        v = np.minimum(c // r, (1 << _TOTAL) - 1)
+        v = np.minimum((c / r).astype(np.int64), (1 << _TOTAL) - 1)
         flag = (v >= m.mixed[:, 0]).astype(np.int64) + (v >= m.mixed[:, 1])
         lo = np.where(flag == 0, 0, np.where(flag == 1, m.mixed[:, 0], m.mixed[:, 1]))
         hi = np.where(flag == 0, m.mixed[:, 0], np.where(flag == 1, m.mixed[:, 1], 1 << _TOTAL))
@@ -186,8 +192,8 @@ def decode_blocks(parts: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
                 slot = m.slots(esc, depth, y)
                 cdf = m.tree[slot]
                 r, c = m.range[esc] >> _TOTAL, code[esc]
-                v = np.minimum(c // r, (1 << _TOTAL) - 1).astype(np.int16)
-                digit = (cdf <= v[:, None]).sum(1) - 1
+                v = np.minimum((c / r).astype(np.int64), (1 << _TOTAL) - 1).astype(np.int16)
+                digit = _row_counts(cdf <= v[:, None]) - 1
                 start = cdf[k, digit].astype(np.int64)
                 end = np.where(digit == 15, 1 << _TOTAL, cdf[k, np.minimum(digit + 1, 15)].astype(np.int64))
                 take(esc, c, r, start, end - start)
