@@ -156,7 +156,7 @@ def fit(
 
 def predict(
     docs: DataFrame, model: tuple[list[str], np.ndarray], tokenizer: str | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (the language's share of
     the likelihoods, per word as a geometric mean over words).
@@ -164,7 +164,8 @@ def predict(
     A null text, and one without a letter, is ``und`` with score 0; a model
     without languages gives that to all; ties go to the language first in
     order; repeated rows are judged each by itself; an empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored, or with ``keep_row`` come along in
+    a struct ``row``.
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     langs, table = model
@@ -207,6 +208,13 @@ def predict(
                 best = total.argmax(1)
                 pred += [langs[x] if m else UNKNOWN for x, m in zip(best, n, strict=True)]
                 score += np.where(n > 0, share[np.arange(j - i), best], 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]],
+                names=["doc_id", "lang_pred", "score", "row"][: 1 + b.num_columns])
+
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] * keep_row
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+    schema = d.select("doc_id").schema.add("lang_pred", "string").add("score", "double")
+    for f in d.schema.fields[2:]:
+        schema = schema.add(f)
+    return d.mapInArrow(run, schema)
