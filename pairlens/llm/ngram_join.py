@@ -7,8 +7,9 @@ bound, they agree in at least one whole fragment: documents that share a
 fragment are candidates.  Sizes fall in classes; a set is cut once for its own
 class and once for the next, so every pair within reach is cut alike.
 
-A set that shares too few fragments with any others to reach the threshold with
-one drops out.  For candidates, the parities of the counts in very many narrow
+As there are ``SLACK`` fragments more than needed, partners share several, and
+those that most sets have can be left out: sets that have only a common passage
+in common drop out.  For candidates, the parities of the counts in very many narrow
 fragments bound the difference from below, and pairs that it rules out go.  For
 the rest the overlap is counted in each of ``COUNT_FRAGMENTS`` wide fragments
 separately and summed per pair.  Equal sets are one node from the
@@ -30,10 +31,10 @@ from .texthash import mix, shingle_sets
 from .tokens import text_slices
 
 #: Fragments beyond the bound, of which as many may be empty in both sets.
-SLACK = 3
+SLACK = 8
 COUNT_FRAGMENTS = 4
 #: Hubs of an unsettled fragment per round.
-HUBS = 32
+HUBS = 256
 _U = np.uint64
 
 
@@ -68,7 +69,7 @@ def fragment_keys(s: np.ndarray, bounds: list[int], num: int, den: int) -> list[
         need = SLACK + 1 - empty
         if need < 1:  # two sets may agree in empty fragments alone, so these take part
             none = np.setdiff1d(np.arange(parts), at[first]).astype(np.uint64)
-            keys, need = np.concatenate([keys, mix(mix(none + mark))]), SLACK + 1
+            keys, need = np.concatenate([keys, mix(mix(none + mark))]), 1
         out.append((cls, need, keys))
     return out
 
@@ -144,10 +145,14 @@ def ngram_join(
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Of a node that several tasks sent, one row stays; keys of one node go.
     met = written(
-        shared.select("*", F.lag("node").over(w).alias("before"), F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"))
-        .where("lo < hi and (before is null or before <> node)").select("key", "node", "meta"), "met")
-    enough = met.groupBy("node", "meta").agg(F.count("*").alias("c")).where(F.col("c") >= F.shiftright("meta", 16).bitwiseAND(0xFFFF))
-    kept = written(met.join(enough.select("node", "meta"), ["node", "meta"], "left_semi").select(
+        shared.select("*", F.lag("node").over(w).alias("before"), F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"), F.count("*").over(whole).alias("size"))
+        .where("lo < hi and (before is null or before <> node)").select("key", "node", "meta", "size"), "met")
+    # Partners share ``need`` keys, so without the need - 1 most frequent ones of
+    # each, in an order that is the same for all, they still share one.
+    rare = Window.partitionBy("node", "meta").orderBy("size", "key")
+    need = F.shiftright("meta", 16).bitwiseAND(0xFFFF)
+    ranked = met.withColumn("rank", F.row_number().over(rare)).withColumn("c", F.count("*").over(Window.partitionBy("node", "meta")))
+    kept = written(ranked.where(F.col("rank") <= F.col("c") - need + 1).select(
         "key", "node", F.shiftright("meta", 32).cast("int").alias("n")), "buckets")
     discard(spark, met)
     if kept.limit(1).count() == 0:
@@ -252,7 +257,7 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         cross = ranked.join(hubs, "key").where((F.col("label") != F.col("hl")) & (F.col("rank") > F.col("hr")) & near(F.col("n"), F.col("hn")))
         pairs = cross.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         more = written(_overlaps(pairs, sets, num, den).union(links), "links")
-        left = ranked.where(F.col("rank") > HUBS).select("key", "node", "n")
-        discard(spark, links)
-        discard(spark, now)
-        links = more
+        rest = written(ranked.where(F.col("rank") > HUBS).select("key", "node", "n"), "rest")
+        for x in (links, now, ranked):
+            discard(spark, x)
+        left, links = rest, more
