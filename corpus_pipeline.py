@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm import language
-from pairlens.llm.common import bounded_broadcast, table, written
+from pairlens.llm.common import bounded_broadcast, row_key, table, written
 from pairlens.llm.decontaminate import decontaminate
 from pairlens.llm.line_dedup import line_dedup
 from pairlens.llm.ngram_join import ngram_join
@@ -37,17 +37,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by five-word shingles at 0.8, that of least id stays."""
-    out = ngram_join(docs, k=5, num=80, den=100)
-    gone = written(out.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(bounded_broadcast(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that link by five-word shingles at 0.8, one stays: that of least
+    id, a row without an id only if none has one.  Rows are told apart by a
+    number of their own, so ids may be null or repeat."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    out = ngram_join(rows, k=5, num=80, den=100, id_col="_row").where("doc_id <> component_id")
+    linked = written(out.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "linked")
+    members = linked.union(linked.select(F.col("group").alias("_row"), "group").distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(members, "_row").groupBy("group").agg(F.min_by("_row", order).alias("_row"))
+    gone = written(members.join(first, "_row", "left_anti").select("_row"), "gone")
+    return rows.join(bounded_broadcast(gone, 500_000), "_row", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that share a window with a benchmark item."""
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(out.where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(bounded_broadcast(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows that share a window with a benchmark item.  Rows equal in
+    id and text have one key and one verdict; ids may be null or repeat."""
+    rows = docs.withColumn("_row", row_key("doc_id", "text"))
+    out = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    gone = written(out.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    return rows.join(bounded_broadcast(gone, 500_000), "_row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

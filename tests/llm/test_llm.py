@@ -448,3 +448,25 @@ def test_pipeline(spark, tmp_path):
     assert left == [whole - {40, 41}, whole - {40, 41, 42}, whole - {40, 41, 42, 44}, whole - {40, 41, 42, 43, 44}]
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == left[-1]
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    """Null and repeated ids: of linked rows exactly one stays, and exactly the contaminated rows go."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda k: " ".join(f"w{rng.randrange(4000)}" for _ in range(k))
+    copied, near, alone, item, other = text(60), text(60), text(60), text(20), text(60)
+    close = near.split(" ")
+    close[30] = "new"
+    rows = [(1, copied), (1, copied), (1, copied), (None, near), (7, " ".join(close)), (None, alone), (None, alone), (2, other), (2, text(30) + " " + item)]
+    rows += [(None, text(30) + " " + item), (None, text(60)), (3, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    once = collections.Counter(rows) - collections.Counter([rows[0], rows[0], (None, near), (None, alone)])
+    got = corpus_pipeline.near_copy_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and left(got) == once
+    got = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and left(got) == collections.Counter(rows) - collections.Counter([rows[8], rows[9]])
