@@ -25,7 +25,8 @@ from .common import bounded_broadcast, discard, row_key, written
 from .texthash import _MIX, _power_tables, Spans, join_texts, mix, word_spans
 from .tokens import text_slices
 
-MIN_WORDS, NEAR_WORDS = 5, 8
+#: Every line that has a word is compared; from five words on, one edit counts.
+MIN_WORDS, NEAR_WORDS = 1, 5
 
 
 class _Lines:

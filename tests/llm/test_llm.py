@@ -409,6 +409,15 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_compares_short_lines(spark):
+    rows = [(1, "les.\nand ornd.\none two three four five\n-\n\n\n"), (2, "LES.\nand  ornd.\nand orn.\n-"), (3, "les.\none two three four six\none two three four\none two three four five six\nnew")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["row"].doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(d).collect()}
+    assert got == {1: (rows[0][1], 7, 0), 2: ("and orn.", 4, 3), 3: ("one two three four\nnew", 5, 3)}
+    # A higher floor stays an option.
+    assert sum(r.n_removed for r in line_dedup.line_dedup(d, min_words=5, near_words=8).collect()) == 0
+
+
 @pytest.mark.parametrize(("x", "y", "near"), [("abc", "abc", True), ("abc", "ac", True), ("abc", "abxc", True), ("abc", "abd", True), ("abcd", "acbd", False), ("ab", "abcd", False), ("aab", "ab", True)])
 def test_within_one(x, y, near):
     assert line_dedup.within_one(np.array(list(x)), np.array(list(y))) is near
