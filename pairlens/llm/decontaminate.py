@@ -91,14 +91,15 @@ def decontaminate(
     words), contaminated.
 
     An item with fewer words than ``window`` is one window of all its words; an
-    item without words has none.  Null and empty texts have no words and no
+    item without words has none.  Items with a null id count in n_hit, spans and
+    contaminated; having no id, they are not in items and n_items.  Null and empty texts have no words and no
     hits.  Rows that repeat id and text get the same result each; items that
     repeat an id count once.  Empty tables give empty results or no hits; other
     columns are ignored.
     """
     spark = docs.sparkSession
     item = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(item_text_col)).alias("w"))
-    item = item.where((F.size("w") > 0) & F.col("item_id").isNotNull())
+    item = item.where(F.size("w") > 0)
     lengths = [r[0] for r in item.select(F.least(F.size("w"), F.lit(window)).alias("n")).distinct().collect()]
     d = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     hits = None

@@ -280,6 +280,15 @@ def test_decontaminate(spark, docs, empty):
     assert dc.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontaminate_by_items_without_id(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "short one z"), (3, f"{passage} q r s"), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "short one"), (5, "r s")], "item_id long, text string")
+    got = dc.decontaminate(docs, bench)
+    want = [(1, 14, 12, 0, [], True), (2, 3, 2, 0, [], True), (3, 15, 14, 1, ["5"], True), (4, 1, 0, 0, [], False)]
+    assert by_row(got, "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated") == want
+
+
 # op7 ---------------------------------------------------------------------------------------
 
 
