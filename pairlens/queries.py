@@ -420,7 +420,7 @@ def repeated_ids(spark, sf_dir):
 
 @query("SELECT source AS set, count(*) AS rows, 50::BIGINT AS expected FROM documents WHERE source IN ('src0', 'src1') GROUP BY 1 HAVING count(*) <> 50")
 def cardinality_check(spark, sf_dir):
-    n = _t(spark, sf_dir, "documents").where("source in ('src0', 'src1')").groupBy(F.col("source").alias("set")).agg(F.count("*").alias("rows"))
+    n = _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("set")).agg(F.count("*").alias("rows"))
     return integrity.cardinality_check(n, {"src0": 50, "src1": 50})
 
 

@@ -96,6 +96,15 @@ def test_integrity(spark):
     assert [r.path for r in integrity.same_but(m, m.withColumn("sha256", F.lit("q")), "path", "sha256").collect()] == []
 
 
+def test_cardinality_of_all_sources(spark, tmp_path):
+    from pairlens.queries import cardinality_check
+
+    rows = [(s,) for s, n in (("src0", 50), ("src1", 49), ("src2", 50), (None, 2)) for _ in range(n)]
+    spark.createDataFrame(rows, "source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in cardinality_check(spark, str(tmp_path)).collect()}
+    assert got == {("src1", 49, 50), ("src2", 50, None), (None, 2, None)}
+
+
 def test_step_log(spark, tmp_path):
     lines = [{"step": s, "loss": 1.0, "skipped": s == 3, "seconds": float(s), "longest": s == 5, "peak_allocated_mb": 10} for s in range(1, 6)]
     lines.insert(2, {"event": "resume"})
