@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import text_slices, tokenizer_path
@@ -135,18 +135,20 @@ def fit(
     sample: int = SAMPLE_PER_LANGUAGE,
 ) -> tuple[list[str], np.ndarray]:
     """The model from rows with a text and a language: of each language about
-    ``sample`` rows by the hash of their text, and of their words the most
-    frequent ``SAMPLE_WORDS``."""
+    ``sample`` distinct texts by their hash, at most twice as many, and of their
+    words the most frequent ``SAMPLE_WORDS``.  Copies of a text count once."""
     vocab = vocabulary(tokenizer or tokenizer_path("word_bpe_49k.json"))
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    h = F.xxhash64("text", F.lit(7))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
+    distinct = rows.select("lang", "h").distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = rows.where(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003)
+    chosen = rows.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for r in chosen.limit(2 * sample * max(1, len(sizes))).collect():
+    for r in chosen.withColumn("rank", rank).where(F.col("rank") <= 2 * sample).collect():
         own = counts[r["lang"]]
         for w in _WORD.findall(r["text"].lower()):
             own[w] = own.get(w, 0) + 1

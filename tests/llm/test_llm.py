@@ -378,6 +378,16 @@ def test_language(spark, docs, empty):
     assert language.predict(d, model, keep_row=True).select("row.*").columns == ["doc_id", "text", "lang"]
 
 
+def test_language_learns_from_distinct_texts(spark, monkeypatch):
+    """A text of many copies neither fills a language's sample nor takes another language's place."""
+    learnt = {}
+    monkeypatch.setattr(language, "train", lambda counts, vocab: learnt.update(counts))
+    texts = [(f"alpha{chr(97 + i)}", "en") for i in range(4)] + [("beta", "de"), ("gamma", "fr")]
+    rows = [("copied", "en")] * 3000 + texts
+    language.fit(spark.createDataFrame(rows, "text string, lang string").coalesce(1), sample=50)
+    assert learnt == {lang: {t: 1 for t, x in rows if x == lang} for lang in ("en", "de", "fr")}
+
+
 # op10 --------------------------------------------------------------------------------------
 
 
