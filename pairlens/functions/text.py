@@ -78,6 +78,16 @@ def has_digit(text) -> Column:
     return F.rlike(_c(text), F.lit("[0-9]"))
 
 
+def has_tag(text, tag: str) -> Column:
+    """Whether a model's output has a tag in it, such as for no speech."""
+    return F.contains(_c(text), F.lit(tag))
+
+
+def points_label(low, high) -> Column:
+    """An interval of differences in percentage points as text."""
+    return F.format_string("[%+.2f, %+.2f]", *[_c(x).cast("double") * 100 for x in (low, high)])
+
+
 def percent_label(value, decimals: int = 2, signed: bool = False, unit: str = "%") -> Column:
     """A rate in percent as text; NaN and null are ``nan``."""
     shown = F.format_string(f"%{'+' if signed else ''}.{decimals}f{unit.replace('%', '%%')}", _c(value) * 100)

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import score_rows
+from ..functions.distance import score, word_count, word_edits
 from ..functions.english import normalize_english
 from ..functions.letters import letters_to_latin
 from ..functions.numerals import as_column, harmonize, harmonize2, to_digits
-from ..functions.text import has_digit, normalize, strip
+from ..functions.text import _c, has_digit, normalize, strip
 from .rates import rate, relative
 
 _hm = lambda c: as_column(harmonize, c)
@@ -31,13 +31,36 @@ SCORINGS = {
 }
 
 
-def rescored(df: DataFrame, scoring: str, language: str = "ko") -> DataFrame:
-    """``df`` scored anew after a rewrite; its texts stay as they are.  Rows
-    whose reference vanishes get 0 and 0."""
+#: Scorings whose rewritten texts are counted as they are, by words.
+FINAL = {"en-standard"}
+#: The language of the sets that a scoring is for; others are for Korean.
+LANGUAGE = {"en-standard": "en"}
+
+
+def scoring_language(scoring: str) -> str:
+    return LANGUAGE.get(scoring, "ko")
+
+
+def rescored(df: DataFrame, scoring: str, language: str | None = None) -> DataFrame:
+    """``df`` with edits and length counted anew after a rewrite, in the
+    scoring's language; another one is an error.  Texts and other columns stay
+    as they are.  Rows whose reference vanishes get 0 and 0."""
+    wanted = scoring_language(scoring)
+    if language not in (None, wanted):
+        raise ValueError(f"the {scoring} scoring is for sets in {wanted}, not {language}")
     ref, hyp = SCORINGS[scoring]
-    d = df.withColumns({"_r": F.col("reference"), "_h": F.col("hypothesis")})
-    d = d.withColumns({"reference": ref("_r") if ref else F.col("_r"), "hypothesis": hyp("_h") if hyp else F.col("_h")})
-    return score_rows(d, language).withColumns({"reference": F.col("_r"), "hypothesis": F.col("_h")}).drop("_r", "_h")
+    d = df.select(*[c for c in df.columns if c not in ("edits", "length")], (ref("reference") if ref else F.col("reference")).alias("_r"), (hyp("hypothesis") if hyp else F.col("hypothesis")).alias("_h"))
+    if scoring in FINAL:
+        d = d.withColumns({"edits": word_edits("_r", "_h"), "length": word_count("_r")})
+    else:
+        d = score(d, "_r", "_h", wanted)
+    some = F.coalesce(F.col("length"), F.lit(0)) > 0
+    return d.withColumns({c: F.when(some, F.col(c)).otherwise(F.lit(0).cast("long")) for c in ("edits", "length")}).drop("_r", "_h")
+
+
+def compared(text, scoring: str) -> Column:
+    """A text as ``scoring`` compares it: normalised, unless the scoring is final."""
+    return _c(text) if scoring in FINAL else normalize(text, scoring_language(scoring))
 
 
 def require(condition: Column, message: str, value: Column) -> Column:
@@ -125,8 +148,17 @@ def word_pair_counts(df: DataFrame, before: str, after: str) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "left", "right")
 
 
-def scoring_diff(df: DataFrame, first: str, second: str, language: str = "ko", id_col: str = "id") -> DataFrame:
+def scoring_diff(df: DataFrame, first: str, second: str, language: str | None = None, id_col: str = "id") -> DataFrame:
     """Rows that two scorings count differently."""
-    a = rescored(df, first, language).select(id_col, F.col("edits").alias("edits_first"), F.col("length").alias("length_first"))
-    b = rescored(df, second, language).select(id_col, F.col("edits").alias("edits_second"), F.col("length").alias("length_second"))
-    return a.join(b, id_col).where("edits_first <> edits_second or length_first <> length_second")
+    a = rescored(df, first, language).select("*", F.col("edits").alias("edits_first"), F.col("length").alias("length_first")).drop("edits", "length")
+    b = rescored(a, second, language)
+    return b.select(id_col, "edits_first", "length_first", F.col("edits").alias("edits_second"), F.col("length").alias("length_second")).where(
+        "edits_first <> edits_second or length_first <> length_second")
+
+
+def scoring_totals(df: DataFrame, first: str, second: str, language: str | None = None) -> DataFrame:
+    """One row: sums of edits and lengths by two scorings of the same rows, of
+    which both keep the reference."""
+    a = rescored(df, first, language).withColumnsRenamed({"edits": "edits_first", "length": "length_first"})
+    b = rescored(a, second, language).where("length_first > 0 and length > 0")
+    return b.agg(*[F.sum(c).alias(n) for c, n in (("edits_first", "edits_first"), ("length_first", "length_first"), ("edits", "edits_second"), ("length", "length_second"))])

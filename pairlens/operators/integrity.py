@@ -3,6 +3,8 @@ findings as rows; no rows means that all is well."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,14 @@ def not_subset(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     return part.select(key).distinct().join(whole.select(key), key, "left_anti")
 
 
+def same_ids(sets: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """(key, sets): ids that some sets have and others lack; no row means that
+    all have the same ids."""
+    long = [d.select(key, F.lit(name).alias("_s")) for name, d in sets.items()]
+    n = reduce(DataFrame.unionAll, long).groupBy(key).agg(F.array_sort(F.collect_set("_s")).alias("sets"))
+    return n.where(F.size("sets") < len(sets))
+
+
 def repeated_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 

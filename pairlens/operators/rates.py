@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def rate(edits: str = "edits", length: str = "length") -> Column:
     """Sum of edits over sum of lengths; null if the latter is 0."""
@@ -28,12 +30,13 @@ def decoding_counts(df: DataFrame, with_retries: bool = True) -> DataFrame:
     retry = lambda c: F.count_if(c) if with_retries else F.lit(None).cast("long")
     return df.agg(
         retry(F.col("temperature") > 0).alias("redecoded"), retry(F.col("fallback_exhausted")).alias("exhausted"),
-        F.count_if(F.trim("hypothesis") == "").alias("empty"), F.count_if(F.col("edits") > F.col("length")).alias("loops"))
+        F.count_if(strip("hypothesis") == "").alias("empty"), F.count_if(F.col("edits") > F.col("length")).alias("loops"))
 
 
 def latency_summary(df: DataFrame, value: str, *by: str, digits: int = 3) -> DataFrame:
-    """Median and 90th percentile, exact and linear between neighbours; null for no rows."""
-    p = lambda q: F.round(F.percentile(value, F.lit(q)), digits)
+    """Median and 90th percentile, exact and linear between neighbours, rounded
+    half to even; null for no rows."""
+    p = lambda q: F.bround(F.percentile(value, F.lit(q)), digits)
     return df.groupBy(*by).agg(p(0.5).alias("median"), p(0.9).alias("p90"))
 
 

@@ -15,10 +15,13 @@ shuffle.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import hash_rank
+
 SAMPLES, SEED = 1000, 0
 
 
@@ -27,10 +30,9 @@ def _draw(seed: int, rep: Column, slot: Column) -> Column:
 
 
 def _units(df: DataFrame, values: list[str], unit: str) -> DataFrame:
-    """Sums of each unit and its position in code-point order of the unit."""
+    """Sums of each unit and its position in the order of the units' MD5."""
     sums = df.groupBy(F.col(unit).cast("string").alias("unit")).agg(*[F.sum(v).alias(v) for v in values])
-    # A total order needs one sequence; the rows are one narrow row per unit.
-    return sums.withColumn("pos", F.row_number().over(Window.orderBy("unit")) - 1)
+    return hash_rank(sums, F.md5("unit"), "unit", "pos")
 
 
 def resampled_sums(df: DataFrame, values: list[str], unit: str, samples: int = SAMPLES, seed: int = SEED, mode: str = "hash") -> DataFrame:
@@ -50,9 +52,9 @@ def resampled_sums(df: DataFrame, values: list[str], unit: str, samples: int = S
         rows = df.select(F.col(unit).cast("string").alias("key"), *values).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"))
         w = rows.select("rep", weight.alias("w"), *values)
         return w.groupBy(F.col("rep").cast("long").alias("rep")).agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
-    units = _units(df, values, unit)
     if mode == "parity":
-        return _parity(units, values, samples, seed)
+        return _parity([df], values, unit, samples, seed)
+    units = _units(df, values, unit)
     n = units.agg(F.count("*").alias("n"))
     slots = reps.join(F.broadcast(n)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot")).where("n > 0")
     picks = slots.select("rep", (_draw(seed, F.col("rep"), F.col("slot")) % F.col("n")).alias("pos"))
@@ -61,24 +63,36 @@ def resampled_sums(df: DataFrame, values: list[str], unit: str, samples: int = S
     return times.join(units, "pos").groupBy("rep").agg(*[F.sum(F.col(v) * F.col("times")).alias(v) for v in values])
 
 
-def _parity(units: DataFrame, values: list[str], samples: int, seed: int) -> DataFrame:
+def _parity(sets: list[DataFrame], values: list[str], unit: str, samples: int, seed: int) -> DataFrame:
+    """The sums of numpy's draws; of several sets, each one's draws follow the
+    other's from one generator, and a value of set k is named ``value_k``."""
     import numpy as np
     import pandas as pd
 
+    count = len(sets)  # the function below must not carry the sets along
+    names = [f"{v}_{k}" if count > 1 else v for k in range(count) for v in values]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        n, made = len(pdf), []
-        own = [pdf[v].to_numpy() for v in values]
-        generator, most = np.random.default_rng(seed), max(1, (1 << 22) // max(n, 1))
-        for start in range(0, samples, most):
-            picks = generator.integers(0, n, size=(min(most, samples - start), n))
-            made.append(np.stack([v[picks].sum(axis=1) for v in own], 1))
-        out = pd.DataFrame(np.concatenate(made), columns=values)
+        # Code points' order, which UTF-8 keeps.
+        pdf = pdf.sort_values(["_set", "unit"])
+        generator, made = np.random.default_rng(seed), []
+        for k in range(count):
+            own = [pdf.loc[pdf["_set"] == k, v].to_numpy() for v in values]
+            n = len(own[0])
+            most, parts = max(1, (1 << 22) // max(n, 1)), []
+            for start in range(0, samples, most):
+                picks = generator.integers(0, n, size=(min(most, samples - start), n))
+                parts.append(np.stack([v[picks].sum(axis=1) for v in own], 1))
+            made.append(np.concatenate(parts))
+        out = pd.DataFrame(np.concatenate(made, axis=1), columns=names)
         out.insert(0, "rep", range(samples))
         return out
 
+    units = reduce(DataFrame.unionAll, [
+        d.groupBy(F.col(unit).cast("string").alias("unit")).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_set", F.lit(k)) for k, d in enumerate(sets)])
     kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
-    return units.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, ", ".join(["rep long", *[f"{v} {kinds[v]}" for v in values]]))
+    schema = ", ".join(["rep long", *[f"{n} {kinds[v]}" for n, v in zip(names, values * count, strict=True)]])
+    return units.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, schema)
 
 
 def _ends(df: DataFrame, value: Column, level: float = 0.95) -> DataFrame:
@@ -98,16 +112,27 @@ def difference_interval(df: DataFrame, unit: str, a: str = "edits_a", b: str = "
 
 
 def leave_one_out(df: DataFrame, block: str, a: str = "edits_a", b: str = "edits_b", length: str = "length") -> DataFrame:
-    """(block, delta): rate(a) - rate(b) of all other blocks."""
+    """(block, delta): rate(a) - rate(b) of all other blocks.  The totals come
+    from the blocks' own sums, one narrow row each, so rows are read once."""
     sums = df.groupBy(block).agg(*[F.sum(v).alias(v) for v in (a, b, length)])
-    total = sums.agg(*[F.sum(v).alias(f"all_{v}") for v in (a, b, length)])
-    rest = lambda v: F.col(f"all_{v}") - F.col(v)
-    return sums.join(F.broadcast(total)).select(block, F.try_divide(rest(a) - rest(b), rest(length)).alias("delta"))
+    rest = lambda v: F.sum(v).over(Window.partitionBy()) - F.col(v)
+    return sums.select(block, F.try_divide(rest(a) - rest(b), rest(length)).alias("delta"))
 
 
-def share_interval(first: DataFrame, second: DataFrame, unit: str, a: str = "edits_a", b: str = "edits_b", length: str = "length", seed: int = SEED, **how) -> DataFrame:
+def share_interval(
+    first: DataFrame, second: DataFrame, unit: str, a: str = "edits_a", b: str = "edits_b", length: str = "length", samples: int = SAMPLES,
+    seed: int = SEED, mode: str = "hash",
+) -> DataFrame:
     """(low, high) of the difference of two sets' paired differences, the b-th
-    draw of one with the b-th of the other."""
-    delta = lambda df, s: resampled_sums(df, [a, b, length], unit, seed=s, **how).select("rep", (F.col(a) / F.col(length) - F.col(b) / F.col(length)).alias(f"d{s}"))
-    x, y = delta(first, seed), delta(second, seed + 1)
-    return _ends(x.join(y, "rep"), F.col(f"d{seed}") - F.col(f"d{seed + 1}"))
+    draw of one with the b-th of the other.  In ``parity`` both sets' draws come
+    from one generator, the first's before the second's."""
+    if samples < 1:
+        raise ValueError(f"at least one sample is needed, not {samples}")
+    values = [a, b, length]
+    if mode == "parity":
+        d = _parity([first, second], values, unit, samples, seed)
+    else:
+        sides = [resampled_sums(x, values, unit, samples, seed + k, mode) for k, x in enumerate((first, second))]
+        d = reduce(lambda x, y: x.join(y, "rep"), [x.withColumnsRenamed({v: f"{v}_{k}" for v in values}) for k, x in enumerate(sides)])
+    delta = lambda k: F.col(f"{a}_{k}") / F.col(f"{length}_{k}") - F.col(f"{b}_{k}") / F.col(f"{length}_{k}")
+    return _ends(d, delta(0) - delta(1))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,18 +13,24 @@ def hash_pick(df: DataFrame, column: str, count: int) -> DataFrame:
     return df.select(column).distinct().orderBy(F.sha2(F.col(column), 256), column).limit(count)
 
 
-def hash_share(df: DataFrame, key: str, percent: int = 15) -> DataFrame:
-    """The first ``percent`` of the distinct keys by hash, rounded half up.
-
-    The bound is found from hash prefixes' counts, so ranking is done within
-    one prefix only: no sort of all keys in one task.
-    """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", F.sha2(F.col(key), 256)).withColumn("_p", F.substring("_h", 1, 3))
-    sizes = keys.groupBy("_p").agg(F.count("*").alias("n"))
+def hash_rank(df: DataFrame, digest: Column, then: str, name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place from 0 in the order of a hex
+    digest, then of ``then``.  Counts per prefix of the digest give where each
+    prefix begins, so ranking is done within one prefix: no task sorts all."""
+    d = df.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))
     order = Window.orderBy("_p")  # 4096 rows at most
-    bounds = sizes.select("_p", (F.sum("n").over(order) - F.col("n")).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_all"))
-    ranked = keys.join(F.broadcast(bounds), "_p").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
-    return ranked.where(F.col("_rank") <= F.floor((F.col("_all") * percent + 50) / 100)).select(key)
+    bounds = sizes.select("_p", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", then)) - 1
+    return d.join(F.broadcast(bounds), "_p").withColumn(name, place).drop("_h", "_p", "_before")
+
+
+def hash_share(df: DataFrame, key: str, percent: int = 15) -> DataFrame:
+    """The first ``percent`` of the distinct keys by hash, rounded half up."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    n = keys.agg(F.count("*").alias("_all"))
+    ranked = hash_rank(keys, F.sha2(F.col(key), 256), key, "_rank")
+    return ranked.join(F.broadcast(n)).where(F.col("_rank") < F.floor((F.col("_all") * percent + 50) / 100)).select(key)
 
 
 def route(df: DataFrame, held: DataFrame, key: str, unseen: bool) -> DataFrame:
@@ -60,7 +68,43 @@ def best_of(df: DataFrame, value: str, position: str, label: str) -> DataFrame:
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int, batch: int) -> DataFrame:
     """A hash permutation of an epoch in batches of equal size; the remainder goes."""
-    w = Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed + epoch), F.col(key).cast("string"))), key)
-    d = df.withColumn("position", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("position") / batch))
+    digest = F.md5(F.concat_ws(":", F.lit(seed + epoch), F.col(key).cast("string")))
+    d = hash_rank(df, digest, key, "position").withColumn("batch", F.floor(F.col("position") / batch))
     n = df.agg(F.count("*").alias("_n"))
     return d.join(F.broadcast(n)).where(F.col("batch") < F.floor(F.col("_n") / batch)).drop("_n")
+
+
+def step_batch(step: Column, accumulate: int, per_epoch: int, override: tuple[int, int] | None = None) -> Column:
+    """The micro-batches of a training step, counted from 0 over all epochs, as
+    an array of (epoch, batch): ``accumulate`` in a row from (step - 1) *
+    accumulate.  ``override``: a step, and the batch that it takes instead."""
+    first = (step - 1) * accumulate
+    usual = F.transform(F.sequence(first, first + accumulate - 1), lambda m: F.struct(
+        F.floor(m / per_epoch).alias("epoch"), (m % per_epoch).cast("long").alias("batch")))
+    if override is None:
+        return usual
+    other = F.array_repeat(F.struct(F.lit(0).cast("long").alias("epoch"), F.lit(override[1]).cast("long").alias("batch")), accumulate)
+    return F.when(step == override[0], other).otherwise(usual)
+
+
+def last_complete(df: DataFrame, step: str, path: str, complete: str) -> DataFrame:
+    """The path of the last checkpoint that is complete; null if none is."""
+    return df.agg(F.max_by(F.when(F.col(complete), F.col(path)), F.when(F.col(complete), F.col(step))).alias(path))
+
+
+def head(df: DataFrame, position: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the set's order."""
+    return df.orderBy(position).limit(n)
+
+
+def all_keys(sets: list[DataFrame], key: str) -> DataFrame:
+    """The distinct keys of all sets."""
+    return reduce(DataFrame.unionAll, [s.select(key) for s in sets]).distinct()
+
+
+def route_by_original(rewritten: DataFrame, original: DataFrame, held: DataFrame, id_col: str, key: Column, unseen: bool) -> DataFrame:
+    """Rows of a rewritten set by the key of their original's text: those whose
+    key is held out, or is not.  ``key`` is over ``original``; its name in
+    ``held`` is ``key``."""
+    keyed = original.select(id_col, key.alias("key"))
+    return route(rewritten.join(keyed, id_col), held, "key", unseen).drop("key")

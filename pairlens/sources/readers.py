@@ -47,11 +47,16 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
-    """A step log's steps, without events, the last line of each step."""
+    """A step log's steps, without events, the last line of each step.  Files
+    follow each other by the time of their last change, then name."""
     from ..operators.steps import last_wins
 
-    d = spark.read.schema(STEP).json(path).where("event is null and step is not null").drop("event")
-    return last_wins(d.withColumn("_line", F.monotonically_increasing_id()), "step", "_line").drop("_line")
+    d = spark.read.schema(STEP).json(path)
+    # Rows of a split are read in order, so their numbers rise within it.
+    m = F.col("_metadata")
+    line = F.struct(m["file_modification_time"], m["file_path"], m["file_block_start"], F.monotonically_increasing_id())
+    d = d.withColumn("_line", line).where("event is null and step is not null").drop("event")
+    return last_wins(d, "step", "_line").drop("_line")
 
 
 def read_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
@@ -66,6 +71,17 @@ def read_map(spark: SparkSession, path: str, field: str, value: str) -> DataFram
     return d.select(F.explode(field).alias("key", "value"))
 
 
+def read_speed(spark: SparkSession, path: str, preset: str, run: str) -> DataFrame:
+    """The runs (of type ``run``) of a speed file.  Another preset, or a file
+    that says it isn't complete, is an error; a file that says nothing is."""
+    d = spark.read.schema(f"preset string, complete boolean, runs array<{run}>").json(path, multiLine=True)
+    kind = f"array<{run}>"
+    runs = (
+        F.when(~F.col("preset").eqNullSafe(preset), F.raise_error(F.concat(F.lit("the preset is "), F.coalesce("preset", F.lit("unknown")))).cast(kind))
+        .when(~F.coalesce("complete", F.lit(True)), F.raise_error(F.lit("the speed runs are not complete")).cast(kind)).otherwise(F.col("runs")))
+    return d.select(F.explode(runs).alias("r")).select("r.*")
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of the files under a folder."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -77,6 +93,12 @@ def first_object(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?ms)^(\{.*?^\})", 1), schema)
 
 
+def gpu_processes(text: Column) -> Column:
+    """The lines after ``Processes:`` that begin with a digit."""
+    after = F.when(F.contains(text, F.lit("Processes:")), F.substring_index(text, "Processes:", -1)).otherwise("")
+    return F.filter(F.split(after, "\r?\n"), lambda line: line.rlike("^[0-9]"))
+
+
 def gpu_line(text: Column) -> Column:
     """'memory, utilisation' as two integers."""
     part = F.split(text, ",")

@@ -3,7 +3,7 @@ a job's files all at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,14 @@ def rewrite_texts(df: DataFrame, column: str, rewrite) -> DataFrame:
     """``df`` with the texts rewritten and whether each changed."""
     d = df.withColumn("_new", rewrite(F.col(column)))
     return d.withColumn("changed", ~F.col(column).eqNullSafe(F.col("_new"))).withColumn(column, F.col("_new")).drop("_new")
+
+
+def rewrite_set(spark: SparkSession, path: str, to: str, rewrite) -> DataFrame:
+    """Writes a set file with its texts rewritten, and says (rows, changed)."""
+    from .readers import read_set
+
+    d = rewrite_texts(read_set(spark, path).drop("seconds"), "text", rewrite)
+    u = F.struct("id", "speaker", "text", "store", "offset", "length")
+    one = d.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("pos", u.alias("u")))).alias("rows"))  # a set is one file, hence one row
+    write_new(one.select("language", F.col("rows.u").alias("utterances")).coalesce(1), to)
+    return d.agg(F.count("*").alias("rows"), F.count_if("changed").alias("changed"))

@@ -12,12 +12,20 @@ from ..sources.readers import STEP
 
 
 def step_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The steps of a folder of JSON-line logs as a stream."""
-    return spark.readStream.schema(STEP).json(path).where("event is null and step is not null").drop("event").withColumn("seen", F.col("_metadata.file_modification_time"))
+    """The steps of a folder of JSON-line logs as a stream, with ``seen``: the
+    file's last change, its path and the line's number.  A file is a row on its
+    way, as streams number no rows else, so logs are cut well below 2 GiB."""
+    files = spark.readStream.format("text").option("wholetext", True).load(path)
+    lines = files.select(
+        F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"),
+        F.posexplode(F.split("value", "\r?\n")).alias("number", "line"))
+    d = lines.select(F.from_json("line", STEP).alias("s"), F.struct("changed", "file", "number").alias("seen"))
+    return d.select("s.*", "seen").where("event is null and step is not null").drop("event")
 
 
 def latest_steps(stream: DataFrame) -> DataFrame:
-    """The latest row of each step; state is a row per step."""
+    """The row of each step that was written last.  The state is one row per
+    step, so it grows with the number of steps, not with what is written."""
     rest = [c for c in stream.columns if c != "step"]
     top = stream.groupBy("step").agg(F.max_by(F.struct(*rest), "seen").alias("r"))
     return top.select("step", *[F.col(f"r.{c}").alias(c) for c in rest])

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairlens.functions import text
+from pairlens.functions.numerals import as_column, harmonize
 from pairlens.operators import compare, integrity, overlap, rates, resample, splits, steps
-from pairlens.plans import verdicts
+from pairlens.plans import reports, verdicts
 from pairlens.sources import readers, writers
 from pairlens.streaming import steps as streaming
 
@@ -105,6 +107,148 @@ def test_cardinality_of_all_sources(spark, tmp_path):
     assert got == {("src1", 49, 50), ("src2", 50, None), (None, 2, None)}
 
 
+def test_rescored(spark):
+    d = spark.createDataFrame(
+        [("a", "he earned $5", "he earned 5"), ("b", "it's fine", "it is fine"), ("c", "um", "x"), ("d", None, "x")], "id string, reference string, hypothesis string")
+    got = {r.id: (r.edits, r.length, r.reference) for r in compare.rescored(d, "en-standard", "en").collect()}
+    assert got == {"a": (1, 3, "he earned $5"), "b": (0, 3, "it's fine"), "c": (0, 0, "um"), "d": (0, 0, None)}
+    k = spark.createDataFrame([("a", "오십 퍼센트", "50%"), ("b", "...", "x"), ("c", "오 월, 초", "5월 말")], "id string, reference string, hypothesis string")
+    assert {r.id: (r.edits, r.length) for r in compare.rescored(k, "harmonized").collect()} == {"a": (0, 5), "b": (0, 0), "c": (1, 3)}
+    assert compare.scoring_totals(k, "itn", "harmonized").first().asDict() == {"edits_first": 3 + 2, "length_first": 5 + 3, "edits_second": 1, "length_second": 8}
+    assert {r.id for r in compare.scoring_diff(k, "itn", "harmonized").collect()} == {"a", "c"}
+    for scoring, language in (("en-standard", "ko"), ("harmonized", "en")):
+        with pytest.raises(ValueError, match="scoring is for"):
+            compare.rescored(k, scoring, language)
+    shown = spark.createDataFrame([("It's $5!",)], "t string").select(compare.compared("t", "en-standard"), compare.compared("t", "harmonized")).first()
+    assert tuple(shown) == ("It's $5!", "its5")
+
+
+def test_one_generator_for_two_sets(spark):
+    rows, d = _pairs(spark, 30)
+    first, second = d.where("id < 'u012'"), d.where("id >= 'u012'")
+    a, b, n = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+    generator, deltas = np.random.default_rng(0), []
+    for part in (slice(0, 12), slice(12, 30)):
+        x, y, z = a[part], b[part], n[part]
+        picks = generator.integers(0, len(x), (60, len(x)))
+        deltas.append(x[picks].sum(1) / z[picks].sum(1) - y[picks].sum(1) / z[picks].sum(1))
+    want = np.percentile(deltas[0] - deltas[1], [2.5, 97.5])
+    assert tuple(resample.share_interval(first, second, "id", samples=60, mode="parity").first()) == pytest.approx(tuple(want), abs=1e-15)
+
+
+def test_table_and_blocks(spark):
+    rows, d = _pairs(spark)
+    made = {x: d.select("id", "length", F.col(f"edits_{x}").alias("edits")) for x in "ab"}
+    listed = d.where("id < 'u010'").select("id")
+    got = {(r.subset, r.report): r for r in reports.comparison_table(made, "b", listed, samples=80).collect()}
+    assert set(got) == {(s, x) for s in ("all", "no digits") for x in "ab"} and got["no digits", "a"].utterances == 30
+    x = got["all", "a"]
+    assert (x.delta_low, x.delta_high) == tuple(resample.difference_interval(d, "id", samples=80).first()) and got["all", "b"].delta is None
+    assert (x.low, x.high) == tuple(resample.interval(d, "id", "edits_a", samples=80).first())
+    with pytest.raises(Exception, match="different reference lengths"):
+        reports.comparison_table({**made, "c": made["a"].withColumn("length", F.col("length") + 1)}, samples=5).collect()
+    with pytest.raises(ValueError):
+        reports.comparison_table(made, "c")
+    r = reports.block_report(d, "id", "block", samples=50).first()
+    left = {y.block: y.delta for y in resample.leave_one_out(d, "block").collect()}
+    assert (r.blocks, r.least, left[r.least_without], r.greatest, left[r.greatest_without]) == (7, min(left.values()), min(left.values()), max(left.values()), max(left.values()))
+    tie = spark.createDataFrame([(k, k, 1, 0, 10) for k in "cab"], "id string, block string, edits_a long, edits_b long, length long")
+    r = reports.block_report(tie, "id", "block", samples=5).first()
+    assert (r.least_without, r.greatest_without) == ("a", "a")
+    half = d.withColumn("edits_a", F.col("edits_b") + 3)
+    spec = lambda recorded: reports.Registered(4, "x", half, "excludes 0", recorded)
+    assert reports.robust([spec(True)], "id", "block", samples=50).first()["mark"] == "same"
+    with pytest.raises(Exception, match="4: the interval by rows"):
+        reports.robust([spec(False)], "id", "block", samples=50).collect()
+
+
+def test_marked_ids(spark):
+    sets = {n: spark.createDataFrame(r, "id string, has_digit boolean") for n, r in (("x", [("1", True), ("2", False), ("3", None)]), ("y", [("1", True), ("2", True), ("3", False)]))}
+    assert sorted(tuple(r) for r in reports.marked_ids(sets).collect()) == [("1", ["x", "y"]), ("2", ["y"])]
+    assert tuple(reports.marked_counts(sets).first()) == ({"x": 1, "y": 2}, 2, 3)
+
+
+def test_arms(spark):
+    kinds = "arm string, loop_before boolean, redecoded boolean, loop_after boolean"
+    flags = spark.createDataFrame([("p", True, True, True), ("q", True, True, False), ("q", False, False, False), ("r", True, True, False)], kinds)
+    highs = spark.createDataFrame([("p", 0.0), ("q", 0.002), ("q", 0.0), ("r", 0.001)], "arm string, high double")
+    got = reports.arm_conditions(flags, highs)
+    assert {r.arm: (r.tested, r.stops, r.harmless) for r in got.collect()} == {"p": (True, False, True), "q": (True, True, False), "r": (True, True, True)}
+    assert reports.pick_arm(got, ["p", "q", "r"]).first()["picked"] == "r"
+    assert reports.pick_arm(got.where("arm <> 'r'"), ["p", "q"]).first()["picked"] is None
+    for bad in (flags.withColumn("redecoded", F.lit(False)), flags.withColumn("loop_before", F.lit(False))):
+        with pytest.raises(Exception, match="not decoded again"):
+            reports.pick_arm(reports.arm_conditions(bad, highs), ["p"]).collect()
+
+
+def test_overlap_record(spark):
+    train = spark.createDataFrame([("A b.", "s"), ("a b", "t"), ("c", "")], "text string, speaker string")
+    rows = spark.createDataFrame([("v", " a b", "s"), ("v", "A B!", "u"), ("v", "d", ""), ("w", "c", "t")], "set string, text string, speaker string")
+    got = {(r.set, r.kind): r for r in reports.overlap_record(train, rows, "ko").collect()}
+    x = got["v", "normalized"]
+    assert (x.utterances, x.in_train, x.sentences, x.sentences_in_train, x.repeated_sentences, x.repeated_utterances, x.most_reads, x.speakers, x.speakers_in_train) == (3, 2, 2, 1, 1, 2, 2, 2, 1)
+    x = got["v", "raw"]
+    assert (x.in_train, x.sentences, x.sentences_in_train, x.repeated_sentences, x.most_reads) == (1, 3, 1, 0, 1)
+    assert {r.kind: (r.utterances, r.sentences, r.most_reads, r.repeated_sentences, r.speakers) for r in reports.train_record(train, "ko").collect()} == {"raw": (3, 3, 1, 0, 2), "normalized": (3, 2, 2, 1, 2)}
+    with pytest.raises(Exception, match="language is not ko"):
+        reports.overlap_record(train.withColumn("language", F.lit("ko")), rows.withColumn("language", F.lit("en")), "ko").collect()
+
+
+@pytest.mark.parametrize(("candidate", "verdict", "memory"), [
+    ((4, 2), "gains on unseen sentences", "memory is small"), ((6, 2), "gains on unseen sentences", "half of the gain or more is memory"), ((5, 2), "gains on unseen sentences", "part of the gain is memory"),
+    ((8, 2), "shows no gain on unseen sentences", "half of the gain or more is memory"),
+])
+def test_holdout_report(spark, candidate, verdict, memory):
+    def made(unseen, seen):
+        return spark.createDataFrame([(f"{k}{i}", "r", e, 20) for k, e in (("u", unseen), ("s", seen)) for i in range(6)], "id string, reference string, edits long, length long")
+
+    full, base = made(4, 2), made(8, 8)
+    ids = base.select("id")
+    unseen, seen = ids.where("id like 'u%'"), ids.where("id like 's%'")
+    r = reports.holdout_report(made(*candidate), full, base, unseen, seen, samples=20).first()
+    assert (r.verdict, r.interpretation) == (verdict, memory) and r.gain == pytest.approx(0.2) and r.share_low == pytest.approx(r.share)
+    if candidate == (4, 2):
+        assert reports.holdout_report(base, base, full, unseen, seen, samples=5).first()["interpretation"] == "not interpreted"
+        with pytest.raises(Exception, match="cover all ids"):
+            reports.holdout_report(full.where("id <> 'u3'"), full, base, unseen, seen, samples=5).collect()
+
+
+def test_sets_of_keys(spark):
+    a, b = (spark.createDataFrame([(i,) for i in x], "id string") for x in (["1", "2", "2"], ["2", "3"]))
+    assert sorted(tuple(r) for r in integrity.same_ids({"a": a, "b": b}).collect()) == [("1", ["a"]), ("3", ["b"])]
+    assert integrity.same_ids({"a": a, "b": a}).count() == 0
+    assert sorted(r.id for r in splits.all_keys([a, b], "id").collect()) == ["1", "2", "3"]
+    original = spark.createDataFrame([("1", "x y"), ("2", "z")], "id string, text string")
+    new = spark.createDataFrame([("1", "xy2"), ("2", "z2")], "id string, text string")
+    held = spark.createDataFrame([("xy",)], "key string")
+    for unseen, want in ((True, [("1", "xy2")]), (False, [("2", "z2")])):
+        assert [tuple(r) for r in splits.route_by_original(new, original, held, "id", text.normalize("text", "ko"), unseen).collect()] == want
+    points = spark.createDataFrame([(10, "p", True), (30, "q", False), (20, "r", True)], "step int, path string, ok boolean")
+    assert splits.last_complete(points, "step", "path", "ok").first()["path"] == "r"
+    assert splits.last_complete(points.where("not ok"), "step", "path", "ok").first()["path"] is None
+    step = spark.range(1, 5).select("id", splits.step_batch(F.col("id"), 2, 3, (4, 9)).alias("b")).collect()
+    assert [[tuple(x) for x in r.b] for r in step] == [[(0, 0), (0, 1)], [(0, 2), (1, 0)], [(1, 1), (1, 2)], [(0, 9), (0, 9)]]
+
+
+def test_order_of_log_lines(spark, tmp_path):
+    """Two files, the second newer and of several splits; the last line wins."""
+    import os
+
+    for name, stamp, loss in (("z", 1_000, 1.0), ("a", 2_000, 2.0)):
+        path = tmp_path / "logs" / f"{name}.jsonl"
+        path.parent.mkdir(exist_ok=True)
+        lines = [{"step": s, "loss": loss + k / 1000, "seconds": 1.0} for k in range(400) for s in (1, 2)] + [{"event": "end"}]
+        path.write_text("\n".join(map(json.dumps, lines)) + "\n")
+        os.utime(path, (stamp, stamp))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.step: r.loss for r in readers.read_steps(spark, str(tmp_path / "logs")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {1: 2.399, 2: 2.399}
+
+
 def test_step_log(spark, tmp_path):
     lines = [{"step": s, "loss": 1.0, "skipped": s == 3, "seconds": float(s), "longest": s == 5, "peak_allocated_mb": 10} for s in range(1, 6)]
     lines.insert(2, {"event": "resume"})
@@ -121,11 +265,11 @@ def test_step_log(spark, tmp_path):
 
 def test_stream_keeps_the_latest(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"step": 1, "loss": 2.0}\n{"event": "x"}\n')
+    (tmp_path / "in" / "a.json").write_text('{"step": 1, "loss": 3.0}\n{"step": 2, "loss": 5.0}\n{"event": "x"}\n{"step": 1, "loss": 2.0}\n')
     q = streaming.latest_steps(streaming.step_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("latest").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert [(r.step, r.loss) for r in spark.table("latest").collect()] == [(1, 2.0)]
+    assert sorted((r.step, r.loss) for r in spark.table("latest").collect()) == [(1, 2.0), (2, 5.0)]
 
 
 def test_retry_states():
@@ -168,3 +312,50 @@ def test_readers_and_writers(spark, tmp_path):
         writers.write_new(spark.createDataFrame([(float("nan"),)], "x double"), str(tmp_path / "nan"))
     (tmp_path / "m.csv").write_text("time,shared_mb\nt,\nu,3.5\n")
     assert [r.shared_mb for r in readers.read_csv(spark, str(tmp_path / "m.csv"), ["shared_mb"]).collect()] == [None, 3.5]
+
+
+def test_sets_summaries_and_speed(spark, tmp_path):
+    u = {"id": "a", "speaker": "s", "text": "오십 퍼센트", "store": "x", "offset": 0, "length": 32000}
+    (tmp_path / "set.json").write_text(json.dumps({"language": "ko", "utterances": [u, {**u, "id": "b", "text": "그대로"}]}))
+    got = readers.read_set(spark, str(tmp_path / "set.json")).orderBy("pos").collect()
+    assert [(r.language, r.pos, r.id, r.seconds) for r in got] == [("ko", 0, "a", 2.0), ("ko", 1, "b", 2.0)]
+    n = writers.rewrite_set(spark, str(tmp_path / "set.json"), str(tmp_path / "new"), lambda c: as_column(harmonize, c))
+    assert tuple(n.first()) == (2, 1)
+    assert [r.text for r in readers.read_set(spark, str(tmp_path / "new")).orderBy("pos").collect()] == ["50퍼센트", "그대로"]
+    row = {"id": "a", "reference": "오십 퍼센트", "hypothesis": "50%", "edits": 9, "length": 5}
+    (tmp_path / "report.json").write_text(json.dumps({"summary": {"count": 1}, "utterances": [row, {**row, "id": "b", "reference": ".", "length": 1}]}))
+    assert [(r.id, r.edits) for r in reports.load_report(spark, str(tmp_path / "report.json"), "ko").collect()] == [("a", 9), ("b", 9)]
+    assert [(r.id, r.edits, r.length) for r in reports.load_report(spark, str(tmp_path / "report.json"), "ko", "harmonized").collect()] == [("a", 0, 5)]
+    with pytest.raises(ValueError, match="scoring is for"):
+        reports.load_report(spark, str(tmp_path / "report.json"), "en", "harmonized")
+    assert readers.read_summary(spark, str(tmp_path / "report.json")).first()["count"] == 1
+    speed = {"preset": "p", "runs": [{"label": "x", "idle": 1.5}]}
+    for name, more in (("ok", {}), ("done", {"complete": True}), ("part", {"complete": False}), ("other", {"preset": "q"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps({**speed, **more}))
+        d = readers.read_speed(spark, str(tmp_path / f"{name}.json"), "p", "struct<label:string,idle:double>")
+        if name in ("ok", "done"):
+            assert [tuple(r) for r in d.collect()] == [("x", 1.5)]
+        else:
+            with pytest.raises(Exception, match="not complete" if name == "part" else "preset is q"):
+                d.collect()
+
+
+def test_inventory_logs_and_lines(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.bin").write_bytes(b"abc")
+    r = readers.inventory(spark, str(tmp_path / "f")).first()
+    assert r.path.endswith("a.bin") and (r.bytes, r.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
+    (tmp_path / "m.json").write_text(json.dumps({"files": {"a": {"bytes": 3}, "b": {"bytes": 4}}}))
+    assert {(r.key, r.value.bytes) for r in readers.read_map(spark, str(tmp_path / "m.json"), "files", "struct<bytes:long>").collect()} == {("a", 3), ("b", 4)}
+    for k in (1, 2):
+        writers.append_log(spark.createDataFrame([(k, 0.5)], "step long, loss double"), str(tmp_path / "log"))
+    assert {r.step for r in readers.read_steps(spark, str(tmp_path / "log")).collect()} == {1, 2}
+    lines = "noise\n{\n \"a\": {\"b\": 1}\n}\n{\n \"a\": null\n}\n"
+    out = "12, 3\nProcesses:\n17, x\nname\n4 y"
+    d = spark.createDataFrame([(lines, out)], "t string, g string").select(
+        readers.first_object(F.col("t"), "a struct<b:int>").alias("o"), readers.gpu_line(F.split("g", "\n")[0]).alias("l"), readers.gpu_processes(F.col("g")).alias("p")).first()
+    assert d.o.a.b == 1 and tuple(d.l) == (12, 3) and d.p == ["17, x", "4 y"]
+    paths = spark.createDataFrame([("/x/train-00012.parquet",), ("a/3.parquet",)], "p string").select(readers.file_order(F.col("p")).alias("n")).collect()
+    assert [r.n for r in paths] == [12, 3]
