@@ -5,6 +5,7 @@ spelled numbers as digits, and British spellings mapped by a given table."""
 from __future__ import annotations
 
 import re
+from itertools import zip_longest
 
 FILLERS = {"hmm", "mm", "mhm", "mmm", "uh", "um"}
 CONTRACTIONS = [
@@ -29,7 +30,7 @@ def _numbers(words: list[str]) -> list[str]:
             out.append(str(total + part))
         total, part = 0, None
 
-    for w, after in zip(words, [*words[1:], ""], strict=True):
+    for w, after in zip_longest(words, words[1:], fillvalue=""):
         if w in SMALL:
             fits = part is None or part % 100 == 0 or part % 10 == 0 and part % 100 >= 20 and 0 < SMALL[w] < 10
             if not fits:

@@ -77,6 +77,7 @@ def test_english_form():
     assert normalize_english("colour", {"colour": "color"}) == "color"
     assert normalize_english("twenty five, one hundred and two") == "25 102"
     assert normalize_english("one hundred and all") == "100 and all"
+    assert normalize_english("") == normalize_english("um [x]") == ""
 
 
 def test_normalize(spark):
