@@ -13,9 +13,12 @@ in common drop out.  For candidates, the parities of the counts in very many nar
 fragments bound the difference from below, and pairs that it rules out go.  For
 the rest the overlap is counted in each of ``COUNT_FRAGMENTS`` wide fragments
 separately and summed per pair.  Equal sets are one node from the
-start.  Within a shared fragment, sets are compared with a few hubs rather than
-all with all; a fragment is done when its sets are in one component or each has
-been a hub, so no link between components is missed.
+start.  Within a shared fragment, the sketches of blocks of sets are compared at
+once, and only the most alike pairs that would connect the fragment are counted.
+A fragment is done when its sets are in one component or every pair across
+components that its sketches allow has been counted, so no link between
+components is missed.  Links within a component are not all counted: the result
+has components, no number of links.
 """
 
 from __future__ import annotations
@@ -25,16 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, written
-from .components import components
+from .common import bounded_broadcast, discard, drop_shuffles, in_parts, small_batches, written
+from .components import ROWS, components
 from .texthash import mix, shingle_sets
 from .tokens import text_slices
 
 #: Fragments beyond the bound, of which as many may be empty in both sets.
 SLACK = 8
 COUNT_FRAGMENTS = 4
-#: Hubs of an unsettled fragment per round.
-HUBS = 256
+#: Bytes of sketches of a fragment's sets that are compared at once, about.
+BLOCK_BYTES = 1 << 16
+#: Fragments of each set that are looked at first, the most shared; and how
+#: many pairs of two labels are counted at once, in the first round after.
+FIRST_FRAGMENTS, PAIRS = 3, 64
+#: Rows, blocks and pairs that a part of a table between has.
+BLOCKS, PAIRS_PER_PART = 2000, 20_000
 _U = np.uint64
 
 
@@ -82,16 +90,6 @@ def parity_sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """Two sets differ in at least so many elements, by their sketches."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):
-        if len(a) < len(b):
-            a, b = b, a
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -155,16 +153,15 @@ def ngram_join(
     kept = written(ranked.where(F.col("rank") <= F.col("c") - need + 1).select(
         "key", "node", F.shiftright("meta", 32).cast("int").alias("n")), "buckets")
     discard(spark, met)
-    if kept.limit(1).count() == 0:
-        links = None
-    else:
+    drop_shuffles(spark)
+    label = None
+    if kept.limit(1).count():
         sets = _sets(d, nodes, kept, k)
-        links = _settle(kept, sets, num, den)
+        label = _settle(kept, sets, num, den)
         discard(spark, sets)
     discard(spark, kept)
     by_class = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
-    if links is not None:
-        label = components(links)
+    if label is not None:
         linked = by_class.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = linked.groupBy("label").agg(F.min("own").alias("least"), F.sum("copies").alias("members")).where("members > 1")
         where = linked.join(least, "label").select("node", "least")
@@ -196,11 +193,101 @@ def _sets(d: DataFrame, nodes: DataFrame, kept: DataFrame, k: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["node", "part", "n", "hashes"])
 
-    found = d.join(bounded_broadcast(ids, 500_000), d["doc_id"].eqNullSafe(ids["doc_id"])).select(d["doc_id"], "text", "node")
+    found = d.join(bounded_broadcast(ids), d["doc_id"].eqNullSafe(ids["doc_id"])).select(d["doc_id"], "text", "node")
     out = found.mapInArrow(parts_of, "node long, part int, n long, hashes binary")
     return written(out.dropDuplicates(["node", "part"]), "sets")
 
 
+def _fold(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
+class _Members:
+    """Some sets of a fragment: node, size, label and sketch of each."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.node, self.n, self.label = (rows.field(k).to_numpy() for k in range(3))
+        sketches = rows.field(3).to_pylist()
+        lengths = np.array([len(x) for x in sketches])
+        self.groups = [
+            (at, np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1))
+            for at in (np.flatnonzero(lengths == n) for n in np.unique(lengths))
+        ]
+
+
+def within_reach(x: _Members, y: _Members, num: int, den: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in ``x`` and ``y`` of sets of different labels that the sketches
+    and sizes let link, and by how many elements they differ at least."""
+    out = []
+    for at, rows in x.groups:
+        for to, others in y.groups:
+            words = min(rows.shape[1], others.shape[1])
+            left, right = _fold(rows, words), _fold(others, words)
+            step = max(1, (1 << 21) // (len(to) * words))
+            for k in range(0, len(at), step):
+                i = at[k : k + step]
+                least = np.bitwise_count(left[k : k + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+                total = x.n[i][:, None] + y.n[to][None, :]
+                # a + b - 2 o differ, and o * (num + den) >= num * (a + b) is asked for.
+                good = ((total - least) * (num + den) >= 2 * num * total) & (x.label[i][:, None] != y.label[to][None, :])
+                if same:
+                    good &= i[:, None] < to[None, :]
+                a, b = np.nonzero(good)
+                out.append((i[a], to[b], least[a, b]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the edges (a, b), taken in order, join what isn't joined yet."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = x = top.get(y, y)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            top[x] = y
+            out.append(k)
+    return out
+
+
+def _propose(most: int, num: int, den: int):
+    """Pairs (a, b) to count, from pairs of blocks (key, x, y; y null: x with
+    itself): with ``most`` 0 the most alike ones that span all labels, else the
+    ``most`` most alike ones of each two labels.  ``more``: some are left out."""
+    def run(batches):
+        for batch in batches:
+            keys, xs, ys = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            for r in range(batch.num_rows):
+                x = _Members(xs[r].values)
+                same = not ys[r].is_valid
+                y = x if same else _Members(ys[r].values)
+                i, j, least = within_reach(x, y, num, den, same)
+                if not len(i):
+                    continue
+                a, b = np.minimum(x.node[i], y.node[j]), np.maximum(x.node[i], y.node[j])
+                p, q = np.minimum(x.label[i], y.label[j]), np.maximum(x.label[i], y.label[j])
+                if most == 0:
+                    order = np.lexsort((b, a, least))
+                    some = order[spanning(p[order], q[order])]
+                else:
+                    order = np.lexsort((b, a, least, q, p))
+                    first = np.concatenate([[True], (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)])
+                    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+                    some = order[np.arange(len(order)) - start < most]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, keys[r])), pa.array(a[some]), pa.array(b[some]), pa.array(np.full(n, n < len(order)))], names=["key", "a", "b", "more"])
+
+    return run
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link: overlaps by fragment, summed per pair."""
     def count(batches):
@@ -211,53 +298,78 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
-    def apart(batches):
-        for b in batches:
-            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            least = np.array([least_difference(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
-            # a + b - 2 o differ, and o * (num + den) >= num * (a + b) is asked for.
-            good = pa.array((na + nb - least) * (num + den) >= 2 * num * (na + nb))
-            yield pa.RecordBatch.from_arrays([c.filter(good) for c in b.columns[:2]], names=["a", "b"])
-
-    side = lambda t, n, m, h: t.select(F.col("node").alias(n), "part", F.col("n").alias(m), F.col("hashes").alias(h))
-    sketch, content = sets.where("part < 0"), sets.where("part >= 0")
-    seen = pairs.join(side(sketch, "a", "na", "x").drop("part"), "a").join(side(sketch, "b", "nb", "y").drop("part"), "b").select("a", "b", "na", "nb", "x", "y")
-    pairs = written(seen.mapInArrow(apart, "a long, b long"), "pairs")
-    left, right = side(content, "a", "na", "x"), side(content, "b", "nb", "y")
-    both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", "x", "y")
+    side = lambda n, m, h: sets.where("part >= 0").select(F.col("node").alias(n), "part", F.col("n").alias(m), F.col("hashes").alias(h))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), ["b", "part"]).select("a", "b", "na", "nb", "x", "y")
     total = both.mapInArrow(count, "a long, b long, na long, nb long, part long").groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
     return total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
 
 
+def _block_pairs(left: DataFrame, label: DataFrame | None, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of unsettled fragments, of about ``BLOCK_BYTES`` each, and
+    pairs of them (key, x, y) that may hold two labels.  Sets of a fragment's
+    most frequent label have blocks of their own.  Without labels yet, a block
+    meets itself and the fragment's first only."""
+    if label is None:
+        now, single = left.withColumn("label", F.col("node")), True
+    else:
+        now, single = left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), False
+    per = now.groupBy("key", "label").agg(F.sum("bytes").alias("c")).groupBy("key").agg(
+        F.sum("c").alias("size"), F.count("*").alias("kinds"), F.max_by("label", F.struct("c", "label")).alias("main")).where("kinds > 1")
+    deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_BYTES).cast("long"))
+    if not single:
+        deal = deal * 2 + (F.col("label") != F.col("main")).cast("int")
+    rows = now.join(per.select("key", "size", "main"), "key").select("key", "node", "label", deal.alias("block")).join(sketches, "node")
+    blocks = written(rows.groupBy("key", "block").agg(
+        F.collect_list(F.struct("node", "n", "label", "hashes")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+    other = blocks.select("key", F.col("block").alias("to"), F.col("x").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    own = blocks.where("lo < hi").select("key", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    several = blocks.groupBy("key").agg(F.min("block").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    cross = blocks.join(several, "key").join(other, "key").where("block < to and (lo < least(hi, lo2, hi2) or lo2 < greatest(lo, hi, hi2) or lo <> lo2)")
+    if single:
+        cross = cross.where("block = least")
+    n = blocks.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (2 if single else (F.col("n") + 1) / 2))).first()[0]
+    return blocks, in_parts(own.union(cross.select("key", "x", "y")), int(n or 0), BLOCKS)
+
+
 def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect the nodes as all links would."""
+    """(node, label): the components of the nodes by all links.
+
+    First, in the fragments that each set shares with most others, the most
+    alike sets that would connect the fragment are counted.  Then, of each two
+    labels that still meet in any fragment, the most alike pairs, ever more of
+    them, until each pair that the sketches allow has been counted or its sets
+    are connected."""
     spark = kept.sparkSession
-    w = Window.partitionBy("key").orderBy("node")
-    near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    # First each with one other: the least node of most of its fragments.
-    hub = F.first(F.struct("node", "n")).over(w)
-    first = kept.select("node", "n", hub.alias("to")).where("node <> to.node").where(near(F.col("n"), F.col("to.n")))
-    votes = first.groupBy("node", "to").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("to", F.struct("c", F.col("to.node"))).alias("to"))
-    pairs = votes.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct()
-    links = written(_overlaps(pairs, sets, num, den), "links")
-    left = kept.select("key", "node", "n")
+    sketches = sets.where("part < 0").select("node", "n", "hashes")
+    # Fragments of the same sets are one.
+    digest = kept.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    one = digest.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
+    size = (64 + F.col("n") / 2).cast("long").alias("bytes")
+    left = written(in_parts(kept.select("key", "node", size).join(one, "key"), kept.count(), ROWS), "fragments")
+    n = left.count()
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "key"))
+    near = written(in_parts(left.withColumn("rank", rank).where(F.col("rank") <= FIRST_FRAGMENTS).drop("rank"), n, ROWS), "fragments")
+    links = tested = label = None
+    most = 0
     while True:
-        label = components(links)
-        now = left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        now = written(now.join(mixed, "key", "left_semi"), "unsettled")
-        if now.limit(1).count() == 0:
-            discard(spark, now)
-            return links
-        # Hubs come from the smallest components; what has been a hub is done.
-        size = now.groupBy("key", "label").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("key").orderBy("size", "label", "node")
-        ranked = written(now.join(size, ["key", "label"]).withColumn("rank", F.row_number().over(order)), "ranked")
-        hubs = ranked.where(F.col("rank") <= HUBS).select("key", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl"), F.col("rank").alias("hr"))
-        cross = ranked.join(hubs, "key").where((F.col("label") != F.col("hl")) & (F.col("rank") > F.col("hr")) & near(F.col("n"), F.col("hn")))
-        pairs = cross.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        more = written(_overlaps(pairs, sets, num, den).union(links), "links")
-        rest = written(ranked.where(F.col("rank") > HUBS).select("key", "node", "n"), "rest")
-        for x in (links, now, ranked):
-            discard(spark, x)
-        left, links = rest, more
+        blocks, pairs = _block_pairs(left if most else near, label, sketches)
+        with small_batches(spark, 256):
+            found = written(pairs.mapInArrow(_propose(most, num, den), "key long, a long, b long, more boolean"), "proposed")
+        discard(spark, blocks)
+        new = found.select("a", "b").distinct()
+        if tested is not None:
+            new = new.join(tested, ["a", "b"], "left_anti")
+        new = written(in_parts(new, found.count(), ROWS), "pairs")
+        good = written(in_parts(_overlaps(new, sets, num, den), new.count(), PAIRS_PER_PART), "links")
+        if most == 0 or good.limit(1).count():
+            links = good if links is None else links.union(good)
+            label = components(links)
+        if most and found.where("more").limit(1).count() == 0:
+            return label
+        if most:  # what has no pair within reach now has none later
+            rest = written(in_parts(left.join(found.select("key").distinct(), "key", "left_semi"), n, ROWS), "fragments")
+            discard(spark, left)
+            left = rest
+        discard(spark, found)
+        tested = new if tested is None else tested.union(new)
+        most = max(PAIRS, most * PAIRS)
