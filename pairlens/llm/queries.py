@@ -147,13 +147,13 @@ l AS (SELECT row_number() OVER () AS x, r, doc_id, i, ls[i] AS t, list_filter(re
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda z: z <> '') AS w
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, r, i) AS pos, array_to_string(w, ' ') AS s, len(w) AS n FROM l),
-u AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min(pos) AS pos FROM o WHERE n >= 5 GROUP BY s),
-v AS (SELECT s, pos, p, array_to_string(w[1 : p - 1] || w[p + 1 :], ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM u WHERE n >= 8)),
+u AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min(pos) AS pos FROM o WHERE n >= 1 GROUP BY s),
+v AS (SELECT s, pos, p, array_to_string(w[1 : p - 1] || w[p + 1 :], ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM u WHERE n >= 5)),
 near AS (
   SELECT s FROM v QUALIFY pos > min(pos) OVER (PARTITION BY v, p)
-  UNION SELECT v.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE u.pos < v.pos
-  UNION SELECT u.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE v.pos < u.pos),
-k AS (SELECT o.*, o.n < 5 OR (o.pos = u.pos AND o.s NOT IN (SELECT s FROM near)) AS stay FROM o LEFT JOIN u USING (s))
+  UNION SELECT v.s FROM v JOIN u ON u.s = v.v AND u.n >= 5 WHERE u.pos < v.pos
+  UNION SELECT u.s FROM v JOIN u ON u.s = v.v AND u.n >= 5 WHERE v.pos < u.pos),
+k AS (SELECT o.*, o.n < 1 OR (o.pos = u.pos AND o.s NOT IN (SELECT s FROM near)) AS stay FROM o LEFT JOIN u USING (s))
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (NOT stay) AS n_removed,
   sha256(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (stay), '')) AS text_sha256
 FROM k GROUP BY r""",
