@@ -1,25 +1,25 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Base statistics are computed for every row.  The verdict is the conjunction of
-the rules in ``RULES``.  On a sample, each rule's cost (seconds for the sample)
-and selectivity (share rejected) are estimated, and the rules are tried in
-descending order of rejection per cost; a rule runs only on rows that all rules
-before it kept (``CASE WHEN`` evaluates lazily).  The order changes the time,
-never the verdict.
+the rules in ``RULES``.  On a sample, each rule's cost (the steps that it takes
+beyond the statistics, by ``STEPS``) and selectivity (share rejected) are
+estimated, and the rules are tried in descending order of rejection per cost; a
+rule runs only on rows that all rules before it kept (``CASE WHEN`` evaluates
+lazily).  The order changes the time, never the verdict.  Steps are counted, not
+timed, and the sample goes by hashes, so the order is the same in every run.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, row_key
 
 SPACE = "[ \\t-\\r]"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Rows that the costs are measured on; they decide the order only.
+#: Rows that costs and rejections are estimated on, those of least hash of all;
+#: they decide the order only.
 SAMPLE_ROWS = 500
 
 
@@ -36,6 +36,13 @@ RULES = {
     "few_distinct_words": lambda: F.size(F.array_distinct("w")) * 20 < F.col("n_words"),
     "bullet_lines": lambda: F.size(F.filter(F.split("t", "\n"), lambda x: x.rlike("^ *[-*•]"))) * 10 > F.col("n_lines") * 9,
 }
+#: name -> steps that a rule takes for a row: characters or words it looks at.
+#: Rules that are not here compare two of the statistics, in one step.
+STEPS = {
+    "upper_case": lambda: 2 * F.col("word_chars"),
+    "few_distinct_words": lambda: F.col("word_chars"),
+    "bullet_lines": lambda: F.length("t"),
+}
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,24 +89,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def cascade_order(docs: DataFrame, id_col: str, text_col: str, rules: dict, sample_rows: int) -> list[str]:
-    """The rules' names by rejection per cost on the first ``sample_rows`` rows
-    that Spark finds; ties and an empty sample keep the rules' own order."""
-    spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).take(sample_rows)
-    if not picked:
-        return list(rules)
-    local = spark.createDataFrame([tuple(r) for r in picked], "doc_id string, text string").coalesce(1)
-    sample = statistics(local).cache()
-    try:
-        total = sample.count()
-        score = {}
-        for name, rule in rules.items():
-            start = time.perf_counter()
-            rejected = sample.agg(F.count_if(~F.col("base_failed") & F.coalesce(rule(), F.lit(False)))).first()[0]
-            score[name] = (rejected / max(total, 1)) / max(time.perf_counter() - start, 1e-3)
-    finally:
-        sample.unpersist()
+def cascade_order(docs: DataFrame, id_col: str, text_col: str, rules: dict, sample_rows: int, steps: dict | None = None) -> list[str]:
+    """The rules' names by rejection per cost on the ``sample_rows`` rows of
+    least hash of id and text; ties and an empty sample keep the rules' own
+    order."""
+    steps = STEPS if steps is None else steps
+    d = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("h"))
+    # By the number of rows, a few times the sample is sorted, not all.
+    least = -(1 << 63) + (1 << 64) * min(1.0, 4 * sample_rows / max(docs.count(), 1))
+    few = d if least >= 1 << 63 else d.where(F.col("h") < int(least))
+    sample = statistics(few.orderBy("h", "doc_id", "text").limit(sample_rows))
+    one = lambda c: F.coalesce(c, F.lit(False)) & ~F.col("base_failed")
+    cost = lambda n: F.avg(F.lit(1.0) + (steps[n]() if n in steps else F.lit(0)))
+    found = sample.agg(*[F.struct(F.count_if(one(rule())).alias("rejected"), cost(n).alias("cost")).alias(n) for n, rule in rules.items()]).first()
+    score = {n: found[n]["rejected"] / found[n]["cost"] if found[n]["cost"] else 0.0 for n in rules}
     return sorted(rules, key=lambda n: -score[n])
 
 
@@ -108,7 +111,8 @@ def quality_rules(
     rules: dict | None = None, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
+    n_dup_lines, n_repeat_words, base_failed, kept, rejected_by (``base``, or
+    the first rule of the cascade that rejects the row).
 
     Null and empty texts have no words and fail the base; a null id stays null;
     repeated rows are judged each by itself; an empty table gives an empty
