@@ -144,12 +144,16 @@ def fit(
     sample: int = SAMPLE_ROWS,
 ) -> Model:
     """The model from about ``sample`` labelled rows, by the hash of their id.
-    Rows without a label, an id or a partner don't train."""
-    own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+
+    Rows without a label, an id or a partner don't train.  Labels that repeat
+    count once; an id with both labels trains with each; of documents that
+    share an id the least text trains.  Without rows the score is 0.5."""
+    own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").distinct()
     n = own.count()
     chosen = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(min(1.0, sample / max(n, 1)) * 1_000_003) + 1))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = d.join(bounded_broadcast(chosen, 4 * sample), "id").select("label", "text").mapInArrow(_features_of, "label int, x array<double>")
+    one = d.join(bounded_broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = one.select("label", "text").mapInArrow(_features_of, "label int, x array<double>")
     got = sorted((r["label"], tuple(r["x"])) for r in rows.collect())
     return fit_trees(np.array([r[1] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[0] for r in got], float))
 
@@ -157,9 +161,9 @@ def fit(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1, higher: label 1 likelier).
 
-    Null and empty texts are scored by their all-zero statistics; repeated rows
-    each get the same score; an empty table gives an empty result; a null id
-    stays null; other columns are ignored.
+    Null and empty texts are scored by their all-zero statistics; very long ones
+    are read whole; repeated rows each get the same score; an empty table gives
+    an empty result; a null id stays null; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
