@@ -9,14 +9,12 @@ word by word, and the runs of hit windows are extended over each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, held, row_key
+from .common import bounded_broadcast, held, row_key, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Item windows up to this many are broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -59,11 +57,12 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def _hits(docs: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """(k, s, items): hit windows of the rows ``docs`` (k, w) and where they start."""
-    index = index.persist()
+    """(k, s, items): hit windows of the rows ``docs`` (k, w) and where they
+    start.  The items' windows are written once, as they are read several times."""
+    index = written(index, "windows")
     grams, mins = _fingerprints(window, min(5, window))
     prints = docs.select("k", "w", grams.alias("g")).select("k", mins.alias("f"), "w")
-    keys = bounded_broadcast(index.select("f").distinct(), BROADCAST_ROWS)
+    keys = bounded_broadcast(index.select("f").distinct())
     met = (
         prints.select("k", F.explode(F.array_distinct("f")).alias("f"))
         .join(keys, "f", "left_semi")
@@ -79,7 +78,7 @@ def _hits(docs: DataFrame, index: DataFrame, window: int) -> DataFrame:
             x["f"].alias("f"), x["s"].alias("s"), F.slice("w", x["s"] + 1, window).alias("words")))).alias("c"))
         .select("k", "c.*")
     )
-    return found.join(bounded_broadcast(index, BROADCAST_ROWS), ["f", "words"]).select("k", "s", "items")
+    return found.join(bounded_broadcast(index), ["f", "words"]).select("k", "s", "items")
 
 
 def decontaminate(
@@ -111,27 +110,18 @@ def decontaminate(
     none = F.array().cast("array<string>")
     if hits is None:
         hits = spark.createDataFrame([], "k long, s int, items array<string>, n int")
-    # Per row: hit windows in order, then merged into maximal runs.
-    merged = F.aggregate(
-        "at",
-        F.array().cast("array<struct<start:int,length:int>>"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["start"] + F.element_at(a, -1)["length"] >= x["s"]),
-            F.concat(
-                F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-                F.array(F.struct(
-                    F.element_at(a, -1)["start"].alias("start"),
-                    (F.greatest(F.element_at(a, -1)["start"] + F.element_at(a, -1)["length"], x["s"] + x["n"])
-                     - F.element_at(a, -1)["start"]).alias("length"))),
-            ),
-        ).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("start"), x["n"].alias("length"))))),
-    )
+    # Hit windows of a row in order; one that begins beyond all ends before it
+    # begins another run.  Sorted rows spill, so a row may have very many hits.
+    order = Window.partitionBy("k").orderBy("s", "n")
+    reach = F.max(F.col("s") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)
+    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     per = (
-        hits.groupBy("k").agg(
-            F.sort_array(F.collect_set(F.struct("s", "n"))).alias("at"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .select("k", "items", merged.alias("spans"))
+        runs.groupBy("k", "run").agg(
+            F.min("s").alias("start"), (F.max(F.col("s") + F.col("n")) - F.min("s")).alias("length"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        .groupBy("k").agg(
+            F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     )
     out = counted.join(per, "k", "left").select(
         "doc_id", "n_words",
