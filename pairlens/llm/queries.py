@@ -12,7 +12,7 @@ from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_rules import quality_rules
-from .suffix_dedup import suffix_dedup
+from .suffix_dedup import PASSAGE_WORDS, suffix_dedup
 from .token_store import token_store
 from .warc import archive
 
@@ -31,8 +31,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = suffix_dedup(table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "repeats")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .workers import per_stage
+
 _U = np.uint64
 _rng = np.random.default_rng(20240501)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -17,19 +19,21 @@ _LOWER[65:91] += 32
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MIX = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        size = 1 << (n + 1).bit_length()
-        for k, b in enumerate((_BASE, _INVERSE)):
+    """Powers of the base and of its inverse, ``n`` at least; a worker keeps the
+    longest of a stage."""
+    found = per_stage("powers", list)
+    if not found or len(found[0]) < n + 1:
+        size, found[:] = 1 << (n + 1).bit_length(), []
+        for b in (_BASE, _INVERSE):
             x = np.full(size, b, np.uint64)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+            found.append(np.multiply.accumulate(x))
+    return found[0], found[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +64,15 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _MIX[0])
 
 
+class HashSpans(Spans):
+    """The same over hashes of words, for spans of words."""
+
+    def __init__(self, hashes: np.ndarray):
+        up, self.down = _power_tables(len(hashes))
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of bytes that aren't white space."""
     space = IS_SPACE[data]
