@@ -12,36 +12,42 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import text_slices, tokenizer_path
+from .tokens import byte_alphabet, text_slices, tokenizer_path
+from .workers import per_stage, release
 
 #: Training rows per language, about, by the hash of their text.
 SAMPLE_PER_LANGUAGE = 400
 #: Distinct training words per language at most, the most frequent.
 SAMPLE_WORDS = 4000
-ROUNDS, LONGEST, SMOOTH = 2, 8, 0.1
-CACHE_WORDS = 500_000
+ROUNDS, SMOOTH = 2, 0.1
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 #: Runs of letters; a longer run counts as several words, so that no product
-#: of probabilities underflows.
-_WORD = re.compile(r"[^\W\d_]{1,40}")
+#: of probabilities underflows.  No longer piece can occur in one.
+LONGEST = 40
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
-@lru_cache(2)
 def vocabulary(path: str) -> dict[str, int]:
-    """The letter pieces of a tokenizer file's vocabulary, without its marks."""
-    found = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-    byte = {c: b for b, c in _byte_alphabet().items()}
+    """The letter pieces of a tokenizer file's vocabulary, without its marks.
+    A worker keeps it until another stage begins."""
+    return per_stage(("vocabulary", path), lambda: _read_vocabulary(path))
+
+
+def _read_vocabulary(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["model"]["vocab"]
+    byte = {c: b for b, c in byte_alphabet().items()}
     pieces = set()
     for x in found:
         x = x.removesuffix("</w>")
-        if len(x) <= 2 * LONGEST and all(c in byte for c in x):
+        if all(c in byte for c in x):
             try:
                 text = bytes(byte[c] for c in x).decode()
             except UnicodeDecodeError:
@@ -51,14 +57,6 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(pieces))}
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1
-    bytes stand for themselves, the others for 256 and up in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = (b for b in range(256) if b not in set(plain))
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 def lattice(word: str, vocab: dict[str, int], unknown: int) -> list[tuple[int, int, int]]:
     """(from, to, piece) of every piece in ``word``; a character that is no
     piece by itself is the unknown piece."""
@@ -178,7 +176,7 @@ def predict(
         known: dict[str, int] = {}
         scores = np.zeros((1 << 12, max(1, len(langs))))
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = (b.column(1).field(text_at) if keep_row else b.column(1)).to_pylist()
             pred, score = [], []
             for i, j in text_slices(texts):
                 words: list[str] = []
@@ -211,12 +209,14 @@ def predict(
                 pred += [langs[x] if m else UNKNOWN for x, m in zip(best, n, strict=True)]
                 score += np.where(n > 0, share[np.arange(j - i), best], 0.0).tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]],
-                names=["doc_id", "lang_pred", "score", "row"][: 1 + b.num_columns])
-
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] * keep_row
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+                [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *b.columns[1:][:keep_row]],
+                names=["doc_id", "lang_pred", "score", "row"][: 3 + keep_row])
+        del known, scores
+        release()
+
+    # A text that comes along goes to the workers once, as a field of its row.
+    text_at = docs.columns.index(text_col) if keep_row else None
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row") if keep_row else F.col(text_col).alias("text")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), own)
     schema = d.select("doc_id").schema.add("lang_pred", "string").add("score", "double")
-    for f in d.schema.fields[2:]:
-        schema = schema.add(f)
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema.add(d.schema["row"]) if keep_row else schema)

@@ -10,24 +10,17 @@ takes the buckets apart.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, text_slices, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 MAX_LENGTH, END_ID = 2048, 1
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path, drop_space=True)
-
-
 def decompose(n: np.ndarray, max_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents of ``n`` tokens: each piece's document, start and length."""
     full, rest = n // max_length, n % max_length
@@ -64,12 +57,10 @@ def pack(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = _encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path, drop_space=True).encode, TaskContext.get().partitionId()
         rank = np.zeros(max_length.bit_length(), np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in text_slices(texts):
-                ids, counts = encoder.encode([t or "" for t in texts[i:j]])
+            for i, j, ids, counts in encode(batch.column(1)):
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 n = counts + 1
                 doc, start, length = decompose(n, max_length)

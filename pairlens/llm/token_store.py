@@ -5,23 +5,22 @@ as blocks of ``BLOCK_TOKENS`` ids.  Each block starts with a fresh model and
 has a checksum of its ids, so it can be decoded alone.  Blocks of a frame are
 coded side by side, one numpy lane each.
 
-Per id the model mixes three predictions.  The ids last seen after the same
-two ids (order 2) and after the same id (order 1) are candidates; a flag says
-which of them is right, its probabilities being the mean of an adaptive
-estimate by the candidates' hit counts and one by the id before.  If neither
-is, the id follows in four 4-bit digits by an adaptive order-0 tree.  Flags and
-digits go to a carrying range coder with 32-bit range and byte output.
-
-Frame, little-endian: magic ``TKF1``, u32 documents, u32 blocks, u64 ids, then
-i64 document ids, u8 null marks, u32 ids per document, u32 ids, bytes and crc32
-per block, the blocks' bytes, and a line feed.
+Per id the model mixes three predictions and a fallback: the id that came last
+after the same two ids (order 2), that after the same id (order 1), the counts
+of all ids seen (order 0), and an even share for ids not seen.  The weights of
+the mixture are learned: for each pair of confidences of the two contexts, what
+each prediction has earned.  One number per id goes to a carrying range coder
+with 64-bit range and 32-bit output.
+
+Frame, little-endian: magic ``TKF2``, u32 documents, u32 blocks, u64 ids, u32
+bits of an id, then i64 document ids, u8 null marks, u32 ids per document, u32
+ids, bytes and crc32 per block, the blocks' bytes, and a line feed.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,178 +28,190 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, discard, fresh_path, written
-from .tokens import Encoder, text_slices, tokenizer_path
+from .tokens import encoder, tokenizer_path
+from .workers import new_stage
+
+BLOCK_TOKENS, LANES, END_ID = 4096, 1536, 2
+#: A frame of full blocks has less than 20 MB.
+FRAMES_PER_FILE = 64
+_M, _TOP = np.uint32((1 << 24) - 1), np.uint64(1 << 32)
+#: Slots of the order-1, order-2 and order-0 tables of a lane, in bits.
+_B1, _B2, _B0 = 9, 10, 10
+_U = np.uint64
+_FIELDS, _LOW16 = _U(0x0001000100010001), _U(0xFFFF)
+#: What an outcome adds to its weight, and the sum at which weights are halved.
+_GAIN, _MOST = _U(24), 6000
+#: What an id adds to its slot's count, and after how many ids counts take effect.
+_COUNT, _EVERY = np.uint16(8), 64
+_S16, _S32, _S48 = _U(16), _U(32), _U(48)
+_S22, _S24, _TWELVE = np.uint32(22), np.uint32(24), np.uint32(12)
+_ONE24, _THREE24 = np.uint32(1 << 24), np.uint32(3 << 24)
+_K0, _K1, _K2, _K3 = (_U(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
-BLOCK_TOKENS, LANES, END_ID = 4096, 1024, 2
-_TOTAL, _RATE, _TOP = 15, 4, 1 << 24
-_S1, _S2, _FLAG2 = 1024, 2048, 64
-_SLOTS = 1 + 16 + 256 + 1024
-_J = np.arange(16, dtype=np.int32)
-_TARGET = np.where(_J[None, :] <= _J[:, None], _J[None, :], (1 << _TOTAL) - 16 + _J[None, :]).astype(np.int16)
 
+class _Lanes:
+    """The models and the range of ``n`` blocks side by side.
 
-def _row_counts(rows: np.ndarray) -> np.ndarray:
-    """How many of each row's 16 booleans hold: eight at a time, as bytes."""
-    halves = rows.view(np.uint64)
-    return ((halves[:, 0] + halves[:, 1]) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
-
+    Order 2 and order 1 predict the id that came last after the same two ids
+    and the same one, with a confidence from 0 to 3.  Order 0 predicts by counts
+    of the ids seen.  ``weights`` has, per pair of confidences, how much each of
+    order 2, order 1, order 0 and an id not seen has earned, in four 16-bit
+    fields; their shares mix the predictions.
+    """
 
-class _Lanes:
-    """The models and range coders of ``n`` blocks side by side."""
-
-    def __init__(self, n: int):
-        self.n, self.at = n, np.arange(n)
-        self.p1, self.c1 = np.full(n * _S1, -1, np.int32), np.zeros(n * _S1, np.int8)
-        self.p2, self.c2 = np.full(n * _S2, -1, np.int32), np.zeros(n * _S2, np.int8)
-        self.f1 = np.tile(np.array([[10923, 21845]], np.int32), (n * 16, 1))
-        self.f2 = np.tile(np.array([[10923, 21845]], np.int32), (n * _FLAG2, 1))
-        self.tree = np.tile((_J * (1 << _TOTAL - 4)).astype(np.int16), (n * _SLOTS, 1))
-        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.range = np.full(n, 0xFFFFFFFF, np.int64)
-
-    def predict(self, a: int) -> None:
-        at, p, q = self.at[:a], self.prev[:a], self.prev2[:a]
-        self.i1 = at * _S1 + (p * 40503 >> 4 & _S1 - 1)
-        self.i2 = at * _S2 + ((p * 0x9E3779B1 + q * 0x85EBCA6B) >> 12 & _S2 - 1)
-        self.g1, self.g2 = self.p1[self.i1], self.p2[self.i2]
-        self.k1 = at * 16 + np.minimum(self.c2[self.i2], 3) * 4 + np.minimum(self.c1[self.i1], 3)
-        self.k2 = at * _FLAG2 + (p & _FLAG2 - 1)
-        self.b1, self.b2 = self.f1[self.k1], self.f2[self.k2]
-        self.mixed = self.b1 + self.b2 >> 1
-
-    def learn(self, a: int, flag: np.ndarray, ids: np.ndarray) -> None:
-        # Bounds stay apart and off both ends, so every flag keeps a share.
-        to = np.stack([np.where(flag == 0, 32600, 80), np.where(flag <= 1, 32688, 168)], 1).astype(np.int32)
-        self.f1[self.k1] = self.b1 + (to - self.b1 >> 4)
-        self.f2[self.k2] = self.b2 + (to - self.b2 >> 4)
-        for i, p, c, g in ((self.i1, self.p1, self.c1, self.g1), (self.i2, self.p2, self.c2, self.g2)):
-            hit = g == ids
-            c[i] = np.where(hit, np.minimum(c[i] + 1, 3), 0)
-            p[i] = ids
-        self.prev2[:a], self.prev[:a] = self.prev[:a], ids
-
-    def slots(self, lanes: np.ndarray, depth: int, above: np.ndarray) -> np.ndarray:
-        base = lanes * _SLOTS
-        if depth == 0:
-            return base
-        if depth == 1:
-            return base + 1 + above
-        if depth == 2:
-            return base + 17 + above
-        return base + 273 + (above * 2654435761 >> 10 & 1023)
-
-    def adapt(self, slot: np.ndarray, cdf: np.ndarray, digit: np.ndarray) -> None:
-        self.tree[slot] = cdf + (_TARGET[digit] - cdf >> _RATE)
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    def __init__(self, n: int, bits: int):
+        lanes = np.arange(n)
+        self.at1, self.at2, self.at0 = lanes << _B1, lanes << _B2, lanes << _B0
+        self.at16, self.at_cum = lanes << 4, lanes * ((1 << _B0) + 1)
+        self.t1, self.t2 = np.full(n << _B1, _M), np.full(n << _B2, _M)
+        self.t0 = np.full(n << _B0, _M)
+        self.counts = np.ones(n << _B0, np.uint16)
+        self.cum = np.zeros((n, (1 << _B0) + 1), np.uint16)
+        self.flat_cum = self.cum.ravel()
+        self.total = np.zeros(n, _U)
+        self.weights = np.full(n << 4, 24 | 48 << 16 | 192 << 32 | 192 << 48, _U)
+        self.prev, self.prev2 = np.zeros(n, _U), np.zeros(n, _U)
+        self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
+        self.novel = _U(1 << bits)
+
+    def begin(self, t: int, a: int) -> None:
+        """Before step ``t`` of ``a`` lanes: what is predicted, and sums of weights."""
+        if t % _EVERY == 0 or t in (4, 8, 16, 32):
+            np.cumsum(self.counts.reshape(-1, 1 << _B0)[:a], 1, dtype=np.uint16, out=self.cum[:a, 1:])
+            self.total[:a] = self.cum[:a, -1]
+        if t % 32 == 0:
+            heavy = np.flatnonzero(self.weights * _FIELDS >> _S48 > _MOST)
+            self.weights[heavy] = self.weights[heavy] >> _U(1) & _U(0x7FFF7FFF7FFF7FFF) | _FIELDS
+        p = self.prev[:a]
+        self.i1 = self.at1[:a] + (p * _K1 >> _U(64 - _B1)).view(np.int64)
+        self.i2 = self.at2[:a] + ((p * _K2 + self.prev2[:a]) * _K3 >> _U(64 - _B2)).view(np.int64)
+        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.g1, self.g2 = self.v1 & _M, self.v2 & _M
+        self.iw = self.at16[:a] + ((self.v2 >> _S22 & _TWELVE) + (self.v1 >> _S24))
+        self.w = self.weights.take(self.iw)
+        self.sums = self.w * _FIELDS
+
+    def end(self, a: int, x: np.ndarray, shift: np.ndarray, i0: np.ndarray) -> None:
+        """Learns that ``x`` came, by the outcome of field ``shift``."""
+        self.weights[self.iw] = self.w + (_GAIN << shift)
+        for table, i, v, hit in ((self.t1, self.i1, self.v1, self.g1 == x), (self.t2, self.i2, self.v2, self.g2 == x)):
+            # A hit adds one to the confidence, which has 2 bits above the id.
+            table[i] = np.where(hit, np.minimum(v + _ONE24, x | _THREE24), x)
+        self.t0[i0] = x
+        self.counts[i0] = self.counts.take(i0) + _COUNT
+        self.prev2[:a] = self.prev[:a]
+        self.prev[:a] = x
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x * _K0 >> _U(64 - _B0)).view(np.int64)
+
+
+def id_bits(ids) -> int:
+    most = int(max((int(b.max(initial=0)) for b in ids), default=0))
+    if most >= int(_M):
+        raise ValueError("ids are below 2 ** 24 - 1")
+    return max(16, most.bit_length())
+
+
+def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """The bytes of each block; blocks are in descending order of length."""
-    n, m = len(blocks), _Lanes(len(blocks))
-    lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((int(lengths.max(initial=0)), n), np.int64)
+    n, m = len(blocks), _Lanes(len(blocks), bits)
+    lengths = np.array([len(b) for b in blocks], np.int64)
+    most = int(lengths.max(initial=0))
+    ids = np.zeros((most, n), np.uint32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    out = np.zeros((n, 64 + int(lengths.max(initial=0)) * 10), np.uint8)
-    low, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    width = 4 + most * (bits + 13) // 32
+    out, low, size = np.zeros(n * width, np.uint32), np.zeros(n, _U), np.arange(n) * width
 
     def carry(lanes):
         at = size[lanes] - 1
-        while len(lanes):
-            out[lanes, at] += 1
-            more = out[lanes, at] == 0
-            lanes, at = lanes[more], at[more] - 1
-
-    def put(lanes, start, freq):
-        r = m.range[lanes] >> _TOTAL
-        lo, rg = low[lanes] + r * start, r * freq
-        over = lo > 0xFFFFFFFF
-        if over.any():
-            carry(lanes[over])
-            lo &= 0xFFFFFFFF
-        low[lanes], m.range[lanes] = lo, rg
-        small = lanes[rg < _TOP]
-        while len(small):
-            lo = low[small]
-            out[small, size[small]] = lo >> 24
-            size[small] += 1
-            low[small] = lo << 8 & 0xFFFFFFFF
-            m.range[small] <<= 8
-            small = small[m.range[small] < _TOP]
+        while len(at):
+            out[at] += np.uint32(1)
+            at = at[out[at] == 0] - 1
 
-    for t in range(len(ids)):
+    one, zero = _U(1), _U(0)
+    for t in range(most):
         a = int(np.searchsorted(-lengths, -t, "left"))
-        x, lanes = ids[t, :a], m.at[:a]
-        m.predict(a)
-        flag = np.where(m.g2 == x, 0, np.where(m.g1 == x, 1, 2))
-        lo = np.where(flag == 0, 0, np.where(flag == 1, m.mixed[:, 0], m.mixed[:, 1]))
-        hi = np.where(flag == 0, m.mixed[:, 0], np.where(flag == 1, m.mixed[:, 1], 1 << _TOTAL))
-        put(lanes, lo, hi - lo)
-        m.learn(a, flag, x)
-        esc = np.flatnonzero(flag == 2)
-        if len(esc):
-            y = x[esc]
-            for depth in range(4):
-                digit, slot = y >> 12 - 4 * depth & 15, m.slots(esc, depth, y >> 16 - 4 * depth)
-                cdf = m.tree[slot]
-                k = np.arange(len(esc))
-                start = cdf[k, digit].astype(np.int64)
-                end = np.where(digit == 15, 1 << _TOTAL, cdf[k, np.minimum(digit + 1, 15)].astype(np.int64))
-                put(esc, start, end - start)
-                m.adapt(slot, cdf, digit)
-    for _ in range(4):
-        out[m.at, size] = low >> 24
+        x = ids[t, :a]
+        wide = x.astype(_U)
+        m.begin(t, a)
+        slot = _slot(wide)
+        i0 = m.at0[:a] + slot
+        old = m.t0.take(i0) == x
+        shift = np.where(m.g2 == x, zero, np.where(m.g1 == x, _S16, np.where(old, _S32, _S48)))
+        start, end = m.sums - m.w >> shift & _LOW16, m.sums >> shift & _LOW16
+        r = m.range[:a] // (m.sums >> _S48)
+        add, r = r * start, r * (end - start)
+        # Then the id itself: by its count, or, if it is new, evenly.
+        at = m.at_cum[:a] + slot
+        known, new = shift == _S32, shift == _S48
+        lo = m.flat_cum.take(at).astype(_U)
+        freq = np.where(known, m.flat_cum.take(at + 1) - lo, one)
+        r //= np.where(known, m.total[:a], np.where(new, m.novel, one))
+        add += r * np.where(known, lo, np.where(new, wide, zero))
+        rg = r * freq
+        lo = low[:a] + add
+        over = lo < add
+        if over.any():
+            carry(np.flatnonzero(over))
+        low[:a], m.range[:a] = lo, rg
+        small = np.flatnonzero(rg < _TOP)
+        lo = low[small]
+        out[size[small]] = lo >> _S32
+        size[small] += 1
+        low[small] = lo << _S32
+        m.range[small] = rg[small] << _S32
+        m.end(a, x, shift, i0)
+    for _ in range(2):
+        out[size] = low >> _S32
         size += 1
-        low = low << 8 & 0xFFFFFFFF
-    return [out[k, : size[k]].tobytes() for k in range(n)]
+        low = low << _S32
+    return [out[k * width : size[k]].astype("<u4").tobytes() for k in range(n)]
 
 
-def decode_blocks(parts: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
-    n, m = len(parts), _Lanes(len(parts))
-    data = np.zeros((n, max(map(len, parts), default=0) + 8), np.uint8)
+def decode_blocks(parts: list[bytes], lengths: np.ndarray, bits: int) -> list[np.ndarray]:
+    n, m = len(parts), _Lanes(len(parts), bits)
+    width = max(map(len, parts), default=0) // 4 + 2
+    data = np.zeros((n, width), np.uint32)
     for k, b in enumerate(parts):
-        data[k, : len(b)] = np.frombuffer(b, np.uint8)
-    code, pos = np.zeros(n, np.int64), np.full(n, 4, np.int64)
-    for k in range(4):
-        code = code << 8 | data[:, k]
-    ids = np.zeros((int(lengths.max(initial=0)), n), np.int64)
-
-    def take(lanes, c, r, start, freq):
-        c, rg = c - r * start, r * freq
-        code[lanes], m.range[lanes] = c, rg
-        small = lanes[rg < _TOP]
-        while len(small):
-            code[small] = code[small] << 8 | data[small, pos[small]]
-            pos[small] += 1
-            m.range[small] <<= 8
-            small = small[m.range[small] < _TOP]
-
+        data[k, : len(b) // 4] = np.frombuffer(b, "<u4")
+    code = data[:, 0].astype(_U) << _S32 | data[:, 1]
+    data, pos = data.ravel(), np.arange(n) * width + 2
+    ids = np.zeros((int(lengths.max(initial=0)), n), np.uint32)
+    one = _U(1)
     for t in range(len(ids)):
         a = int(np.searchsorted(-lengths, -t, "left"))
-        lanes = m.at[:a]
-        m.predict(a)
-        r, c = m.range[:a] >> _TOTAL, code[:a]
-        v = np.minimum((c / r).astype(np.int64), (1 << _TOTAL) - 1)
-        flag = (v >= m.mixed[:, 0]).astype(np.int64) + (v >= m.mixed[:, 1])
-        lo = np.where(flag == 0, 0, np.where(flag == 1, m.mixed[:, 0], m.mixed[:, 1]))
-        hi = np.where(flag == 0, m.mixed[:, 0], np.where(flag == 1, m.mixed[:, 1], 1 << _TOTAL))
-        take(lanes, c, r, lo, hi - lo)
-        x = np.where(flag == 0, m.g2, m.g1).astype(np.int64)
-        esc = np.flatnonzero(flag == 2)
-        if len(esc):
-            y, k = np.zeros(len(esc), np.int64), np.arange(len(esc))
-            for depth in range(4):
-                slot = m.slots(esc, depth, y)
-                cdf = m.tree[slot]
-                r, c = m.range[esc] >> _TOTAL, code[esc]
-                v = np.minimum((c / r).astype(np.int64), (1 << _TOTAL) - 1).astype(np.int16)
-                digit = _row_counts(cdf <= v[:, None]) - 1
-                start = cdf[k, digit].astype(np.int64)
-                end = np.where(digit == 15, 1 << _TOTAL, cdf[k, np.minimum(digit + 1, 15)].astype(np.int64))
-                take(esc, c, r, start, end - start)
-                m.adapt(slot, cdf, digit)
-                y = y << 4 | digit
-            x[esc] = y
-        m.learn(a, flag, x)
+        m.begin(t, a)
+        c, r = code[:a], m.range[:a] // (m.sums >> _S48)
+        outcome = (c >= r * (m.sums & _LOW16)).astype(_U)
+        outcome += c >= r * (m.sums >> _S16 & _LOW16)
+        outcome += c >= r * (m.sums >> _S32 & _LOW16)
+        shift = outcome << _U(4)
+        start, end = m.sums - m.w >> shift & _LOW16, m.sums >> shift & _LOW16
+        c, r = c - r * start, r * (end - start)
+        known, new = shift == _S32, shift == _S48
+        total = np.where(known, m.total[:a], np.where(new, m.novel, one))
+        r = r // total
+        u = np.minimum(c // r, total - one)
+        x = np.where(new, u.astype(np.uint32), np.where(shift == 0, m.g2, m.g1))
+        start, freq = np.where(new, u, _U(0)), np.ones(a, _U)
+        some = np.flatnonzero(known)
+        if len(some):
+            at, want = m.at_cum[some], u[some].astype(np.uint16)
+            for k in range(_B0 - 1, -1, -1):
+                at += (m.flat_cum.take(at + (1 << k)) <= want).view(np.int8).astype(np.int64) << k
+            lo = m.flat_cum.take(at)
+            start[some], freq[some] = lo, m.flat_cum.take(at + 1) - lo
+            x[some] = m.t0.take(m.at0.take(some) + (at - m.at_cum.take(some)))
+        c, rg = c - r * start, r * freq
+        code[:a], m.range[:a] = c, rg
+        small = np.flatnonzero(rg < _TOP)
+        code[small] = c[small] << _S32 | data[pos[small]]
+        pos[small] += 1
+        m.range[small] = rg[small] << _S32
+        m.end(a, x, shift, m.at0[:a] + _slot(x.astype(_U)))
         ids[t, :a] = x
     return [ids[: lengths[k], k].astype("<u4") for k in range(n)]
 
@@ -208,10 +219,11 @@ def decode_blocks(parts: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
 def encode_frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One frame without its final line feed."""
     blocks = [ids[i : i + BLOCK_TOKENS] for i in range(0, len(ids), BLOCK_TOKENS)]
-    parts = encode_blocks(blocks)
+    bits = id_bits(blocks)
+    parts = encode_blocks(blocks, bits)
     crcs = [zlib.crc32(np.ascontiguousarray(b, "<u4").tobytes()) for b in blocks]
     return b"".join([
-        b"TKF1", struct.pack("<IIQ", len(doc_ids), len(blocks), len(ids)),
+        b"TKF2", struct.pack("<IIQI", len(doc_ids), len(blocks), len(ids), bits),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         np.asarray(counts, "<u4").tobytes(), np.array([len(b) for b in blocks], "<u4").tobytes(),
         np.array([len(p) for p in parts], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), *parts,
@@ -223,17 +235,17 @@ def decode_frames(content: bytes):
     checksum differs."""
     at = 0
     while at < len(content):
-        if content[at : at + 4] != b"TKF1":
+        if content[at : at + 4] != b"TKF2":
             raise ValueError(f"no frame at byte {at}")
-        docs, blocks, total = struct.unpack_from("<IIQ", content, at + 4)
-        at += 20
+        docs, blocks, total, bits = struct.unpack_from("<IIQI", content, at + 4)
+        at += 24
         fields = []
         for kind, k in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks), ("<u4", blocks)):
             fields.append(np.frombuffer(content, kind, k, at))
             at += fields[-1].nbytes
         doc_ids, null, counts, lengths, sizes, crcs = fields
         ends = at + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        got = decode_blocks([content[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], lengths.astype(np.int64))
+        got = decode_blocks([content[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], lengths.astype(np.int64), bits)
         for k, b in enumerate(got):
             if zlib.crc32(b.tobytes()) != crcs[k]:
                 raise ValueError(f"block {k} of the frame is damaged")
@@ -244,11 +256,6 @@ def decode_frames(content: bytes):
         at = int(ends[-1]) + 1
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     end_id: int = END_ID,
@@ -265,15 +272,14 @@ def write_tokens(
     most = BLOCK_TOKENS * LANES
 
     def run(batches):
-        encoder = _encoder(model)
+        encode = encoder(model).encode
         doc_ids: list = []
         counts: list = []
         ids: list = []
         held = 0
         for batch in batches:
-            texts, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for i, j in text_slices(texts):
-                got, n = encoder.encode([t or "" for t in texts[i:j]])
+            own = batch.column(0).to_pylist()
+            for i, j, got, n in encode(batch.column(1)):
                 ids.append(np.insert(got, np.cumsum(n), end_id))
                 doc_ids += own[i:j]
                 counts.append(n + 1)
@@ -289,13 +295,15 @@ def write_tokens(
     # The text writer puts out a string's bytes as they are and a separator
     # after each, here the line feed that ends a frame.
     frames = ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", "\n").text(path)
+    # Files are read whole, so they stay well below 2 GiB.
+    frames.write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document in the files: doc_id, start (ids before it), n_tokens,
     ids_crc32, and on demand ids (unsigned 32-bit little-endian)."""
     def run(batches):
+        new_stage()
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 before = 0
@@ -311,14 +319,14 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     before += int(ends[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
-        F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "content")
+        (F.regexp_extract("path", r"part-(\d+)", 1).cast("long") * (1 << 20) + F.regexp_extract("path", r"-c(\d+)\.", 1).cast("long")).alias("file"), "content")
     rows = written(files.mapInArrow(
         run, "file long, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids), "token-rows")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # One row per file, so the window over all of them is small.
     earlier = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select("file", earlier.alias("base"))
-    return rows.join(bounded_broadcast(bases, 100_000), "file").select(
+    return rows.join(bounded_broadcast(bases), "file").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -1,23 +1,34 @@
-"""Whole texts to token ids with the tokenizers library, each distinct chunk once.
+"""Whole texts to token ids with the tokenizers library, each distinct piece once.
 
 The pre-tokenizers of both vocabularies never join a character that is not
 white space with white space after it, so a text may be cut at every such
-place, and the ids of the pieces concatenated are the ids of the text.  Words
-repeat, so each distinct piece is encoded once per worker and looked up after.
+place, and the ids of the pieces concatenated are the ids of the text.  Arrow
+cuts the texts of a batch and numbers the distinct pieces; the library sees the
+distinct ones alone, and numpy puts the ids together.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pieces that a worker remembers before it starts anew.
-CACHE_ENTRIES = 1_500_000
+from .workers import Bounded, per_stage
+
+#: Distinct pieces that a worker remembers, of about 200 bytes each.
+CACHE_ENTRIES = 300_000
+#: Characters of texts whose pieces are numbered at once, and put together at once.
+NUMBERED, JOINED = 1 << 23, 1 << 20
 _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: White space beyond ASCII's usual six: such a text is encoded in one piece.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Special tokens and white space beyond ASCII's usual six: such a text is encoded in one piece.
+_ODD = r"<\||[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Besides these, texts with runs of white space, or other than blanks and line feeds.
+_RUNS = r"[\t\x0b-\r]|[ \n][ \n]"
+_CUT = "([0-9A-Za-z])([.,;:!?])"
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,95 +37,139 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1
+    bytes stand for themselves, the others for 256 and up in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """``drop_space``: the vocabulary's normaliser drops white space, so pieces
-    needn't carry it.  ``separator``: a special token that parts pieces which
-    are encoded in one call."""
+    """``drop_space``: the vocabulary's normaliser drops white space and lowers
+    letters.  ``separator``: a special token that parts pieces which are
+    encoded in one call."""
 
     def __init__(self, path: str, drop_space: bool = False, separator: str = "<|endoftext|>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.split = str.split if drop_space else _CHUNKS.findall
-        self.fold = drop_space  # that normaliser lowers letters, too
+        self.model = self.tok.model
+        self.drop_space = drop_space
         self.separator, self.sep_id = separator, self.tok.token_to_id(separator)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def _add(self, pieces: list[str], ids: list[np.ndarray]) -> None:
-        n, more = len(self.known), sum(map(len, ids))
-        while n + len(pieces) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + more > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        for k, (piece, x) in enumerate(zip(pieces, ids, strict=True)):
-            self.known[piece] = n + k
-            self.start[n + k], self.length[n + k] = self.used, len(x)
-            self.flat[self.used : self.used + len(x)] = x
-            self.used += len(x)
-
-    def _parts(self, piece: str) -> list[str]:
-        """A word and the marks after it, which both pre-tokenizers part, the
-        word in lower case if that makes no difference: fewer distinct pieces."""
-        if "'" in piece or "<|" in piece:
-            return [piece]
-        base = piece.rstrip(".,;:!?")
-        cut = [base, piece[len(base) :]] if base and base != piece and base[-1].isalnum() else [piece]
-        if self.fold and cut[0].isascii():
-            cut[0] = cut[0].lower()
-        return cut
-
-    def _learn(self, new: list[str]) -> None:
-        parts = {x: y for x in new if (y := self._parts(x)) != [x]}
-        self._encode_new(sorted({x for x in new if x not in parts}.union(*parts.values()).difference(self.known)))
-        where = [[self.known[y] for y in ys] for ys in parts.values()]
-        self._add(list(parts), [np.concatenate([self.flat[self.start[k] : self.start[k] + self.length[k]] for k in ks]) for ks in where])
-
-    def _encode_new(self, new: list[str]) -> None:
-        plain = [x for x in new if "<|" not in x]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self._ids(self.separator.join(part)), np.uint32)
-            self._add(part, np.split(ids[ids != self.sep_id], np.flatnonzero(ids == self.sep_id) - np.arange(len(part) - 1)))
-        for x in new:
-            if "<|" in x:
-                self._add([x], [np.array(self._ids(x), np.uint32)])
+        self.known = Bounded(CACHE_ENTRIES)
+        self.bytes = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+
+    def _ids_of_new(self, new: list[str]) -> list[tuple[int, ...]]:
+        """Words of Latin letters alone go to the library's model as they are:
+        pre-tokenizers keep them whole and normalisers lower them at most.
+        Others go through all of its steps."""
+        tokenize, table, lower, out, rest = self.model.tokenize, self.bytes, self.drop_space, [], []
+        for k, x in enumerate(new):
+            if x.isascii():
+                if x.isalpha():
+                    out.append(tuple([t.id for t in tokenize(x)]))
+                    continue
+                if x[:1] == " " and x[1:].isalpha():
+                    out.append(tuple([t.id for t in tokenize("Ġ" + x[1:])]))
+                    continue
+            elif (x[1:] if x[:1] == " " else x).isalpha() and max(x) < "ƀ" and "İ" not in x:
+                x = (x.lower() if lower else x).encode().decode("latin-1").translate(table)
+                out.append(tuple([t.id for t in tokenize(x)]))
+                continue
+            out.append(())
+            rest.append(k)
+        plain = [k for k in rest if "<|" not in new[k]]
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
+            ids = np.array(self._ids(self.separator.join([new[k] for k in part])), np.int64)
+            ends = [*np.flatnonzero(ids == self.sep_id).tolist(), len(ids)]
+            ids, at = ids.tolist(), 0
+            for k, end in zip(part, ends, strict=True):
+                out[k], at = tuple(ids[at:end]), end + 1
+        for k in rest:
+            if "<|" in new[k]:
+                out[k] = tuple(self._ids(new[k]))
+        return out
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
-        words: list[str] = []
-        counts = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            words += [t] if not t.isascii() and _ODD_SPACE.search(t) or t.isascii() and _ODD_SPACE.search(t) else self.split(t)
-            counts[i + 1] = len(words)
-        new = set(words).difference(self.known)
-        if len(new) + len(self.known) > CACHE_ENTRIES and self.known:
-            self._reset()
-            new = set(words)
-        if new:
-            self._learn(sorted(new))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lengths = self.length[index]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[index] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, np.diff(ends[counts])
-
-
-def text_slices(texts: list[str | None], most: int = 1 << 20):
-    """(from, to) runs of about ``most`` characters, one text at least."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j] or "") <= most):
-            n += len(texts[j] or "")
-            j += 1
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All pieces in a row, and where each text's begin (one more at the end)."""
+        odd = pc.match_substring_regex(texts, _ODD if self.drop_space else f"{_ODD}|{_RUNS}")
+        plain = pc.if_else(odd, "", texts) if pc.any(odd).as_py() else texts
+        # Both pre-tokenizers part a letter or digit and a mark, and a line feed and a letter.
+        if self.drop_space:
+            plain = pc.replace_substring_regex(pc.ascii_lower(plain), _CUT, r"\1 \2")
+            for c in "\t\n\x0b\x0c\r":
+                plain = pc.replace_substring(plain, c, " ")
+            cut = pc.split_pattern(plain, " ")
+        else:
+            plain = pc.replace_substring(plain, "\n", "\x1f\n\x1f")
+            plain = pc.replace_substring_regex(pc.replace_substring(plain, " ", "\x1f "), _CUT, "\\1\x1f\\2")
+            cut = pc.split_pattern(plain, "\x1f")
+        pieces, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        if not pc.any(odd).as_py():
+            return pieces, at
+        # Texts with odd white space are one piece, those with runs go by them.
+        lists, before = [], 0
+        strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        n = np.diff(at)
+        for k in strange.tolist():
+            lists.append(pieces.slice(before, at[k] - before))
+            t = texts[k].as_py()
+            own = [t] if whole[k] else _CHUNKS.findall(t)
+            lists.append(pa.array(own, pa.string()))
+            n[k], before = len(own), at[k + 1]
+        lists.append(pieces.slice(before))
+        return pa.concat_arrays(lists), np.concatenate([[0], np.cumsum(n)])
+
+    def _rows(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in a row, and each one's start and length."""
+        ids = [*map(self.known.get, distinct)]
+        at = [k for k, x in enumerate(ids) if x is None]
+        own = {distinct[k]: x for k, x in zip(at, self._ids_of_new([distinct[k] for k in at]), strict=True)}
+        for k in at:
+            ids[k] = own[distinct[k]]
+        self.known.update(own)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        return flat, np.cumsum(lengths) - lengths, lengths
+
+    def encode(self, texts: pa.Array):
+        """(from, to, ids, counts) for runs of the rows: all their ids in a row,
+        and how many each text has.  Null texts have none."""
+        texts = pc.fill_null(texts, "")
+        for i, j in text_slices(texts, NUMBERED):
+            pieces, at = self._pieces(texts.slice(i, j - i))
+            numbered = pieces.dictionary_encode()
+            index = numbered.indices.to_numpy()
+            flat, start, length = self._rows(numbered.dictionary.to_pylist())
+            del pieces, numbered
+            for a, b in text_slices(texts.slice(i, j - i), JOINED):
+                which = index[at[a] : at[b]]
+                n = length[which]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])]
+                yield i + a, i + b, ids, np.diff(ends[at[a : b + 1] - at[a]])
+
+
+def encoder(path: str, drop_space: bool = False) -> Encoder:
+    """This worker's encoder, until another stage begins."""
+    return per_stage((path, drop_space), lambda: Encoder(path, drop_space))
+
+
+def text_slices(texts, most: int = 1 << 20):
+    """(from, to) runs of about ``most`` characters (of an Arrow array: bytes),
+    one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy() if isinstance(texts, pa.Array) else np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+    ends, i = np.cumsum(sizes, dtype=np.int64), 0
+    while i < len(ends):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
         yield i, j
         i = j
