@@ -66,7 +66,7 @@ def write_monolithic(
         p.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha")
         .agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1 and top is not null").select("sha", "top")
     )
-    q = p.join(bounded_broadcast(groups, 200_000), "sha", "left")
+    q = p.join(bounded_broadcast(groups), "sha", "left")
     revisit = F.col("top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     head = F.concat(

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +59,12 @@ def by_row(df, *cols):
 # op1 ---------------------------------------------------------------------------------------
 
 
-def test_token_store_round_trip(spark, docs, empty, tmp_path):
+@pytest.mark.parametrize("small", [False, True])
+def test_token_store_round_trip(spark, docs, empty, tmp_path, small, monkeypatch):
+    if small:  # several frames a partition, and several files
+        monkeypatch.setattr(token_store, "LANES", 1)
+        monkeypatch.setattr(token_store, "BLOCK_TOKENS", 64)
+        monkeypatch.setattr(token_store, "FRAMES_PER_FILE", 2)
     tok = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json")).tok
     rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0))
     path = str(tmp_path / "t")
@@ -91,10 +97,45 @@ def test_coder_blocks_are_checked():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_exact(name):
     odd = ["it's John's. I'LL go,, 'tis..", "a  b\n\n c\t\te ", "", "¿Qué? x<|endoftext|>y <|startoftext|>.", "ΑΣ ΣΑΣ. 12.5, ½. ²!", " x  y", "é. ́a", "\x1c\x1d a", "c). (d)."]
+    odd += [None, "plain words, Twice. twice", "\nfoo\nBar.\n.", "ends. ", "a.b.c, 3.14! x:y;z?", "<|ENDOFTEXT|> A", "ÀÉÎ İstanbul ſ œuvre.", "日本語。 test", "x\x1fy z"]
     e = tokens.Encoder(tokens.tokenizer_path(name), drop_space=name.startswith("word"))
-    ids, n = e.encode(odd)
-    ends = np.cumsum(n)
-    assert [ids[j - c : j].tolist() for c, j in zip(n, ends, strict=True)] == [e.tok.encode(t, add_special_tokens=False).ids for t in odd]
+    for _ in range(2):  # learnt, then remembered
+        got = [x.tolist() for i, j, ids, n in e.encode(pa.array(odd, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [e.tok.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_in_small_steps(name, monkeypatch):
+    monkeypatch.setattr(tokens, "NUMBERED", 300)
+    monkeypatch.setattr(tokens, "JOINED", 60)
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 5)
+    texts = [t for _, t in corpus()]
+    e = tokens.Encoder(tokens.tokenizer_path(name), drop_space=name.startswith("word"))
+    got, rows = [], []
+    for i, j, ids, n in e.encode(pa.array(texts, pa.string())):
+        rows += range(i, j)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert rows == list(range(len(texts)))
+    assert got == [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_coder_on_text_and_on_runs():
+    """Blocks of unequal length and of any ids come back; a text's ids take far
+    fewer than their 16 bits, and long carries are passed on."""
+    e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    ids = next(e.encode(pa.array([" ".join(t or "" for _, t in corpus())] * 3, pa.string())))[2]
+    rng = np.random.default_rng(9)
+    blocks = [ids[:4096], np.zeros(3000, np.uint32), rng.integers(0, 65536, 2500).astype(np.uint32), np.array([50256], np.uint32), np.zeros(0, np.uint32)]
+    blocks.sort(key=len, reverse=True)
+    parts = token_store.encode_blocks(blocks, 16)
+    back = token_store.decode_blocks(parts, np.array([len(b) for b in blocks]), 16)
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(blocks, back, strict=True))
+    text = next(len(p) for p, b in zip(parts, blocks, strict=True) if len(b) == len(ids[:4096]))
+    assert 8 * text < 12 * len(ids[:4096])
+    large = [np.array([1 << 20, 5, 1 << 20], np.uint32)]
+    assert (token_store.decode_blocks(token_store.encode_blocks(large, token_store.id_bits(large)), np.array([3]), 21)[0] == large[0]).all()
+    with pytest.raises(ValueError):
+        token_store.id_bits([np.array([1 << 24], np.uint32)])
 
 
 # op2 ---------------------------------------------------------------------------------------
@@ -187,7 +228,31 @@ def test_sketches_bound_the_difference():
     for _ in range(50):
         x = np.unique(rng.integers(0, 2**63, rng.integers(5, 400), dtype=np.uint64))
         y = np.unique(np.concatenate([rng.choice(x, len(x) * 3 // 4, False), rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)]))
-        assert ngram_join.least_difference(ngram_join.parity_sketch(x), ngram_join.parity_sketch(y)) <= len(np.setxor1d(x, y))
+        a, b = (np.frombuffer(ngram_join.parity_sketch(z), np.uint64)[None, :] for z in (x, y))
+        words = min(a.shape[1], b.shape[1])
+        assert np.bitwise_count(ngram_join._fold(a, words) ^ ngram_join._fold(b, words)).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 16, 600])
+def test_ngram_join_of_large_families(spark, monkeypatch, block_bytes):
+    """Families of texts about the threshold apart, in one block each and in many."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for i in range(70):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+                own[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+            rows.append((family * 100 + i, " ".join(own)))
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(ngram_join.ngram_join(d), "doc_id", "n_shingles", "component_id") == brute_components(rows, 4, 85, 100)
+
+
+def test_spanning():
+    assert ngram_join.spanning(np.array([1, 2, 1, 5, 3]), np.array([2, 3, 3, 6, 5])) == [0, 1, 3, 4]
 
 
 # op4 ---------------------------------------------------------------------------------------
@@ -226,6 +291,30 @@ def test_suffix_dedup_of_periods(spark):
         assert got == brute_repeats(rows, window)
 
 
+def test_repeated_passages(spark, docs, empty):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    text = lambda n: [word() for _ in range(n)]
+    inner = text(30)
+    rows = [
+        (1, " ".join(text(80) + passage + text(9))), (2, "\n".join(passage[5:56]) + " end"), (3, " ".join(text(4) + passage[:50] + text(9))),
+        (4, " ".join(passage)), (None, " ".join(text(3) + passage[9:])), (6, " ".join(text(70))), (7, None), (8, ""), (9, " ".join(inner * 4)),
+        (10, " ".join(["u"] * 51)), (10, " ".join(["u"] * 51)), (11, " ".join(["v"] * 50)), (12, " ".join(["v"] * 50)),
+    ]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), passage_words=51)
+    assert by_row(got, "doc_id", "repeats") == sorted(((i, i in (1, 2, 4, None, 10)) for i, _ in rows), key=str)
+    words = [(t or "").split() for _, t in corpus()]
+    seen = collections.defaultdict(set)
+    for r, w in enumerate(words):
+        for p in range(len(w) - 11):
+            seen[tuple(w[p : p + 12])].add(r)
+    want = [(i, any(len(seen[tuple(w[p : p + 12])]) > 1 for p in range(len(w) - 11))) for (i, _), w in zip(corpus(), words, strict=True)]
+    got = suffix_dedup.suffix_dedup(docs, passage_words=12)
+    assert by_row(got, "doc_id", "repeats") == sorted(want, key=str)
+    assert suffix_dedup.suffix_dedup(empty, passage_words=51).columns[-1] == "repeats"
+
+
 # op5 ---------------------------------------------------------------------------------------
 
 
@@ -252,6 +341,18 @@ def test_rule_order_changes_no_verdict(docs):
     assert a == by_row(quality_rules.quality_rules(docs, rules=dict(reversed(rules.items()))), "doc_id", "kept")
 
 
+def test_rule_order_goes_by_rejection_per_step(spark, docs):
+    rules = {"long": lambda: F.col("n_words") > 50, "same": lambda: F.col("n_words") > 50, "never": lambda: F.lit(False), "more": lambda: F.col("n_words") > 40}
+    order = lambda rows, n: quality_rules.cascade_order(docs, "doc_id", "text", rules, rows, n)
+    assert order(500, {}) == ["more", "long", "same", "never"]
+    assert order(500, {"more": lambda: F.lit(1000)}) == ["long", "same", "more", "never"]
+    assert order(500, {"long": lambda: F.lit(3)}) == ["more", "same", "long", "never"]
+    assert quality_rules.cascade_order(docs.repartition(7), "doc_id", "text", rules, 9, {}) == quality_rules.cascade_order(docs.coalesce(1), "doc_id", "text", rules, 9, {})
+    assert quality_rules.cascade_order(docs.where("false"), "doc_id", "text", rules, 9, {}) == list(rules)
+    with_reason = lambda d: by_row(quality_rules.quality_rules(d), "doc_id", "rejected_by")
+    assert with_reason(docs.repartition(6)) == with_reason(docs.coalesce(2))
+
+
 # op6 ---------------------------------------------------------------------------------------
 
 
@@ -336,6 +437,69 @@ def test_trees_learn_and_flatten():
     assert len(set(quality_model.fit_trees(x[:9], np.ones(9)).score(x[:5]))) == 1
 
 
+def plain_features(t):
+    raw = (t or "").encode()
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    if not words:
+        return [0.0] * len(quality_model.FEATURES)
+    n, size = len(words), len(raw)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    lines, triples = [x for x in raw.split(b"\n") if x], [tuple(words[i : i + 3]) for i in range(n - 2)]
+    return [
+        np.log1p(size), np.log1p(n), sum(map(len, words)) / n, max(map(len, words)), count(b"#*$%&|<>") / n, count(b"|") / n, count(b"!?") / n,
+        count(b".") / n, count(b",") / n, count(range(65, 91)) / size, count(range(48, 58)) / size, count(range(128, 256)) / size,
+        count(b" \t\n\x0b\x0c\r") / size, n / (count(b"\n") + 1), 1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / n,
+        len(set(triples)) / max(1, len(triples)), max(collections.Counter(words).values()) / n]
+
+
+def test_features_against_plain_ones():
+    texts = [t for _, t in corpus()] + ["A b!? 12\n\nA b!? 12\nÜ|#", "x", "a b", "x y x y x y", "\n\n . , \t", "w " * 9000]
+    assert np.allclose(quality_model.features(texts), [plain_features(t) for t in texts])
+
+
+def test_trees_against_plain_boosting():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (80, 3)).astype(float)
+    x[:, 2] = x[:, 0]  # gains tie
+    y = ((x[:, 0] + x[:, 1] + rng.integers(0, 4, 80)) > 6).astype(float)
+    m = quality_model.fit_trees(x, y, trees=3, depth=2)
+    b, total = m.binned(x), np.full(80, m.base)
+    for tree in range(3):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+        node = np.zeros(80, int)
+        for at in range(3):
+            rows = np.flatnonzero(node == at)
+            part = lambda k: g[k].sum() ** 2 / (h[k].sum() + quality_model.L2)
+            best, choice = 1e-9, (0, quality_model.BINS)
+            for f in range(3):
+                for t in range(quality_model.BINS):
+                    left, right = rows[b[rows, f] <= t], rows[b[rows, f] > t]
+                    gain = part(left) + part(right) - part(rows)
+                    if gain > best + 1e-12:
+                        best, choice = gain, (f, t)
+            assert (m.feature[tree, at], m.bin[tree, at]) == choice
+            node[rows] = 2 * at + 1 + (b[rows, choice[0]] > choice[1])
+        leaf = np.array([-quality_model.RATE * g[node == k].sum() / (h[node == k].sum() + quality_model.L2) for k in range(3, 7)])
+        assert np.allclose(m.leaf[tree], leaf)
+        total += leaf[node - 3]
+
+
+def test_quality_model_of_repeats(spark):
+    """Repeated labels and ids, both labels of an id, a long text and clashing names."""
+    rows = [(i, " ".join(["good words here."] * (i % 7 + 1)) if i % 2 else "|| ## " * (i % 5 + 1), "a", 7) for i in range(40)]
+    rows += [(1, "zzz", "a", 7)] * 30 + [(None, "x", None, None), (90, "long " * 50_000, "a", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string, score int").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(3, 0), (None, 1), (4, None), (99, 1)], "doc_id long, quality int")
+    model = quality_model.fit(d, labels)
+    once = spark.createDataFrame([r for r in rows[:40]] + rows[-1:], d.schema)
+    other = quality_model.fit(once, labels.distinct())
+    assert (model.leaf == other.leaf).all() and (model.edges == other.edges).all()
+    got = quality_model.score(d, model).collect()
+    assert len(got) == len(rows) and sum((r.score > 0.5) == bool(r.doc_id % 2) for r in got if r.doc_id is not None and r.doc_id < 40) >= 38
+    assert len({r.score for r in got if r.doc_id == 1}) <= 2
+
+
 def test_quality_model(spark, docs, empty):
     labels = docs.select("doc_id", (F.length("text") > 100).cast("int").alias("quality"))
     model = quality_model.fit(docs, labels)
@@ -364,6 +528,51 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language.word_scores(words, p, vocab), np.log([[brute(w, k) for k in (0, 1)] for w in words]))
 
 
+def test_training_counts_all_segmentations():
+    vocab, unknown = {"a": 0, "b": 1, "ab": 2, "aba": 3}, 4
+    counts = {"x": {"abab": 3, "ba": 1, "qa": 2}, "y": {"aab": 5}}
+
+    def segmentations(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in vocab or n == 1:
+                for rest in segmentations(w[n:]):
+                    yield [vocab.get(w[:n], unknown), *rest]
+
+    table = np.full((5, 2), 0.2)
+    for _ in range(3):
+        new = np.full((5, 2), language.SMOOTH)
+        for k, lang in enumerate("xy"):
+            for w, n in counts[lang].items():
+                every = [(s, np.prod(table[s, k])) for s in segmentations(w)]
+                for s, p in every:
+                    for piece in s:
+                        new[piece, k] += n * p / sum(q for _, q in every)
+        table = new / new.sum(0)
+    langs, got = language.train(counts, vocab, rounds=3)
+    assert langs == ["x", "y"] and np.allclose(got, table)
+
+
+def test_language_totals(spark, monkeypatch):
+    """Scores of whole texts: mean log-likelihoods of words, ties to the first
+    language, long and repeated texts, clashing names."""
+    vocab = {"a": 0, "b": 1}
+    monkeypatch.setattr(language, "vocabulary", lambda path: vocab)
+    table = np.array([[0.6, 0.2], [0.2, 0.6], [0.2, 0.2]])
+    rows = [(1, "a b aab"), (2, "B b! 7 ab"), (2, "B b! 7 ab"), (None, "ab"), (3, "c"), (4, "a " * 30_000 + "b" * 95), (5, " 12 ")]
+    d = spark.createDataFrame([(*r, "z", 0.5) for r in rows], "doc_id long, text string, lang_pred string, score double").coalesce(1)
+    p = {"a": table[0], "b": table[1], "c": table[2]}
+    want = []
+    for i, t in rows:
+        words = [x for w in re.findall("[a-z]+", t.lower()) for x in (w[k : k + 40] for k in range(0, len(w), 40))]
+        mean = np.mean([np.sum([np.log(p[c]) for c in w], 0) for w in words], 0) if words else None
+        share = np.exp(mean) / np.exp(mean).sum() if words else [0.0]
+        want.append((i, ["en", "fr"][int(np.argmax(mean))] if words else "und", pytest.approx(max(share))))
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language.predict(d, (["en", "fr"], table)).collect()]
+    assert got == want
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(5)
     own = {"en": "the of and to ing tion with that".split(), "de": "der und nicht keit schaft ung ein über".split()}
@@ -498,3 +707,64 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     assert got.columns == docs.columns and left(got) == once
     got = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and left(got) == collections.Counter(rows) - collections.Counter([rows[8], rows[9]])
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, null texts and ids, and clashing names at every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = lambda k: " ".join(rng.choice("the of and with that tion ing".split()) + rng.choice("ab cd ef".split()) for _ in range(k))
+    rows = [(i, text(40), "en", "s", 0, "x", 1, 2, 3, True) for i in range(12)] + [(None, None, None, None, None, None, None, None, None, None)] * 2
+    rows += [(5, "", "en", "s", 0, "x", 1, 2, 3, False), (None, text(3000), "en", "s", 0, "x", 1, 2, 3, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k string, node long, row int, label int, contaminated boolean"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    none = spark.createDataFrame([], "item_id long, text string")
+    none.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert out.agg(F.count_distinct("doc_id")).first()[0] == 12
+            continue
+        assert out.columns == docs.columns
+        got = collections.Counter(tuple(r) for r in out.collect())
+        gone = {"language": 3, "lines": 0, "near_copies": 0, "benchmark": 0}[name]
+        assert sum(got.values()) == len(rows) - gone
+        assert got - collections.Counter(rows) == collections.Counter()
+
+
+def test_pipeline_against_a_recount(spark, tmp_path):
+    """Lines, near copies and benchmark of some documents, stage by stage, against plain sets."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(400)]
+    text = lambda k: " ".join(rng.choices(vocab, k=k))
+    lines = [text(9) for _ in range(6)]
+    items = [(i, text(15)) for i in range(3)]
+    rows = []
+    for i in range(50):
+        t = text(rng.randint(10, 60))
+        if i % 6 == 1:
+            t += "\n" + rng.choice(lines)
+        if i % 7 == 2:
+            t += " " + rng.choice(items)[1]
+        if i % 5 == 4 and rows:
+            w = rows[rng.randrange(len(rows))][1].split(" ")
+            w[rng.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        rows.append((i, t))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = lambda x: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in x], "doc_id long, text string, lang string, source string, n_chars long")
+    read = lambda d: sorted((r.doc_id, r.text) for r in d.collect())
+    kept = brute_lines(rows, line_dedup.MIN_WORDS, line_dedup.NEAR_WORDS)
+    left = [(i, t) for i, t in sorted(kept.items()) if t.strip()]
+    got = corpus_pipeline.line_stage(spark, frame(rows), str(tmp_path))
+    assert read(got) == left and all(r.n_chars == len(r.text) for r in got.collect())
+    least = {i: c for i, _, c in brute_components(rows, 5, 80, 100)}
+    assert read(corpus_pipeline.near_copy_stage(spark, frame(rows), str(tmp_path))) == [(i, t) for i, t in rows if least[i] == i] != rows
+    cut = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", t.lower())
+    grams = {tuple(w[p : p + 10]) for _, t in items for w in [cut(t)] for p in range(len(w) - 9)}
+    clean = [(i, t) for i, t in rows if not any(tuple(cut(t)[p : p + 10]) in grams for p in range(len(cut(t)) - 9))]
+    assert read(corpus_pipeline.benchmark_stage(spark, frame(rows), str(tmp_path))) == clean != rows
