@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages, each an operator of ``pairlens.llm``.
 
 Each stage gets what its predecessor kept, written as Parquet and read again,
-and all but the last return the columns of ``documents``.
+and all but the last return the columns of ``documents``, whatever further ones
+there are, with names that clash with the operators' own, too.  An empty table
+gives an empty one at each stage; ids may be null or repeat, as rows are told
+apart by themselves.
 """
 
 from __future__ import annotations
@@ -21,13 +24,22 @@ LEAST_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or of no clear language."""
+    """Drops documents without a letter, or of no clear language.
+
+    Null and empty texts go.  Rows are judged each by itself, so repeated ones
+    have the same lot; of tied languages the first in order counts, and its
+    score is then that of no clear language.  Very long texts are read whole."""
     out = language.predict(docs, language.fit(docs), keep_row=True)
     return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out; a document that has nothing else goes."""
+    """Takes repeated lines out; a document that has nothing else goes.
+
+    A document without a repeated line stays as it is, a null or blank one as
+    well.  Of equal lines the one of least id and line number stays, null ids
+    first.  Rows equal in id and text stand at one place and keep the same
+    lines.  ``n_chars`` follows the text where it changes."""
     out = line_dedup(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[
@@ -38,8 +50,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that link by five-word shingles at 0.8, one stays: that of least
-    id, a row without an id only if none has one.  Rows are told apart by a
-    number of their own, so ids may be null or repeat."""
+    id, a row without an id only if none has one.
+
+    Rows are told apart by a number of their own, so ids may be null or repeat,
+    and of rows that repeat in all one stays.  Null, empty and blank texts have
+    no shingles, link with nothing and stay."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     out = ngram_join(rows, k=5, num=80, den=100, id_col="_row").where("doc_id <> component_id")
     linked = written(out.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "linked")
@@ -47,20 +62,26 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     first = rows.select("_row", "doc_id").join(members, "_row").groupBy("group").agg(F.min_by("_row", order).alias("_row"))
     gone = written(members.join(first, "_row", "left_anti").select("_row"), "gone")
-    return rows.join(bounded_broadcast(gone, 500_000), "_row", "left_anti").select(*docs.columns)
+    return rows.join(bounded_broadcast(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that share a window with a benchmark item.  Rows equal in
-    id and text have one key and one verdict; ids may be null or repeat."""
+    """Drops the rows that share a window with a benchmark item.
+
+    Rows equal in id and text have one key and one verdict; ids may be null or
+    repeat.  Null and empty texts hit nothing and stay, as all rows do where the
+    benchmark is empty; items with a null id count."""
     rows = docs.withColumn("_row", row_key("doc_id", "text"))
     out = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
     gone = written(out.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "gone")
-    return rows.join(bounded_broadcast(gone, 500_000), "_row", "left_anti").select(*docs.columns)
+    return rows.join(bounded_broadcast(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences.
+
+    A null or empty text is its end id alone; rows that repeat are packed each;
+    a very long text takes many sequences."""
     return pack(docs)
 
 

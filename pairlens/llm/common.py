@@ -68,15 +68,17 @@ def in_parts(df: DataFrame, rows: int, per_part: int) -> DataFrame:
 
 
 def discard(spark: SparkSession, df_or_path) -> None:
-    """Deletes a written table that no later plan reads."""
+    """Deletes a written table that no later plan reads, and has Spark drop the
+    shuffle files of finished plans: a table's own are of about its size."""
     path = getattr(df_or_path, "_pairlens_path", df_or_path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    drop_shuffles(spark)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Has the driver collect its garbage, upon which Spark deletes the shuffle
-    files of finished plans; for once after a shuffle of about the input's size."""
+    files of finished plans."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

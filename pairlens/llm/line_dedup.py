@@ -182,7 +182,7 @@ def line_dedup(
     gone = None
     if near.limit(1).count():
         wanted = near.groupBy("first.doc_id", "first.k").agg(F.collect_list("first.number").alias("numbers"))
-        wanted = bounded_broadcast(written(wanted.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "numbers"), "wanted"), 100_000)
+        wanted = bounded_broadcast(written(wanted.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "numbers"), "wanted"))
         own = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key"))).select("text", "numbers")
         variants = written(own.mapInArrow(_variants_of, "variant long, place int, line long").join(near, "line"), "variants")
         entry = F.struct("first", "line")
@@ -203,7 +203,9 @@ def line_dedup(
             discard(spark, x)
     stay = distinct if gone is None else distinct.join(gone, "line", "left_anti")
     kept = stay.groupBy("first.doc_id", "first.k").agg(F.collect_list("first.number").alias("kept"))
-    kept = kept.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "kept")
+    kept = written(kept.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "kept"), "kept")
+    discard(spark, near)
+    discard(spark, distinct)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left").select("row", "text", "kept")
     schema = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema

@@ -153,7 +153,6 @@ def ngram_join(
     kept = written(ranked.where(F.col("rank") <= F.col("c") - need + 1).select(
         "key", "node", F.shiftright("meta", 32).cast("int").alias("n")), "buckets")
     discard(spark, met)
-    drop_shuffles(spark)
     label = None
     if kept.limit(1).count():
         sets = _sets(d, nodes, kept, k)
@@ -321,6 +320,7 @@ def _block_pairs(left: DataFrame, label: DataFrame | None, sketches: DataFrame)
     rows = now.join(per.select("key", "size", "main"), "key").select("key", "node", "label", deal.alias("block")).join(sketches, "node")
     blocks = written(rows.groupBy("key", "block").agg(
         F.collect_list(F.struct("node", "n", "label", "hashes")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+    drop_shuffles(left.sparkSession)
     other = blocks.select("key", F.col("block").alias("to"), F.col("x").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     own = blocks.where("lo < hi").select("key", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
     several = blocks.groupBy("key").agg(F.min("block").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
@@ -345,6 +345,7 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     digest = kept.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     one = digest.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
     size = (64 + F.col("n") / 2).cast("long").alias("bytes")
+    drop_shuffles(spark)
     left = written(in_parts(kept.select("key", "node", size).join(one, "key"), kept.count(), ROWS), "fragments")
     n = left.count()
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "key"))
@@ -361,12 +362,15 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             new = new.join(tested, ["a", "b"], "left_anti")
         new = written(in_parts(new, found.count(), ROWS), "pairs")
         good = written(in_parts(_overlaps(new, sets, num, den), new.count(), PAIRS_PER_PART), "links")
+        drop_shuffles(spark)
         if most == 0 or good.limit(1).count():
             links = good if links is None else links.union(good)
             label = components(links)
         if most and found.where("more").limit(1).count() == 0:
             return label
-        if most:  # what has no pair within reach now has none later
+        if most == 0:
+            discard(spark, near)
+        else:  # what has no pair within reach now has none later
             rest = written(in_parts(left.join(found.select("key").distinct(), "key", "left_semi"), n, ROWS), "fragments")
             discard(spark, left)
             left = rest

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, drop_shuffles, in_parts, row_key, written
+from .common import bounded_broadcast, discard, in_parts, row_key, written
 from .texthash import _MIX, HashSpans, Spans, join_texts, mix, words
 from .tokens import text_slices
 
@@ -161,7 +161,6 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = g.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     active = written(in_parts(g.join(mixed, "core", "left_semi").select("one.*"), n, PART_ROWS), "active")
     discard(rows.sparkSession, g)
-    drop_shuffles(rows.sparkSession)
     return repeated, active
 
 
