@@ -38,6 +38,9 @@ SLACK = 8
 COUNT_FRAGMENTS = 4
 #: Bytes of sketches of a fragment's sets that are compared at once, about.
 BLOCK_BYTES = 1 << 16
+#: A sketch goes along with each fragment of its set, of which a long text has
+#: thousands.  A short sketch of a large set rules out less, and nothing wrongly.
+SKETCH_BITS = 4096
 #: Fragments of each set that are looked at first, the most shared; and how
 #: many pairs of two labels are counted at once, in the first round after.
 FIRST_FRAGMENTS, PAIRS = 3, 64
@@ -84,8 +87,8 @@ def fragment_keys(s: np.ndarray, bounds: list[int], num: int, den: int) -> list[
 
 def parity_sketch(s: np.ndarray) -> bytes:
     """One bit per narrow fragment (low bits of the hash, of two to four
-    fragments per hash): whether its count is odd."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    fragments per hash, up to ``SKETCH_BITS``): whether its count is odd."""
+    bits = min(SKETCH_BITS, max(64, 1 << (2 * len(s) - 1).bit_length()))
     odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -344,7 +347,7 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     # Fragments of the same sets are one.
     digest = kept.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     one = digest.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
-    size = (64 + F.col("n") / 2).cast("long").alias("bytes")
+    size = (64 + F.least(F.col("n") / 2, F.lit(SKETCH_BITS / 8))).cast("long").alias("bytes")
     drop_shuffles(spark)
     left = written(in_parts(kept.select("key", "node", size).join(one, "key"), kept.count(), ROWS), "fragments")
     n = left.count()
