@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import numbered, running_sum
+
 
 def hash_pick(df: DataFrame, column: str, count: int) -> DataFrame:
     """The ``count`` distinct values that come first by SHA-256, then value."""
@@ -49,16 +51,16 @@ def longest(df: DataFrame, length: str, text: str, position: str, n: int) -> Dat
 
 
 def running_offset(df: DataFrame, length: str, group: str, order: str, name: str = "offset") -> DataFrame:
-    """The sum of the lengths before each row in its group's order."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(length).over(w), F.lit(0)))
+    """The sum of the lengths before each row in its group's order; in two
+    levels, so a group that holds most rows is not one task's."""
+    return running_sum(df, F.col(length), [group], [order], name)
 
 
 def number_duplicates(df: DataFrame, column: str, order: str, name: str | None = None) -> DataFrame:
-    """The n-th row of an id (n > 1) becomes ``id#n``."""
-    n = F.row_number().over(Window.partitionBy(column).orderBy(order))
-    c = F.col(column).cast("string")
-    return df.withColumn(name or column, F.when(n > 1, F.concat(c, F.lit("#"), n.cast("string"))).otherwise(c))
+    """The n-th row of an id (n > 1) becomes ``id#n``; in two levels, too."""
+    n, c = F.col("_place") + 1, F.col(column).cast("string")
+    placed = numbered(df, [column], [order], "_place")
+    return placed.withColumn(name or column, F.when(n > 1, F.concat(c, F.lit("#"), n.cast("string"))).otherwise(c)).drop("_place")
 
 
 def best_of(df: DataFrame, value: str, position: str, label: str) -> DataFrame:

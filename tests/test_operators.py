@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions import text
 from pairlens.functions.numerals import as_column, harmonize
-from pairlens.operators import compare, integrity, overlap, rates, resample, splits, steps
+from pairlens.operators import compare, integrity, overlap, rates, resample, scan, splits, steps
 from pairlens.plans import reports, verdicts
 from pairlens.sources import readers, writers
 from pairlens.streaming import steps as streaming
@@ -359,3 +359,25 @@ def test_inventory_logs_and_lines(spark, tmp_path):
     assert d.o.a.b == 1 and tuple(d.l) == (12, 3) and d.p == ["17, x", "4 y"]
     paths = spark.createDataFrame([("/x/train-00012.parquet",), ("a/3.parquet",)], "p string").select(readers.file_order(F.col("p")).alias("n")).collect()
     assert [r.n for r in paths] == [12, 3]
+
+
+def test_two_level_scan(spark):
+    """All rows in one group: every range has its share, and the sums are plain ones."""
+    rng = np.random.default_rng(9)
+    value = rng.integers(0, 100, 3000)
+    rows = [("hot" if i % 3 else (None if i % 2 else f"g{i % 5}"), i, int(value[i])) for i in range(3000)]
+    d = spark.createDataFrame(rows, "g string, pos long, v long").repartition(7)
+    before, seen, places = {}, {}, {}
+    for g, i, v in rows:
+        before[i], places[i] = seen.get(g, (0, 0))
+        seen[g] = (before[i] + v, places[i] + 1)
+    got = scan.running_sum(d, F.col("v"), ["g"], ["pos"], "s", range_rows=200)
+    assert {r.pos: r.s for r in got.collect()} == before and got.columns == ["g", "pos", "v", "s"]
+    assert {r.pos: r.n for r in scan.numbered(d, ["g"], ["pos"], "n", range_rows=200).collect()} == places
+    whole = {r.pos: r.n for r in scan.numbered(d, [], ["pos"], "n", range_rows=200).collect()}
+    assert whole == {i: i for i in range(3000)}
+    parts = d.where("g = 'hot'").repartitionByRange(10, "g", "pos").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 2 * 2000 / 10
+    assert scan.running_sum(d.where("false"), F.col("v"), ["g"], ["pos"], "s").count() == 0
+    again = splits.number_duplicates(spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), ("a", 3)], "id string, pos long"), "id", "pos")
+    assert sorted(r.id for r in again.collect()) == ["a", "a#2", "a#3", "b"]
