@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, quality_model
+from .alignment import align
 from .common import table
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .mixing import mix
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_rules import quality_rules
 from .suffix_dedup import PASSAGE_WORDS, suffix_dedup
 from .token_store import token_store
+from .vp_tree import hard_negatives
 from .warc import archive
 
 
@@ -75,6 +78,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings")).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
@@ -86,6 +101,9 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_alignment": op13_alignment,
 }
 
 _W5 = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -157,4 +175,14 @@ k AS (SELECT o.*, o.n < 1 OR (o.pos = u.pos AND o.s NOT IN (SELECT s FROM near))
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (NOT stay) AS n_removed,
   sha256(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (stay), '')) AS text_sha256
 FROM k GROUP BY r""",
+    "op12_hard_negatives": r"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS la, b.r AS b, b.vec_id AS id, b.label AS lb, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE la = lb QUALIFY k <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.a = p.a AND s.la <> s.lb AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n""",
 }
