@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signal import bandpass, filter_both_ways, resample
 from .text import _c
 
 MU = 255.0
@@ -38,37 +40,28 @@ def first_window(x, seconds: int = 30, rate: int = 16_000) -> Column:
     return F.slice(_c(x), 1, seconds * rate)
 
 
+def _mu_law(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -1, 1)
+    codes = np.rint((np.sign(x) * np.log1p(MU * abs(x)) / np.log1p(MU) + 1) / 2 * 255) / 255 * 2 - 1
+    return np.sign(codes) * np.expm1(abs(codes) * np.log1p(MU)) / MU
+
+
+def telephone_samples(x: np.ndarray, rate: int = 16_000) -> np.ndarray:
+    """``x`` as a narrow telephone line would give it back, at the same rate."""
+    if len(x) < 64:
+        return x.astype(np.float32)
+    band = filter_both_ways(x, bandpass(4, 300.0, 3400.0, float(rate)))
+    narrow = _mu_law(resample(band, 2, 1))
+    return resample(narrow, 1, 2)[: len(x)].astype(np.float32)
+
+
 def telephone(x) -> Column:
-    """16 kHz samples through a narrow telephone band: what lies outside 300 to
-    3400 Hz is taken out at zero phase, every other sample is mu-law coded,
-    and the result brought back to 16 kHz.  Below 64 samples nothing changes.
-
-    The band is cut in the frequency domain with a fourth-order magnitude
-    response, forwards and backwards; ends differ slightly from a time-domain
-    filter with padding.
-    """
+    """16 kHz samples through a narrow telephone band: a fourth-order band-pass
+    of 300 to 3400 Hz forwards and backwards, half the rate, mu-law codes, and
+    the old rate again.  Below 64 samples nothing changes; null stays null."""
     @F.pandas_udf("array<float>")
     def run(batch: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def one(v):
-            if v is None or len(v) < 64:
-                return v
-            a = np.asarray(v, float)
-            f = np.fft.rfftfreq(len(a), 1 / 16_000)
-            with np.errstate(divide="ignore"):
-                band = 1 / (1 + ((f * f - 300.0 * 3400.0) / (np.maximum(f, 1e-9) * 3100.0)) ** 8)
-            low = np.fft.irfft(np.fft.rfft(a) * band, len(a))[::2]
-            s = np.clip(low, -1, 1)
-            codes = np.rint((np.sign(s) * np.log1p(MU * abs(s)) / np.log1p(MU) + 1) / 2 * 255) / 255 * 2 - 1
-            back = np.sign(codes) * np.expm1(abs(codes) * np.log1p(MU)) / MU
-            spectrum = np.fft.rfft(back)
-            wide = np.zeros(len(a) // 2 + 1, complex)
-            n = min(len(spectrum), len(wide))
-            wide[:n] = spectrum[:n]
-            return (np.fft.irfft(wide, len(a)) * len(a) / len(back)).astype(np.float32)
-
-        return batch.map(one)
+        return batch.map(lambda v: None if v is None else telephone_samples(np.asarray(v, float)))
 
     return run(_c(x))
 
