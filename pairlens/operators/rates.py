@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .quantiles import wide_quantiles
 
 
 def rate(edits: str = "edits", length: str = "length") -> Column:
@@ -35,9 +36,10 @@ def decoding_counts(df: DataFrame, with_retries: bool = True) -> DataFrame:
 
 def latency_summary(df: DataFrame, value: str, *by: str, digits: int = 3) -> DataFrame:
     """Median and 90th percentile, exact and linear between neighbours, rounded
-    half to even; null for no rows."""
-    p = lambda q: F.bround(F.percentile(value, F.lit(q)), digits)
-    return df.groupBy(*by).agg(p(0.5).alias("median"), p(0.9).alias("p90"))
+    half to even; of no rows at all one row of nulls without ``by``, else none.
+    No task holds a group's values."""
+    q = wide_quantiles(df, value, list(by), {"median": 0.5, "p90": 0.9})
+    return q.select(*by, *[F.bround(c, digits).alias(c) for c in ("median", "p90")])
 
 
 def hours(length: str = "length", rate_hz: int = 16_000) -> Column:

@@ -7,9 +7,10 @@ is one sequential task by nature and is for small inputs.
 
 Rows are summed to units first, so a unit is a row, or a block where rows of a
 block are drawn together.  The draws are units x samples rows.  For very many
-rows, sum them to blocks, or use ``poisson``, whose draws need no position and
-no join: each row weighs itself per sample, and sums are combined before the
-shuffle.
+rows, sum them to blocks, or use ``poisson``: each row weighs itself per sample
+by a generator that counts on from its unit, and a task adds up one vector as
+long as the samples, so rows are read once and nothing but those vectors is
+shuffled.
 """
 
 from __future__ import annotations
@@ -17,16 +18,76 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialized
 from .splits import hash_rank
 
 SAMPLES, SEED = 1000, 0
+#: Fixed values of a published 32-bit mix (shifts and factors), and what a sample and a seed step by.
+MIX_SHIFTS, MIX_FACTORS = (16, 15, 16), (0x7FEB352D, 0x846CA68B)
+REP_STEP, SEED_STEP = 0x9E3779B9, 0x85EBCA6B
+#: Weights that a task makes at once.
+DRAWN = 1 << 21
 
 
 def _draw(seed: int, rep: Column, slot: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), rep, slot)), 1, 8), 16, 10).cast("long")
+    """60 bits, so that the rest by any number of units is as good as even."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), rep, slot)), 1, 15), 16, 10).cast("long")
+
+
+def poisson_bounds(most: int = 12) -> list[int]:
+    """The least 32-bit draw of each weight from 1 on, of a Poisson of 1."""
+    out, total = [], 0.0
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(math.ceil(total * (1 << 32)))
+    return [x for x in out if x < 1 << 32]
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A mix of 32-bit values, in place."""
+    for k, shift in enumerate(MIX_SHIFTS):
+        x ^= x >> np.uint32(shift)
+        if k < len(MIX_FACTORS):
+            x *= np.uint32(MIX_FACTORS[k])
+    return x
+
+
+def poisson_weights(low: np.ndarray, high: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Units x samples weights.  A unit is two 32-bit values; equal units weigh
+    the same wherever they lie, so rows of a block are drawn together."""
+    with np.errstate(over="ignore"):
+        step = np.arange(samples, dtype=np.uint32) * np.uint32(REP_STEP) + np.uint32(seed * SEED_STEP & 0xFFFFFFFF)
+        x = mix32(low.astype(np.uint32)[:, None] + step[None, :])
+        x = mix32(x ^ high.astype(np.uint32)[:, None])
+    return np.searchsorted(np.array(poisson_bounds(), np.uint32), x.ravel(), "right").reshape(x.shape)
+
+
+def _poisson_sums(df: DataFrame, values: list[str], unit: str, samples: int, seed: int) -> DataFrame:
+    digest = F.md5(F.col(unit).cast("string"))
+    part = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("long")
+    d = df.select(part(1).alias("low"), part(9).alias("high"), *values).where("low is not null")
+    kinds = ["double" if d.schema[v].dataType.simpleString() in ("float", "double") else "long" for v in values]
+
+    def run(batches):
+        total = [np.zeros(samples, float if k == "double" else np.int64) for k in kinds]
+        for b in batches:
+            low, high, *own = (b.column(k).to_numpy(zero_copy_only=False) for k in range(len(values) + 2))
+            own = [np.nan_to_num(x.astype(float)) for x in own]
+            step = max(1, DRAWN // samples)
+            for i in range(0, len(low), step):
+                w = poisson_weights(low[i : i + step], high[i : i + step], samples, seed).astype(float)
+                for k, x in enumerate(own):
+                    part_sum = x[i : i + step] @ w
+                    total[k] += part_sum if kinds[k] == "double" else np.rint(part_sum).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), *map(pa.array, total)], names=["rep", *values])
+
+    made = d.mapInArrow(run, ", ".join(["rep long", *[f"{v} {k}" for v, k in zip(values, kinds, strict=True)]]))
+    return made.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def _units(df: DataFrame, values: list[str], unit: str) -> DataFrame:
@@ -42,16 +103,7 @@ def resampled_sums(df: DataFrame, values: list[str], unit: str, samples: int = S
     spark = df.sparkSession
     reps = spark.range(samples).withColumnRenamed("id", "rep")
     if mode == "poisson":
-        # Weights 0, 1, 2, ... by the cumulative probabilities of a Poisson of 1.
-        u = _draw(seed, F.col("rep"), F.col("key")) / float(1 << 32)
-        bounds, total = [], 0.0
-        for k in range(12):
-            total += math.exp(-1) / math.factorial(k)
-            bounds.append(total)
-        weight = sum((F.when(u >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-        rows = df.select(F.col(unit).cast("string").alias("key"), *values).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"))
-        w = rows.select("rep", weight.alias("w"), *values)
-        return w.groupBy(F.col("rep").cast("long").alias("rep")).agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
+        return _poisson_sums(df, values, unit, samples, seed)
     if mode == "parity":
         return _parity([df], values, unit, samples, seed)
     units = _units(df, values, unit)
@@ -66,7 +118,6 @@ def resampled_sums(df: DataFrame, values: list[str], unit: str, samples: int = S
 def _parity(sets: list[DataFrame], values: list[str], unit: str, samples: int, seed: int) -> DataFrame:
     """The sums of numpy's draws; of several sets, each one's draws follow the
     other's from one generator, and a value of set k is named ``value_k``."""
-    import numpy as np
     import pandas as pd
 
     count = len(sets)  # the function below must not carry the sets along
@@ -114,9 +165,10 @@ def difference_interval(df: DataFrame, unit: str, a: str = "edits_a", b: str = "
 def leave_one_out(df: DataFrame, block: str, a: str = "edits_a", b: str = "edits_b", length: str = "length") -> DataFrame:
     """(block, delta): rate(a) - rate(b) of all other blocks.  The totals come
     from the blocks' own sums, one narrow row each, so rows are read once."""
-    sums = df.groupBy(block).agg(*[F.sum(v).alias(v) for v in (a, b, length)])
-    rest = lambda v: F.sum(v).over(Window.partitionBy()) - F.col(v)
-    return sums.select(block, F.try_divide(rest(a) - rest(b), rest(length)).alias("delta"))
+    sums = materialized(df.groupBy(block).agg(*[F.sum(v).alias(v) for v in (a, b, length)]), "blocks")
+    total = sums.agg(*[F.sum(v).alias(f"_all_{v}") for v in (a, b, length)])
+    rest = lambda v: F.col(f"_all_{v}") - F.col(v)
+    return sums.join(F.broadcast(total)).select(block, F.try_divide(rest(a) - rest(b), rest(length)).alias("delta"))
 
 
 def share_interval(
