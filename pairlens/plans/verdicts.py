@@ -74,23 +74,8 @@ RULES = {
     "engine": RuleSet(
         (C("accurate", "high", "<=", 0.001), C("smaller", "least_memory_cut", ">", 0.20), C("faster", "least_latency_cut", ">", 0.05)),
         (("loses accuracy", (), ("accurate",)), ("switch", ("smaller",), ()), ("switch", ("faster",), ()), ("stay", (), ()))),
-    "holdout": RuleSet(
-        (C("unseen_gain", "high", "<", 0), C("small_share", "share", "<=", 0.25), C("large_share", "share", ">", 0.50)),
-        (("no gain unseen", (), ("unseen_gain",)), ("mostly general", ("small_share",), ()), ("mostly memory", ("large_share",), ()), ("mixed", (), ()))),
 }
 
 
 def verdict(df: DataFrame, rules: str | RuleSet) -> DataFrame:
     return (RULES[rules] if isinstance(rules, str) else rules).apply(df)
-
-
-def first_passing(df: DataFrame, preference: str, label: str, passed: str) -> DataFrame:
-    """The label of the first row in order of preference that passed."""
-    return df.where(F.col(passed)).orderBy(preference).limit(1).select(label)
-
-
-def robust(row_level: DataFrame, block_level: DataFrame, key: str, rules: str) -> DataFrame:
-    """Each registered comparison judged by rows and again by blocks."""
-    a = verdict(row_level, rules).select(key, F.col("verdict").alias("by_rows"))
-    b = verdict(block_level, rules).select(key, F.col("verdict").alias("by_blocks"))
-    return a.join(b, key).withColumn("same", F.col("by_rows") == F.col("by_blocks"))

@@ -71,6 +71,25 @@ def read_map(spark: SparkSession, path: str, field: str, value: str) -> DataFram
     return d.select(F.explode(field).alias("key", "value"))
 
 
+def read_listed(spark: SparkSession, folder: str, set_name: str) -> DataFrame:
+    """The listed ids of a set, from the file of its base name: a list is fixed on
+    clean audio, so ``set@channel`` has its set's.  A missing file is an error."""
+    d = spark.read.schema("set string, count long, of long, ids array<string>").json(f"{folder}/{set_name.split('@')[0]}.json", multiLine=True)
+    whole = F.when(F.size("ids") == F.coalesce("count", F.size("ids")), F.col("ids")).otherwise(F.raise_error(F.lit("the list is cut short")).cast("array<string>"))
+    return d.select(F.explode(whole).alias("id"))
+
+
+def read_definition(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, name, of, id) of a hold-out definition: the ids of its subsets, and
+    the digests of its held-out sentences.  A missing file is an error."""
+    subset = "struct<of:string,utterances:bigint,hours:double,speakers:bigint,never_trained:array<string>,ids:array<string>>"
+    d = spark.read.schema(f"percent long, held_out long, held_out_sha256 array<string>, subsets map<string,{subset}>").json(path, multiLine=True)
+    held = d.select(F.lit("held out").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("of"), F.explode("held_out_sha256").alias("id"))
+    parts = d.select(F.explode("subsets").alias("name", "s"))
+    listed = lambda kind, c: parts.select(F.lit(kind).alias("kind"), "name", "s.of", F.explode(f"s.{c}").alias("id"))
+    return held.union(listed("subset", "ids")).union(listed("never trained", "never_trained"))
+
+
 def read_speed(spark: SparkSession, path: str, preset: str, run: str) -> DataFrame:
     """The runs (of type ``run``) of a speed file.  Another preset, or a file
     that says it isn't complete, is an error; a file that says nothing is."""

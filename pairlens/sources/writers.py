@@ -3,18 +3,37 @@ a job's files all at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _bad(c: Column, kind: T.DataType) -> Column | None:
+    """Whether a value, or any within it, is a NaN or an infinity; None if its
+    type can't hold one."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [x for f in kind.fields if (x := _bad(c[f.name], f.dataType)) is not None]
+        return reduce(Column.__or__, parts) if parts else None
+    if isinstance(kind, T.ArrayType) and _bad(F.lit(None), kind.elementType) is not None:
+        return F.coalesce(F.exists(c, lambda x: _bad(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType) and _bad(F.lit(None), kind.valueType) is not None:
+        return F.coalesce(F.exists(F.map_values(c), lambda x: _bad(x, kind.valueType)), F.lit(False))
+    return None
 
 
 def finite(df: DataFrame) -> DataFrame:
-    """``df``; a NaN or an infinity in a floating column is an error."""
-    def checked(name: str):
-        c = F.col(name)
-        bad = F.isnan(c) | (F.abs(c) == float("inf"))
-        return F.when(bad, F.raise_error(F.lit(f"{name} is not finite")).cast("double")).otherwise(c).alias(name)
+    """``df``; a NaN or an infinity in a column, at any depth, is an error."""
+    def checked(f: T.StructField) -> Column:
+        c, bad = F.col(f"`{f.name}`"), _bad(F.col(f"`{f.name}`"), f.dataType)
+        if bad is None:
+            return c
+        return F.when(bad, F.raise_error(F.lit(f"{f.name} is not finite")).cast(f.dataType)).otherwise(c).alias(f.name)
 
-    return df.select(*[checked(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in df.schema.fields])
+    return df.select(*map(checked, df.schema.fields))
 
 
 def write_new(df: DataFrame, path: str, kind: str = "json", *by: str) -> None:
