@@ -7,18 +7,19 @@ for a baseline's; conversations are blocks, roles are sets.
 
 from __future__ import annotations
 
-from itertools import accumulate
-from math import exp, factorial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import audio, text
+from .functions import audio, signal, text, wav
 from .functions.distance import char_edits, score, word_count, word_edits
+from .functions.english import normalize_english
 from .functions.letters import LETTER_NAMES, letters_to_latin
 from .functions.numerals import as_column, harmonize, harmonize2, split_attached, to_digits
-from .operators import compare, integrity, overlap, rates, resample, splits, steps
+from .operators import compare, definitions, integrity, overlap, quantiles, rates, resample, scan, splits, steps
+from .operators.shared import fresh_path
 from .plans import reports, verdicts
+from .sources import listing, rebuild, store
+from .streaming import states
 from .streaming.steps import retry_states
 
 FLAGSHIP = "char_rate_by_role"
@@ -84,7 +85,7 @@ def _sums(values: str, where: str = "true", name: str = "", seed: int = 0, sampl
     n = name
     return f"""u{n} AS (SELECT conv_id::VARCHAR AS unit, row_number() OVER (ORDER BY md5(conv_id::VARCHAR), conv_id::VARCHAR) - 1 AS pos, {', '.join(f'sum({c}) AS {c}' for c in cols)} FROM p WHERE {where} GROUP BY conv_id),
 n{n} AS (SELECT count(*) AS n FROM u{n}),
-k{n} AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', {seed}, rep, slot)), 1, 8))::BIGINT % n AS pos FROM n{n}, range(n) s(slot), range({samples}) r(rep)),
+k{n} AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', {seed}, rep, slot)), 1, 15))::BIGINT % n AS pos FROM n{n}, range(n) s(slot), range({samples}) r(rep)),
 s{n} AS (SELECT rep, {', '.join(f'sum({c}) AS {c}' for c in cols)} FROM k{n} JOIN u{n} USING (pos) GROUP BY rep)"""
 
 
@@ -208,15 +209,40 @@ def paired_ci(spark, sf_dir):
     return _rounded(resample.difference_interval(pairs(spark, sf_dir), "id"), "low", "high")
 
 
-_POISSON = " + ".join(f"(u >= {b!r})::INT" for b in accumulate(exp(-1) / factorial(k) for k in range(12)))
-
-
-@query(f"""{_P}, v AS (SELECT rep, edits_a, length, ('0x' || substr(md5(concat_ws(':', 0, rep, id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p, range(1000) r(rep)),
-s AS (SELECT rep, sum(edits_a * w) AS edits_a, sum(length * w) AS length FROM (SELECT *, {_POISSON} AS w FROM v) GROUP BY rep) """ + _ENDS.format(x="edits_a / length", t="s"))
+def _weighed(values: str, unit: str) -> str:
+    """CTEs of the one-pass bootstrap: 32-bit draws mixed step by step, weights by
+    the bounds of a Poisson, and sums by sample."""
+    cols = [v.strip() for v in values.split(",")]
+    (s1, s2, s3), (m1, m2) = resample.MIX_SHIFTS, resample.MIX_FACTORS
+    word = lambda k: f"('0x' || substr(md5({unit}::VARCHAR), {k}, 8))::BIGINT"
+    steps, name = [f"m0 AS (SELECT rep, {', '.join(cols)}, {word(9)} AS hi, ({word(1)} + rep * {resample.REP_STEP}) % 4294967296 AS x FROM p, range(1000) r(rep))"], 0
+    for again in range(2):
+        first = "xor(x, hi)" if again else "x"
+        parts = [f"xor({first}, {first} >> {s1})", f"((x::HUGEINT * {m1}) % 4294967296)::BIGINT", f"xor(x, x >> {s2})", f"((x::HUGEINT * {m2}) % 4294967296)::BIGINT", f"xor(x, x >> {s3})"]
+        for e in parts:
+            steps.append(f"m{name + 1} AS (SELECT rep, {', '.join(cols)}, hi, {e} AS x FROM m{name})")
+            name += 1
+    weight = " + ".join(f"(x >= {b})::INT" for b in resample.poisson_bounds())
+    return ", ".join([*steps, f"s AS (SELECT rep, {', '.join(f'sum({c} * w) AS {c}' for c in cols)} FROM (SELECT *, {weight} AS w FROM m{name}) GROUP BY rep)"])
+
+
+@query(f"{_P}, {_weighed('edits_a, length', 'id')} " + _ENDS.format(x="edits_a / length", t="s"))
 def poisson_ci(spark, sf_dir):
     return _rounded(resample.interval(pairs(spark, sf_dir), "id", "edits_a", mode="poisson"), "low", "high")
 
 
+@query(f"{_P}, {_weighed('edits_a, edits_b, length', 'id')} " + _ENDS.format(x="edits_a / length - edits_b / length", t="s"))
+def paired_ci_one_pass(spark, sf_dir):
+    """The difference's interval by rows, which are read once and not multiplied."""
+    return _rounded(resample.difference_interval(pairs(spark, sf_dir), "id", mode="poisson"), "low", "high")
+
+
+@query(f"{_P}, {_weighed('edits_a, edits_b, length', 'conv_id')} " + _ENDS.format(x="edits_a / length - edits_b / length", t="s"))
+def block_ci_one_pass(spark, sf_dir):
+    """The same by conversations: rows of one weigh alike, so none are summed before."""
+    return _rounded(resample.difference_interval(pairs(spark, sf_dir), "conv_id", mode="poisson"), "low", "high")
+
+
 @query()
 def parity_ci(spark, sf_dir):
     return resample.difference_interval(pairs(spark, sf_dir), "conv_id", mode="parity")
@@ -728,3 +754,166 @@ def step_batches(spark, sf_dir):
 def points_labels(spark, sf_dir):
     d = pairs(spark, sf_dir).groupBy("conv_id").agg(F.min("edits_a").alias("x"), F.max("edits_b").alias("y"))
     return d.select("conv_id", text.points_label("x", "y").alias("label"))
+
+
+# Audio, stores and rebuilds: what they read is derived from the given tables.
+
+_CUT = lambda x, top: f"greatest(-{top}.0, least({top - 1}.0, round_even({x}, 0)))"
+
+
+@query(f"""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: (CASE vec_id % 3 WHEN 0 THEN {_CUT('x::DOUBLE * 128', 128)} * 256 WHEN 1 THEN {_CUT('x::DOUBLE * 32768', 32768)}
+ELSE {_CUT(_CUT('x::DOUBLE * 8388608', 8388608) + ' / 256', 32768)} END)::INT), ',') AS samples, 16000 AS rate, 1 AS channels FROM embeddings""")
+def decode_audio(spark, sf_dir):
+    """Vectors as WAV blobs of 8, 16 or 24 bits, read back."""
+    bits = F.col("vec_id") % 3
+    blob = F.when(bits == 0, wav.encode("embedding", 8)).when(bits == 1, wav.encode("embedding", 16)).otherwise(wav.encode("embedding", 24))
+    d = _t(spark, sf_dir, "embeddings").select("vec_id", wav.decode(blob).alias("a"))
+    return d.select("vec_id", F.array_join(F.col("a.samples").cast("array<string>"), ",").alias("samples"), "a.rate", "a.channels")
+
+
+_TAPS = ", ".join(f"({k}, {h!r}::DOUBLE)" for k, h in enumerate(signal.lowpass(2, 1).tolist()))
+
+
+@query(f"""WITH h(k, h) AS (VALUES {_TAPS}), x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, {_CUT('unnest(embedding)::DOUBLE * 32768', 32768)} / 32768 AS x FROM embeddings),
+y AS (SELECT vec_id, 2 * i + k - {len(signal.lowpass(2, 1)) // 2} AS n, sum(x * h) AS y FROM x, h GROUP BY 1, 2)
+SELECT vec_id, string_agg(({_CUT('y * 32768', 32768)})::INT::VARCHAR, ',' ORDER BY n) AS samples FROM y JOIN (SELECT vec_id AS v, len(embedding) AS m FROM embeddings) ON v = vec_id WHERE n >= 0 AND n < 2 * m GROUP BY 1""")
+def resample_audio(spark, sf_dir):
+    """Vectors as blobs of 8 kHz, at 16 kHz; the SQL is the convolution itself."""
+    d = _t(spark, sf_dir, "embeddings").select("vec_id", wav.decode(wav.encode("embedding", 16, 8000)).alias("a"))
+    return d.select("vec_id", F.array_join(F.col("a.samples").cast("array<string>"), ",").alias("samples"))
+
+
+@query(f"""SELECT vec_id, array_to_string(list_transform(embedding[9:40], lambda x: {_CUT('x::DOUBLE * 32768', 32768)}::INT), ',') AS samples FROM embeddings WHERE vec_id % 3 = 0""")
+def sliced_reads(spark, sf_dir):
+    """A store of all vectors, and 32 samples from the ninth on of every third, read by seeking."""
+    path = fresh_path(spark, "store")
+    store.write_store(_t(spark, sf_dir, "embeddings").select("vec_id", store.pcm_bytes("embedding").alias("data")), path, ["vec_id"], blob_bytes=1 << 16)
+    wanted = store.read_index(spark, path).where("vec_id % 3 = 0").select("vec_id", "file", (F.col("offset") + 16).alias("offset"), F.lit(64).cast("long").alias("length"))
+    d = store.read_slices(wanted)
+    return d.select("vec_id", F.array_join(F.transform(store.pcm_floats("data"), lambda x: (x * 32768).cast("int").cast("string")), ",").alias("samples"))
+
+
+@query("SELECT doc_id, n_chars AS size, CASE WHEN doc_id % 8 = 3 THEN 2 ELSE 1 END AS made FROM documents WHERE doc_id % 8 <> 5 AND (doc_id % 8 <> 3 OR doc_id % 16 = 3)")
+def incremental_rebuild(spark, sf_dir):
+    """Documents in eight source files; then one has fewer rows, another goes, and a third of the runs makes what changed again."""
+    path = fresh_path(spark, "rebuilt")
+    k = F.pmod("doc_id", F.lit(8))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", k.alias("k"))
+    docs.repartition(8, "k").write.partitionBy("k").parquet(f"{path}/in")
+    make = lambda run: lambda d: d.select("doc_id", F.col("n_chars").alias("size"), F.lit(run).alias("made"), "_source")
+    rebuild.rebuild(spark, f"{path}/in", f"{path}/out", make(1))
+    docs.where("k = 3 and doc_id % 16 = 3").coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("k").parquet(f"{path}/in")
+    fs, p = rebuild._filesystem(spark, f"{path}/in/k=5")
+    fs.delete(p, True)
+    rebuild.rebuild(spark, f"{path}/in", f"{path}/out", make(2))
+    return spark.read.parquet(f"{path}/out/data").drop("part")
+
+
+@query("""WITH d AS (SELECT doc_id, source, n_chars, coalesce(lang, '') AS lang FROM documents)
+SELECT doc_id, '.source' AS path, '"' || source || '"' AS before, NULL::VARCHAR AS after FROM d
+UNION ALL SELECT doc_id, '.size.chars', n_chars::VARCHAR, (n_chars + 1)::VARCHAR FROM d WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, '.ids{0}', '0', NULL FROM d WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, '.steps[1].lang', CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '"' || lang || '"' END, CASE WHEN doc_id % 5 = 0 THEN '"' || lang || '"' END FROM d WHERE doc_id % 5 < 2""")
+def definition_diff(spark, sf_dir):
+    """Nested records of documents, written in two ways: other key orders and
+    number forms are equal, a list that is a set may be in any order."""
+    d = _t(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
+    one = lambda n: F.when(F.col("doc_id") % 5 == n, F.lit("{}")).otherwise(F.format_string('{"lang":"%s"}', "lang"))
+    before = d.select("doc_id", F.format_string(
+        '{"id":%d,"source":"%s","size":{"chars":%d.0,"unit":"c"},"ids":[2,1,%d],"steps":[1e1,%s]}', "doc_id", "source", "n_chars", F.col("doc_id") % 3, one(0)).alias("json"))
+    after = d.select("doc_id", F.format_string(
+        '{"steps":[10,%s],"size":{"unit":"c","chars":%d},"ids":[1,2,2],"id":%d.0}', one(1), F.col("n_chars") + F.col("doc_id") % 2, "doc_id").alias("json"))
+    found = definitions.diff(before, after, "json", ["doc_id"], [".ids"])
+    empty = F.col("path") == ".steps[1]"  # an empty object where the other has members is a difference of its own
+    return found.where(~empty)
+
+
+_EN_ONES = ["", *"one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()]
+_EN_TENS = ["", "", *"twenty thirty forty fifty sixty seventy eighty ninety".split()]
+
+
+def _english(n):
+    """The English numeral of a number of 1 to 999,999."""
+    ones, tens = (F.array(*map(F.lit, x)) for x in (_EN_ONES, _EN_TENS))
+
+    def below(g):
+        rest = (g % 100).cast("int")
+        low = F.when(rest < 20, F.get(ones, rest)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(rest / 10).cast("int")), F.nullif(F.get(ones, rest % 10), F.lit(""))))
+        hundreds = F.floor(g / 100).cast("int")
+        return F.concat_ws(" ", F.when(hundreds > 0, F.concat(F.get(ones, hundreds), F.lit(" hundred"))), F.nullif(low, F.lit("")))
+
+    high, low = F.floor(n / 1000).cast("int"), (n % 1000).cast("int")
+    return F.concat_ws(" ", F.when(high > 0, F.concat(below(high), F.lit(" thousand"))), F.when(low > 0, below(low)))
+
+
+_EN = "(event_id * 7919 % 999999 + 1)"
+
+
+@query(f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'they paid $' || {_EN} || ' again' WHEN 1 THEN {_EN} || '% of it' WHEN 2 THEN 'it is ' || {_EN} || '.5 degrees'
+WHEN 3 THEN '-' || {_EN} || ' behavior' ELSE 'the ' || {_EN} || CASE WHEN {_EN} % 100 IN (11, 12, 13) THEN 'th' WHEN {_EN} % 10 = 1 THEN 'st' WHEN {_EN} % 10 = 2 THEN 'nd' WHEN {_EN} % 10 = 3 THEN 'rd' ELSE 'th' END || ' time' END AS after FROM events""")
+def english_numbers(spark, sf_dir):
+    """Each event's number spelled out: as money, per cent, a decimal, negative and as an ordinal."""
+    n = F.col("event_id") * 7919 % 999999 + 1
+    said, k = _english(n), F.col("event_id") % 5
+    ended = F.regexp_replace(F.regexp_replace(F.concat(said, F.lit("#")), "(?:one#)$", "first"), "two#$", "second")
+    for a, b in (("three#", "third"), ("five#", "fifth"), ("eight#", "eighth"), ("nine#", "ninth"), ("twelve#", "twelfth"), ("y#", "ieth"), ("#", "th")):
+        ended = F.regexp_replace(ended, f"{a}$", b)
+    text_ = F.when(k == 0, F.concat(F.lit("They paid "), said, F.lit(" dollars, again!"))).when(k == 1, F.concat(said, F.lit(" per cent of it"))).when(
+        k == 2, F.concat(F.lit("It's "), said, F.lit(" point five degrees."))).when(k == 3, F.concat(F.lit("minus "), said, F.lit(" (um) behaviour"))).otherwise(F.concat(F.lit("the "), ended, F.lit(" time")))
+    spelled = as_column(lambda x: normalize_english(x, {"behaviour": "behavior"}), text_)
+    return _t(spark, sf_dir, "events").select("event_id", spelled.alias("after"))
+
+
+@query("SELECT source AS folder, CASE WHEN source NOT IN ('src1', 'src2') THEN 'r-' || source END AS revision FROM documents GROUP BY source")
+def proven_revisions(spark, sf_dir):
+    """Sources as folders of files: one has a changed file and one a missing file, the others are proven."""
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.format_string("%012d.parquet", "doc_id").alias("path"), F.sha2("text", 256).alias("digest"), F.lit("file").alias("kind"), "doc_id")
+    first = F.row_number().over(Window.partitionBy("folder").orderBy("doc_id")) == 1
+    local = d.withColumn("_first", first).where("not (_first and folder = 'src2')").select("folder", F.col("doc_id").alias("place"), F.when(F.col("_first") & (F.col("folder") == "src1"), "x").otherwise(F.col("digest")).alias("digest"))
+    return listing.proven_revision(d, local, d.select("folder", F.concat(F.lit("r-"), "folder").alias("revision")).distinct()).select("folder", "revision")
+
+
+@query("SELECT l_returnflag, q AS quantile, round(quantile_cont(l_extendedprice, 0.025), 6) AS result FROM lineitem, (SELECT 0.025::DOUBLE AS q) GROUP BY ALL UNION ALL SELECT l_returnflag, 0.5, round(quantile_cont(l_extendedprice, 0.5), 6) FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 0.975, round(quantile_cont(l_extendedprice, 0.975), 6) FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, sf_dir):
+    return quantiles.quantiles(_t(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], [0.025, 0.5, 0.975], most_rows=2_000).withColumn("result", F.round("result", 6))
+
+
+@query("SELECT event_id, (sum(event_id % 97) OVER (ORDER BY event_id) - event_id % 97)::BIGINT AS before, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events")
+def running_offset_all(spark, sf_dir):
+    """One group that holds every row."""
+    e = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 97).alias("v"))
+    d = scan.running_sum(e, F.col("v"), [], ["event_id"], "before", range_rows=2_000).drop("v")
+    return scan.numbered(d, [], ["event_id"], "place", range_rows=2_000)
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    """Calls of batches of many rows: a conversation is a batch, its turns are
+    rows.  Every second row needs 0.2, every fourth 0.4, every eighth more."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", (F.row_number().over(w) - 1).alias("r"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    level = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(t).alias("temperature"), (F.col("r") % 2 ** (k + 1) == 0).alias("needs"), (F.col("r") % 2**k == 0).alias("met")) for k, t in enumerate((0.0, 0.2, 0.4))])
+    d = rows.select("conv_id", "n", "r", F.explode(level).alias("x")).where("x.met")
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("x.level", "r")) - 1
+    return d.select(F.col("conv_id").alias("batch"), pos.cast("long").alias("pos"), F.col("n").cast("int").alias("rows"), "x.level", "x.temperature", "x.needs")
+
+
+_ROWS = "r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations)"
+
+
+@query(f'WITH {_ROWS} SELECT conv_id AS batch, r AS "row", CASE WHEN r % 4 = 0 THEN 0.4 WHEN r % 2 = 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS temperature, r % 8 = 0 AS exhausted FROM r')
+def retry_states_of_conversations(spark, sf_dir):
+    return retry_states(_calls(spark, sf_dir).drop("level"), (0.0, 0.2, 0.4))
+
+
+@query(f"""WITH {_ROWS}, m AS (SELECT max(conv_id) * 10 AS top FROM r)
+SELECT conv_id AS batch, r AS "row", CASE WHEN r % 4 = 0 AND conv_id % 5 <> 0 THEN 0.4 WHEN r % 2 = 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS temperature,
+CASE WHEN conv_id % 5 = 0 THEN r % 4 = 0 ELSE r % 8 = 0 END AS exhausted, conv_id % 5 = 0 AS expired FROM r, m WHERE conv_id % 5 <> 0 OR conv_id * 10 + 65 <= top""")
+def retry_stream(spark, sf_dir):
+    """The same calls as a stream of files.  Of every fifth batch the last level
+    never comes: it expires 65 seconds after its last call, if the stream gets there."""
+    path = fresh_path(spark, "calls")
+    seconds = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=(F.col("batch") * 10).cast("decimal(18,6)"))
+    calls = _calls(spark, sf_dir).where("level < 2 or batch % 5 <> 0").withColumn("at", seconds).drop("level")
+    calls.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    return states.drained(states.retry_stream(stream, (0.0, 0.2, 0.4), 65_000), f"{path}/checkpoint", f"{path}/out").drop("run")
