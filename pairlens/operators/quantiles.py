@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialized, small
 
-#: Rows within a range that are sorted in one task, at most.
-MOST_ROWS = 10_000
+#: Rows within a range that are sorted in one task, at most: narrow ones, that spill.
+MOST_ROWS = 500_000
 #: A sketch gives the values at so many equal shares, each off by less than half a share.
 SHARES, ACCURACY = 200, 2_000
 
@@ -49,7 +49,7 @@ def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], most_ro
     while True:
         wide = (F.col("within") > most_rows) & (F.col("lo") < F.col("hi"))
         closed.append((rows, own, state.where(~wide)))
-        left = materialized(state.where(wide), "wide")
+        left = state.where(wide)
         if not left.limit(1).count():
             break
         inside = matched(rows, left, own).where("_v between lo and hi")

@@ -27,7 +27,11 @@ def running_sum(df: DataFrame, value: Column, by: list[str], order: list[str], n
     sorts ascending, nulls first."""
     spark = df.sparkSession
     d = df.withColumn("_v", F.coalesce(value, F.lit(0)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // range_rows))
+    rows = d.count()
+    if rows <= range_rows:  # one range, so nothing stands before it
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumn("_sum", F.coalesce(F.sum("_v").over(whole), F.lit(0))).select(*df.columns, F.col("_sum").alias(name))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // range_rows))
     keys = [*by, *order] or ["_v"]
     rows = materialized(d.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = rows.groupBy(*by, "_part").agg(F.sum("_v").alias("_own"))
