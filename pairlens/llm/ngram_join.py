@@ -86,9 +86,9 @@ def fragment_keys(s: np.ndarray, bounds: list[int], num: int, den: int) -> list[
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """One bit per narrow fragment (low bits of the hash, of two to four
-    fragments per hash, up to ``SKETCH_BITS``): whether its count is odd."""
-    bits = min(SKETCH_BITS, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    """One bit per narrow fragment (low bits of the hash, of one to two fragments
+    per hash, up to ``SKETCH_BITS``): whether its count is odd."""
+    bits = min(SKETCH_BITS, max(64, 1 << (len(s) - 1).bit_length()))
     odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -109,25 +109,25 @@ def ngram_join(
     their copies; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
     def nodes_of(batches):
         for b in batches:
-            texts, digests, sizes = b.column(1).to_pylist(), [], []
+            texts, digests, sizes = b.column(2).to_pylist(), [], []
             for i, j in text_slices(texts):
                 for s in shingle_sets(texts[i:j], k):
                     digests.append(set_digest(s) if len(s) else None)
                     sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "h", "node", "n"])
 
-    nodes = written(d.mapInArrow(nodes_of, "doc_id long, node long, n long"), "nodes")
+    nodes = written(d.mapInArrow(nodes_of, "doc_id long, h long, node long, n long"), "nodes")
     most = nodes.agg(F.max("n")).first()[0] or 0
     bounds = size_classes(num, den, most)
 
     def keys_of(batches):
         seen: set[int] = set()
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(0).to_pylist()
             for i, j in text_slices(texts):
                 keys, node, meta = [], [], []
                 for s in shingle_sets(texts[i:j], k):
@@ -141,7 +141,7 @@ def ngram_join(
                 if keys:
                     yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), pa.array(np.concatenate(node)), pa.array(np.concatenate(meta))], names=["key", "node", "meta"])
 
-    shared = d.mapInArrow(keys_of, "key long, node long, meta long")
+    shared = d.select("text").mapInArrow(keys_of, "key long, node long, meta long")
     w = Window.partitionBy("key").orderBy("node")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Of a node that several tasks sent, one row stays; keys of one node go.
@@ -175,18 +175,24 @@ def ngram_join(
 
 def _sets(d: DataFrame, nodes: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     """(node, part, n, hashes) of the nodes that share enough fragments; part -1
-    is the parity sketch."""
-    wanted = nodes.join(kept.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = written(wanted.select("doc_id", "node"), "wanted")
+    is the parity sketch.
+
+    A node is read from one text: that of the least id and hash among its own.
+    Rows are found by both, so ids may be null or repeat; only where a row
+    repeats in id and text, too, are nodes met twice and then told apart."""
+    own = nodes.join(kept.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.count("*").alias("c"))
+    ids = written(own.select(F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "node", "c"), "wanted")
+    again = ids.where("c > 1").join(nodes.select("doc_id", "h", F.col("node").alias("_node")), F.col("node") == F.col("_node")).where(
+        nodes["doc_id"].eqNullSafe(ids["doc_id"]) & (nodes["h"] == ids["h"])).groupBy("node").count().where("count > 1").limit(1).count()
 
     def parts_of(batches):
         seen: set[int] = set()
         for b in batches:
-            texts, own = b.column(1).to_pylist(), b.column(2).to_pylist()
+            texts, own = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in text_slices(texts):
                 rows = []
                 for node, s in zip(own[i:j], shingle_sets(texts[i:j], k), strict=True):
-                    if node in seen or not len(s) or set_digest(s) != node:  # an id may stand for more than one text
+                    if node in seen or not len(s) or set_digest(s) != node:  # texts that share a hash
                         continue
                     seen.add(node)
                     rows.append((node, -1, len(s), parity_sketch(s)))
@@ -195,9 +201,9 @@ def _sets(d: DataFrame, nodes: DataFrame, kept: DataFrame, k: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["node", "part", "n", "hashes"])
 
-    found = d.join(bounded_broadcast(ids), d["doc_id"].eqNullSafe(ids["doc_id"])).select(d["doc_id"], "text", "node")
+    found = d.join(bounded_broadcast(ids.drop("c")), d["doc_id"].eqNullSafe(ids["doc_id"]) & (d["h"] == ids["h"])).select("text", "node")
     out = found.mapInArrow(parts_of, "node long, part int, n long, hashes binary")
-    return written(out.dropDuplicates(["node", "part"]), "sets")
+    return written(out.dropDuplicates(["node", "part"]) if again else out, "sets")
 
 
 def _fold(rows: np.ndarray, words: int) -> np.ndarray:
@@ -324,13 +330,15 @@ def _block_pairs(left: DataFrame, label: DataFrame | None, sketches: DataFrame)
     blocks = written(rows.groupBy("key", "block").agg(
         F.collect_list(F.struct("node", "n", "label", "hashes")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
     drop_shuffles(left.sparkSession)
-    other = blocks.select("key", F.col("block").alias("to"), F.col("x").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # Only fragments of several blocks meet; most have one.
+    counted = blocks.groupBy("key").agg(F.min("block").alias("least"), F.count("*").alias("n"))
+    several = bounded_broadcast(written(counted.where("n > 1").select("key", "least"), "several"))
+    other = blocks.join(several.select("key"), "key", "left_semi").select("key", F.col("block").alias("to"), F.col("x").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     own = blocks.where("lo < hi").select("key", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
-    several = blocks.groupBy("key").agg(F.min("block").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     cross = blocks.join(several, "key").join(other, "key").where("block < to and (lo < least(hi, lo2, hi2) or lo2 < greatest(lo, hi, hi2) or lo <> lo2)")
     if single:
         cross = cross.where("block = least")
-    n = blocks.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (2 if single else (F.col("n") + 1) / 2))).first()[0]
+    n = counted.agg(F.sum(F.col("n") * (2 if single else (F.col("n") + 1) / 2))).first()[0]
     return blocks, in_parts(own.union(cross.select("key", "x", "y")), int(n or 0), BLOCKS)
 
 
@@ -347,7 +355,7 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     # Fragments of the same sets are one.
     digest = kept.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     one = digest.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
-    size = (64 + F.least(F.col("n") / 2, F.lit(SKETCH_BITS / 8))).cast("long").alias("bytes")
+    size = (64 + F.least(F.col("n") / 4, F.lit(SKETCH_BITS / 8))).cast("long").alias("bytes")
     drop_shuffles(spark)
     left = written(in_parts(kept.select("key", "node", size).join(one, "key"), kept.count(), ROWS), "fragments")
     n = left.count()

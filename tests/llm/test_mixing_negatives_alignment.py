@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.llm import alignment, mixing, queries, vp_tree
+from pairlens.llm import alignment, mixing, ngram_join, queries, vp_tree
 from pairlens.llm.tokens import byte_alphabet, tokenizer_path
 
 # op11 --------------------------------------------------------------------------------------
@@ -238,6 +238,30 @@ def test_union_find():
         assert alignment.components(n, a, b).tolist() == least
 
 
+# op3, rows without ids ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "few"])
+def test_ngram_join_of_rows_that_repeat_ids(spark, ids):
+    """Near copies whose ids say nothing: as many rows as there are, sizes and links by the texts."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base) if i % 3 else [f"v{rng.randrange(10**6)}" for _ in range(30)]
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append(({"none": None, "one": 7, "few": i % 4}[ids], " ".join(w)))
+    rows += [rows[1], rows[1], (rows[1][0], "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(d).collect())
+    shingles = [frozenset(zip(*[t.split()[k:] for k in range(4)], strict=False)) for _, t in rows]
+    linked = [{j for j in range(len(rows)) if shingles[i] and shingles[j] and 100 * len(shingles[i] & shingles[j]) >= 85 * len(shingles[i] | shingles[j])} | {i} for i in range(len(rows))]
+    least = [min((rows[j][0] for j in s if rows[j][0] is not None), default=None) for s in linked]
+    for _ in range(10):
+        least = [min((least[j] for j in linked[i] if least[j] is not None), default=None) for i in range(len(rows))]
+    assert got == collections.Counter((i, len(s), c) for (i, _), s, c in zip(rows, shingles, least, strict=True))
+
+
 # queries -----------------------------------------------------------------------------------
 
 
