@@ -52,17 +52,25 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of rows that link by five-word shingles at 0.8, one stays: that of least
     id, a row without an id only if none has one.
 
-    Rows are told apart by a number of their own, so ids may be null or repeat,
-    and of rows that repeat in all one stays.  Null, empty and blank texts have
-    no shingles, link with nothing and stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    A row is told by a hash of all its columns and its id, so ids may be null or
+    repeat, and of rows that repeat in all one stays.  Null, empty and blank
+    texts have no shingles, link with nothing and stay, repeated ones as well."""
+    rows = docs.withColumn("_row", F.xxhash64(*[F.col(c).isNull() for c in docs.columns], *docs.columns))
+    some = F.col("text").rlike("[^ \\t-\\r]")
+    keys = written(rows.where(some).groupBy("_row", "doc_id").agg(F.count("*").alias("n")), "keys")
     out = ngram_join(rows, k=5, num=80, den=100, id_col="_row").where("doc_id <> component_id")
-    linked = written(out.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "linked")
+    linked = written(out.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")).distinct(), "linked")
     members = linked.union(linked.select(F.col("group").alias("_row"), "group").distinct())
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = rows.select("_row", "doc_id").join(members, "_row").groupBy("group").agg(F.min_by("_row", order).alias("_row"))
-    gone = written(members.join(first, "_row", "left_anti").select("_row"), "gone")
-    return rows.join(bounded_broadcast(gone), "_row", "left_anti").select(*docs.columns)
+    first = keys.join(members, "_row").groupBy("group").agg(F.min_by("_row", order).alias("_row"))
+    gone = written(members.join(first, "_row", "left_anti").select("_row").distinct(), "gone")
+    left = rows.join(bounded_broadcast(gone), "_row", "left_anti")
+    again = written(keys.where("n > 1").select("_row", F.col("doc_id").alias("_id")), "again")
+    if again.limit(1).count():  # only rows that repeat meet
+        same = (left["_row"] == again["_row"]) & left["doc_id"].eqNullSafe(again["_id"])
+        found = bounded_broadcast(again)
+        left = left.join(found, same, "left_anti").union(left.join(found, same, "left_semi").dropDuplicates(["_row", "doc_id"]))
+    return left.select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
