@@ -23,6 +23,8 @@ has components, no number of links.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,6 +48,9 @@ SKETCH_BITS = 4096
 FIRST_FRAGMENTS, PAIRS = 3, 64
 #: Rows, blocks and pairs that a part of a table between has.
 BLOCKS, PAIRS_PER_PART = 2000, 20_000
+#: Shares of the fragments that are looked at one after another: the sketches
+#: that go along with fragments are on disk for one share at a time.
+SHARES = 3
 _U = np.uint64
 
 
@@ -307,8 +312,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
     side = lambda n, m, h: sets.where("part >= 0").select(F.col("node").alias(n), "part", F.col("n").alias(m), F.col("hashes").alias(h))
-    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), ["b", "part"]).select("a", "b", "na", "nb", "x", "y")
-    total = both.mapInArrow(count, "a long, b long, na long, nb long, part long").groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
+    parts = []
+    for p in range(COUNT_FRAGMENTS):  # one after another, so a part's hashes alone are shuffled at a time
+        both = pairs.join(side("a", "na", "x").where(F.col("part") == p), "a").join(side("b", "nb", "y").where(F.col("part") == p).drop("part"), "b").select("a", "b", "na", "nb", "x", "y")
+        parts.append(written(both.mapInArrow(count, "a long, b long, na long, nb long, part long"), "overlaps"))
+        drop_shuffles(pairs.sparkSession)
+    total = reduce(DataFrame.unionAll, parts).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
     return total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
 
 
@@ -364,10 +373,14 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     links = tested = label = None
     most = 0
     while True:
-        blocks, pairs = _block_pairs(left if most else near, label, sketches)
-        with small_batches(spark, 256):
-            found = written(pairs.mapInArrow(_propose(most, num, den), "key long, a long, b long, more boolean"), "proposed")
-        discard(spark, blocks)
+        made = []
+        for k in range(SHARES):
+            share = (left if most else near).where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == k)
+            blocks, pairs = _block_pairs(share, label, sketches)
+            with small_batches(spark, 256):
+                made.append(written(pairs.mapInArrow(_propose(most, num, den), "key long, a long, b long, more boolean"), "proposed"))
+            discard(spark, blocks)
+        found = reduce(DataFrame.unionAll, made)
         new = found.select("a", "b").distinct()
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
@@ -385,6 +398,7 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             rest = written(in_parts(left.join(found.select("key").distinct(), "key", "left_semi"), n, ROWS), "fragments")
             discard(spark, left)
             left = rest
-        discard(spark, found)
+        for x in made:
+            discard(spark, x)
         tested = new if tested is None else tested.union(new)
         most = max(PAIRS, most * PAIRS)
