@@ -365,6 +365,12 @@ def test_english_forms(said, form):
     assert normalize_english(said) == form
 
 
+@pytest.mark.parametrize(("said", "form"), [
+    ("the second time", "the 2nd time"), ("The second, of two", "the 2nd of 2"), ("a second chance", "a second chance"), ("the seconds", "the seconds"), ("second", "second")])
+def test_a_second_behind_the_is_an_ordinal(said, form):
+    assert normalize_english(said) == form
+
+
 # rules, readers and writers ----------------------------------------------------------------
 
 
