@@ -6,11 +6,12 @@ numpy's generator in one stream, for results that must equal recorded ones; that
 is one sequential task by nature and is for small inputs.
 
 Rows are summed to units first, so a unit is a row, or a block where rows of a
-block are drawn together.  The draws are units x samples rows.  For very many
-rows, sum them to blocks, or use ``poisson``: each row weighs itself per sample
-by a generator that counts on from its unit, and a task adds up one vector as
-long as the samples, so rows are read once and nothing but those vectors is
-shuffled.
+block are drawn together.  The draws are units x samples numbers; they are made
+by ranges, go two bytes each to the part of the units that they fall into, and
+are summed there, so no task, broadcast or group grows with the units.  With
+``poisson`` each row weighs itself per sample by a generator that counts on from
+its unit, and a task adds up one vector as long as the samples, so rows are read
+once and nothing but those vectors is shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MIX_SHIFTS, MIX_FACTORS = (16, 15, 16), (0x7FEB352D, 0x846CA68B)
 REP_STEP, SEED_STEP = 0x9E3779B9, 0x85EBCA6B
 #: Weights that a task makes at once.
 DRAWN = 1 << 21
+#: Units of a part, which two bytes tell apart, samples of a share, draws of a task and those it deals at once.
+PART_UNITS, SHARE_SAMPLES, TASK_DRAWS, DEALT = 1 << 14, 1 << 10, 1 << 23, 1 << 20
 
 
 def _draw(seed: int, rep: Column, slot: Column) -> Column:
@@ -90,29 +93,77 @@ def _poisson_sums(df: DataFrame, values: list[str], unit: str, samples: int, see
     return made.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def _units(df: DataFrame, values: list[str], unit: str) -> DataFrame:
-    """Sums of each unit and its position in the order of the units' MD5."""
+def _deal(batches, parts: int):
+    """Draws (rep, pos) as rows of a sample and a part: the places within the
+    part, two bytes each, as often as they are drawn."""
+    def rows(held):
+        rep, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = (rep - rep.min()) * parts + pos // PART_UNITS
+        order = np.argsort(key.astype(np.min_scalar_type(int(key.max()))), kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        first, ends = order[starts], np.append(starts, len(order)).astype(np.int32) * 2
+        data = pa.py_buffer((pos[order] % PART_UNITS).astype("<u2"))
+        places = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), data])
+        part, share = pos[first] // PART_UNITS, rep[first] // SHARE_SAMPLES
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(share), pa.array(rep[first]), places], names=["part", "share", "rep", "places"])
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(k).to_numpy() for k in range(2)])
+            size += b.num_rows
+        if size >= DEALT:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+def _add(units: pa.Table, picks: pa.Table, values: list[str], kinds: list[str]) -> pa.Table:
+    """What the draws of a part add to their samples; nulls count as in sums."""
+    at = units["pos"].to_numpy() % PART_UNITS
+    places = [np.frombuffer(x.as_py(), "<u2") for x in picks["places"]]
+    made = [picks["rep"].combine_chunks()]
+    for v, kind in zip(values, kinds, strict=True):
+        there = np.zeros(PART_UNITS, bool)
+        there[at] = units[v].is_valid().to_numpy()
+        own = np.zeros(PART_UNITS, np.int64 if kind == "long" else float)
+        own[at] = units[v].fill_null(0).to_numpy()
+        none = None if not units[v].null_count else np.array([not there[x].any() for x in places], bool)
+        made.append(pa.array(np.array([own[x].sum() for x in places], own.dtype), mask=none))
+    return pa.Table.from_arrays(made, names=["rep", *values])
+
+
+def _hash_sums(df: DataFrame, values: list[str], unit: str, samples: int, seed: int) -> DataFrame:
+    """Each unit's place is that in the order of the units' MD5."""
+    spark = df.sparkSession
     sums = df.groupBy(F.col(unit).cast("string").alias("unit")).agg(*[F.sum(v).alias(v) for v in values])
-    return hash_rank(sums, F.md5("unit"), "unit", "pos")
+    kinds = ["long" if sums.schema[v].dataType.simpleString() == "bigint" else "double" for v in values]
+    sums = materialized(sums.select("unit", *[F.col(v).cast(k).alias(v) for v, k in zip(values, kinds, strict=True)]), "units")
+    n = sums.count()
+    if not n:
+        return sums.select(F.lit(0).cast("long").alias("rep"), *values)
+    parts, shares = -(-n // PART_UNITS), -(-samples // SHARE_SAMPLES)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * samples // TASK_DRAWS))
+    draws = spark.range(0, n * samples, 1, tasks).select(F.expr(f"id div {n}L").alias("rep"), F.expr(f"id % {n}L").alias("slot"))
+    draws = draws.select("rep", (_draw(seed, F.col("rep"), F.col("slot")) % n).alias("pos"))
+    picks = draws.mapInArrow(lambda batches: _deal(batches, parts), "part long, share long, rep long, places binary")
+    units = hash_rank(sums, F.md5("unit"), "unit", "pos").select(
+        F.expr(f"pos div {PART_UNITS}L").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.col("pos").cast("long").alias("pos"), *values)
+    schema = ", ".join(["rep long", *[f"{v} {k}" for v, k in zip(values, kinds, strict=True)]])
+    made = units.groupBy("part", "share").cogroup(picks.groupBy("part", "share")).applyInArrow(lambda u, p: _add(u, p, values, kinds), schema)
+    return made.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def resampled_sums(df: DataFrame, values: list[str], unit: str, samples: int = SAMPLES, seed: int = SEED, mode: str = "hash") -> DataFrame:
     """(rep, each value's sum over a draw of as many units as there are)."""
     if samples < 1:
         raise ValueError(f"at least one sample is needed, not {samples}")
-    spark = df.sparkSession
-    reps = spark.range(samples).withColumnRenamed("id", "rep")
     if mode == "poisson":
         return _poisson_sums(df, values, unit, samples, seed)
     if mode == "parity":
         return _parity([df], values, unit, samples, seed)
-    units = _units(df, values, unit)
-    n = units.agg(F.count("*").alias("n"))
-    slots = reps.join(F.broadcast(n)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot")).where("n > 0")
-    picks = slots.select("rep", (_draw(seed, F.col("rep"), F.col("slot")) % F.col("n")).alias("pos"))
-    # Equal picks of a sample meet before the join.
-    times = picks.groupBy("rep", "pos").agg(F.count("*").alias("times"))
-    return times.join(units, "pos").groupBy("rep").agg(*[F.sum(F.col(v) * F.col("times")).alias(v) for v in values])
+    return _hash_sums(df, values, unit, samples, seed)
 
 
 def _parity(sets: list[DataFrame], values: list[str], unit: str, samples: int, seed: int) -> DataFrame:
