@@ -1,8 +1,9 @@
 """Reports: fixed plans of comparisons over sets of scored rows.
 
 A scored set is a DataFrame of id, reference, hypothesis, edits and length, as
-``load_report`` reads it.  Every plan is lazy and gives a DataFrame; refusals
-are errors when the result is computed.
+``load_report`` reads it.  Every plan gives a DataFrame; what is read more than
+once is written first, so refusals are errors then or when the result is
+computed.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..functions.text import normalize, strip
 from ..operators import compare, resample
 from ..operators.overlap import read_counts
 from ..operators.rates import distinct_nonempty, rate, relative
+from ..operators.shared import materialized
 from ..sources.readers import read_report
 from .verdicts import Condition
 
@@ -53,6 +55,7 @@ def comparison_table(
     if baseline is not None and baseline not in reports:
         raise ValueError(f"no report {baseline}")
     wide, edits = _wide(reports, id_col)
+    wide = materialized(wide, "wide")
     subsets = {"all": wide}
     if listed is not None:
         subsets["no digits"] = wide.join(listed.select(id_col).distinct(), id_col, "left_anti")
@@ -96,7 +99,8 @@ def marked_counts(reports: dict[str, DataFrame], flag: str = "has_digit", id_col
 def block_report(pairs: DataFrame, id_col: str, block: str, *, samples: int = resample.SAMPLES, **how) -> DataFrame:
     """One row: delta, its interval by row and by block, blocks, and the least
     and the greatest delta without one block, with that block (of equal ones
-    the first by name)."""
+    the first by name).  ``pairs`` is computed once."""
+    pairs = materialized(pairs.select(*dict.fromkeys([id_col, block, "edits_a", "edits_b", "length"])), "pairs")
     point = compare.compare(pairs).select("utterances", "baseline", "candidate", "delta", "relative")
     by_row = resample.difference_interval(pairs, id_col, samples=samples, **how)
     by_block = resample.difference_interval(pairs, block, **how).withColumnsRenamed({"low": "block_low", "high": "block_high"})
