@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import numbered, running_sum
+from .shared import materialized
 
 
 def hash_pick(df: DataFrame, column: str, count: int) -> DataFrame:
@@ -27,12 +28,33 @@ def hash_rank(df: DataFrame, digest: Column, then: str, name: str) -> DataFrame:
     return d.join(F.broadcast(bounds), "_p").withColumn(name, place).drop("_h", "_p", "_before")
 
 
+def _last_held(keys: DataFrame, percent: int) -> str:
+    """The greatest digest among the first ``percent`` of distinct ones (``_h``);
+    an empty string, before all, if that is none."""
+    held = (keys.count() * percent + 50) // 100
+    last = hash_rank(keys.withColumnRenamed("_h", "_k"), F.col("_k"), "_k", "_rank").where(F.col("_rank") == max(held, 1) - 1).first()
+    return last["_k"] if held else ""
+
+
+def hash_share_digests(df: DataFrame, key: str, percent: int = 15) -> DataFrame:
+    """The SHA-256 of the keys of ``hash_share``, in a column of the key's name.
+    Keys are read once, and no key goes further than its digest."""
+    keys = materialized(df.select(F.sha2(F.col(key), 256).alias("_h")).where("_h is not null").distinct(), "digests")
+    return keys.where(F.col("_h") <= _last_held(keys, percent)).withColumnRenamed("_h", key)
+
+
 def hash_share(df: DataFrame, key: str, percent: int = 15) -> DataFrame:
     """The first ``percent`` of the distinct keys by hash, rounded half up."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    n = keys.agg(F.count("*").alias("_all"))
-    ranked = hash_rank(keys, F.sha2(F.col(key), 256), key, "_rank")
-    return ranked.join(F.broadcast(n)).where(F.col("_rank") < F.floor((F.col("_all") * percent + 50) / 100)).select(key)
+    keys = materialized(df.select(F.sha2(F.col(key), 256).alias("_h")).where("_h is not null").distinct(), "digests")
+    return df.select(key).where(F.sha2(F.col(key), 256) <= _last_held(keys, percent)).distinct()
+
+
+def route_share(df: DataFrame, key: str, percent: int, unseen: bool) -> DataFrame:
+    """``df`` without its key: rows whose key is in ``hash_share`` (``unseen``),
+    or is not.  Keys are read once, and their digests alone decide."""
+    rows = materialized(df.select(*[c for c in df.columns if c != key], F.sha2(F.col(key), 256).alias("_h")), "digests")
+    held = F.coalesce(F.col("_h") <= _last_held(rows.select("_h").where("_h is not null").distinct(), percent), F.lit(False))
+    return rows.where(held if unseen else ~held).drop("_h")
 
 
 def route(df: DataFrame, held: DataFrame, key: str, unseen: bool) -> DataFrame:
