@@ -15,10 +15,13 @@ the rest the overlap is counted in each of ``COUNT_FRAGMENTS`` wide fragments
 separately and summed per pair.  Equal sets are one node from the
 start.  Within a shared fragment, the sketches of blocks of sets are compared at
 once, and only the most alike pairs that would connect the fragment are counted.
-A fragment is done when its sets are in one component or every pair across
-components that its sketches allow has been counted, so no link between
-components is missed.  Links within a component are not all counted: the result
-has components, no number of links.
+Of the fragments that a pair shares only the least one answers for it, which is
+told by the ``LEAST_KEYS`` least fragments of either set, so near copies, which
+share most of theirs, are proposed once.  A fragment is done when its sets are
+in one component or every pair across components that it answers for and its
+sketches allow has been counted, so no link between components is missed.  Links
+within a component are not all counted: the result has components, no number of
+links.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +52,9 @@ SKETCH_BITS = 4096
 FIRST_FRAGMENTS, PAIRS = 3, 64
 #: Rows, blocks and pairs that a part of a table between has.
 BLOCKS, PAIRS_PER_PART = 2000, 20_000
+#: Of each set's fragments, how many of the least go along with its sketch.  Two
+#: sets that have none of these in common are proposed by each fragment they share.
+LEAST_KEYS = 6
 #: Shares of the fragments that are looked at one after another: the sketches
 #: that go along with fragments are on disk for one share at a time.
 SHARES = 3
@@ -218,11 +225,16 @@ def _fold(rows: np.ndarray, words: int) -> np.ndarray:
 
 
 class _Members:
-    """Some sets of a fragment: node, size, label and sketch of each."""
+    """Some sets of a fragment: node, size, label, sketch and least fragments of each."""
 
     def __init__(self, rows: pa.StructArray):
         self.node, self.n, self.label = (rows.field(k).to_numpy() for k in range(3))
         sketches = rows.field(3).to_pylist()
+        least = rows.field(4)
+        lengths = pc.list_value_length(least).to_numpy()
+        self.least = np.zeros((len(lengths), LEAST_KEYS), np.int64)
+        self.filled = np.arange(LEAST_KEYS) < lengths[:, None]
+        self.least[self.filled] = least.flatten().to_numpy()
         lengths = np.array([len(x) for x in sketches])
         self.groups = [
             (at, np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1))
@@ -252,6 +264,20 @@ def within_reach(x: _Members, y: _Members, num: int, den: int, same: bool) -> tu
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
+def answers(x: _Members, y: _Members, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Which of the pairs (i in ``x``, j in ``y``) the fragment ``key`` proposes:
+    those of which it is the least common fragment, and those whose least
+    fragments don't tell.  The least key in both lists is the least of all that
+    both sets have, as a lesser one would be in both lists, too."""
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        both = (x.least[a][:, :, None] == y.least[b][:, None, :]) & x.filled[a][:, :, None] & y.filled[b][:, None, :]
+        lesser = both.any(2) & (x.least[a] < key)
+        out[k : k + (1 << 16)] = ~lesser.any(1)
+    return out
+
+
 def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Which of the edges (a, b), taken in order, join what isn't joined yet."""
     top: dict[int, int] = {}
@@ -282,6 +308,9 @@ def _propose(most: int, num: int, den: int):
                 same = not ys[r].is_valid
                 y = x if same else _Members(ys[r].values)
                 i, j, least = within_reach(x, y, num, den, same)
+                if most:
+                    own = answers(x, y, i, j, keys[r])
+                    i, j, least = i[own], j[own], least[own]
                 if not len(i):
                     continue
                 a, b = np.minimum(x.node[i], y.node[j]), np.maximum(x.node[i], y.node[j])
@@ -337,7 +366,7 @@ def _block_pairs(left: DataFrame, label: DataFrame | None, sketches: DataFrame)
         deal = deal * 2 + (F.col("label") != F.col("main")).cast("int")
     rows = now.join(per.select("key", "size", "main"), "key").select("key", "node", "label", deal.alias("block")).join(sketches, "node")
     blocks = written(rows.groupBy("key", "block").agg(
-        F.collect_list(F.struct("node", "n", "label", "hashes")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+        F.collect_list(F.struct("node", "n", "label", "hashes", "least_keys")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
     drop_shuffles(left.sparkSession)
     # Only fragments of several blocks meet; most have one.
     counted = blocks.groupBy("key").agg(F.min("block").alias("least"), F.count("*").alias("n"))
@@ -360,7 +389,6 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     them, until each pair that the sketches allow has been counted or its sets
     are connected."""
     spark = kept.sparkSession
-    sketches = sets.where("part < 0").select("node", "n", "hashes")
     # Fragments of the same sets are one.
     digest = kept.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     one = digest.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
@@ -368,6 +396,9 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     drop_shuffles(spark)
     left = written(in_parts(kept.select("key", "node", size).join(one, "key"), kept.count(), ROWS), "fragments")
     n = left.count()
+    order = F.row_number().over(Window.partitionBy("node").orderBy("key"))
+    least = left.withColumn("rank", order).where(F.col("rank") <= LEAST_KEYS).groupBy("node").agg(F.collect_list("key").alias("least_keys"))
+    sketches = written(in_parts(sets.where("part < 0").select("node", "n", "hashes").join(least, "node"), n, ROWS), "sketches")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "key"))
     near = written(in_parts(left.withColumn("rank", rank).where(F.col("rank") <= FIRST_FRAGMENTS).drop("rank"), n, ROWS), "fragments")
     links = tested = label = None
@@ -391,11 +422,12 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             links = good if links is None else links.union(good)
             label = components(links)
         if most and found.where("more").limit(1).count() == 0:
+            discard(spark, sketches)
             return label
         if most == 0:
             discard(spark, near)
-        else:  # what has no pair within reach now has none later
-            rest = written(in_parts(left.join(found.select("key").distinct(), "key", "left_semi"), n, ROWS), "fragments")
+        else:  # a fragment of which no pair was left out has all its pairs counted
+            rest = written(in_parts(left.join(found.where("more").select("key").distinct(), "key", "left_semi"), n, ROWS), "fragments")
             discard(spark, left)
             left = rest
         for x in made:

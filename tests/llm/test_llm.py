@@ -251,6 +251,51 @@ def test_ngram_join_of_large_families(spark, monkeypatch, block_bytes):
     assert by_row(ngram_join.ngram_join(d), "doc_id", "n_shingles", "component_id") == brute_components(rows, 4, 85, 100)
 
 
+def _members(rows):
+    return ngram_join._Members(pa.array(rows, pa.struct([
+        ("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("hashes", pa.binary()), ("least_keys", pa.list_(pa.int64()))])))
+
+
+def test_one_fragment_answers_for_a_pair():
+    """Of the fragments that two sets share, the least one proposes them; where
+    the least keys of both have none in common, each does."""
+    rng = random.Random(5)
+    keys = [rng.sample(range(-20, 20), rng.randint(1, 25)) for _ in range(40)]
+    all_of = _members([(i, 10, i, bytes(8), sorted(x)[: ngram_join.LEAST_KEYS]) for i, x in enumerate(keys)])
+    for a in range(40):
+        for b in range(a):
+            both = sorted({*keys[a]} & {*keys[b]})
+            said = [k for k in both if ngram_join.answers(all_of, all_of, np.array([a]), np.array([b]), k)[0]]
+            told = {*sorted(keys[a])[: ngram_join.LEAST_KEYS]} & {*sorted(keys[b])[: ngram_join.LEAST_KEYS]}
+            assert said == (both[:1] if told else both)
+
+
+def test_ngram_join_proposes_near_copies_once(spark, monkeypatch):
+    """Texts that share many fragments and don't link: proposals are about as
+    many as pairs, not as pairs times shared fragments, and what has been counted
+    doesn't come again."""
+    rows, seen, written = [], [], ngram_join.written
+    base = [f"w{i}" for i in range(120)]
+    for i in range(38):  # each two have 107 of 127 shingles in common, one less than asked for
+        own = list(base)
+        own[3 * i + 4 : 3 * i + 6] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(own)))
+
+    def keeping(df, name):
+        out = written(df, name)
+        if name in ("proposed", "pairs"):
+            seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", keeping)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(ngram_join.ngram_join(d), "doc_id", "n_shingles", "component_id") == brute_components(rows, 4, 85, 100)
+    first = ngram_join.SHARES
+    later = [n for name, n in seen[first + 1 :] if name == "proposed"]
+    pairs = [n for name, n in seen[first + 1 :] if name == "pairs"]
+    assert sum(pairs) and sum(later) <= 1.5 * sum(pairs) + 20
+
+
 def test_spanning():
     assert ngram_join.spanning(np.array([1, 2, 1, 5, 3]), np.array([2, 3, 3, 6, 5])) == [0, 1, 3, 4]
 
