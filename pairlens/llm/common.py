@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 #: What a broadcast side may take, by the sizes of its rows.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of whole texts.  Spark's 10,000 are a whole task's texts,
+#: held by the JVM, by Arrow and by Python at a time.
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, row_key, written
+from .common import TEXT_ROWS, bounded_broadcast, discard, row_key, small_batches, written
 from .texthash import _MIX, _power_tables, Spans, join_texts, mix, word_spans
 from .tokens import text_slices
+from .workers import tidy
 
 #: Every line that has a word is compared; from five words on, one edit counts.
 MIN_WORDS, NEAR_WORDS = 1, 5
@@ -169,9 +170,10 @@ def line_dedup(
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     place = F.struct("doc_id", "k", "number")
-    lines = d.mapInArrow(_lines_of(min_words), "line long, doc_id long, k long, number int, n int, p1 long, s1 long, p2 long, s2 long")
-    distinct = written(lines.groupBy("line").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("p1", "s1", "p2", "s2")]), "lines")
+    lines = d.mapInArrow(tidy(_lines_of(min_words)), "line long, doc_id long, k long, number int, n int, p1 long, s1 long, p2 long, s2 long")
+    with small_batches(spark, TEXT_ROWS):
+        distinct = written(lines.groupBy("line").agg(
+            F.min(place).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("p1", "s1", "p2", "s2")]), "lines")
     shared = (
         distinct.where(F.col("n") >= near_words).select("line", F.explode(F.array_distinct(F.array("p1", "s1", "p2", "s2"))).alias("half"))
         .groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("half")
@@ -184,7 +186,8 @@ def line_dedup(
         wanted = near.groupBy("first.doc_id", "first.k").agg(F.collect_list("first.number").alias("numbers"))
         wanted = bounded_broadcast(written(wanted.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "numbers"), "wanted"))
         own = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key"))).select("text", "numbers")
-        variants = written(own.mapInArrow(_variants_of, "variant long, place int, line long").join(near, "line"), "variants")
+        with small_batches(spark, TEXT_ROWS):
+            variants = written(own.mapInArrow(tidy(_variants_of), "variant long, place int, line long").join(near, "line"), "variants")
         entry = F.struct("first", "line")
         best = variants.groupBy("variant", "place").agg(F.min(entry).alias("best"))
         whole = best.where("place = -1").select("variant", F.col("best").alias("whole"))
@@ -196,9 +199,10 @@ def line_dedup(
             .where("by is not null and by.first < first").groupBy("line").agg(F.min("by.line").alias("by"))
         )
         met = written(met, "met")
-        words = written(own.mapInArrow(_words_of, "line long, words binary").dropDuplicates(["line"]), "words")
+        with small_batches(spark, TEXT_ROWS):
+            words = written(own.mapInArrow(tidy(_words_of), "line long, words binary").dropDuplicates(["line"]), "words")
         pairs = met.join(words, "line").join(words.select(F.col("line").alias("by"), F.col("words").alias("others")), "by")
-        gone = written(pairs.select("line", "words", "others").mapInArrow(_verified, "line long"), "gone")
+        gone = written(pairs.select("line", "words", "others").mapInArrow(tidy(_verified), "line long"), "gone")
         for x in (variants, met, words):
             discard(spark, x)
     stay = distinct if gone is None else distinct.join(gone, "line", "left_anti")
@@ -210,4 +214,4 @@ def line_dedup(
     joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left").select("row", "text", "kept")
     schema = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema
     schema = schema.add("text", "string").add("n_lines", "long").add("n_removed", "long")
-    return joined.mapInArrow(_rebuilt(min_words), schema)
+    return joined.mapInArrow(tidy(_rebuilt(min_words)), schema)

@@ -34,10 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, drop_shuffles, in_parts, small_batches, written
+from .common import TEXT_ROWS, bounded_broadcast, discard, drop_shuffles, in_parts, small_batches, written
 from .components import ROWS, components
 from .texthash import mix, shingle_sets
 from .tokens import text_slices
+from .workers import tidy
 
 #: Fragments beyond the bound, of which as many may be empty in both sets.
 SLACK = 8
@@ -132,7 +133,8 @@ def ngram_join(
                     sizes.append(len(s))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "h", "node", "n"])
 
-    nodes = written(d.mapInArrow(nodes_of, "doc_id long, h long, node long, n long"), "nodes")
+    with small_batches(spark, TEXT_ROWS):
+        nodes = written(d.mapInArrow(tidy(nodes_of), "doc_id long, h long, node long, n long"), "nodes")
     most = nodes.agg(F.max("n")).first()[0] or 0
     bounds = size_classes(num, den, most)
 
@@ -153,13 +155,14 @@ def ngram_join(
                 if keys:
                     yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), pa.array(np.concatenate(node)), pa.array(np.concatenate(meta))], names=["key", "node", "meta"])
 
-    shared = d.select("text").mapInArrow(keys_of, "key long, node long, meta long")
+    shared = d.select("text").mapInArrow(tidy(keys_of), "key long, node long, meta long")
     w = Window.partitionBy("key").orderBy("node")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Of a node that several tasks sent, one row stays; keys of one node go.
-    met = written(
-        shared.select("*", F.lag("node").over(w).alias("before"), F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"), F.count("*").over(whole).alias("size"))
-        .where("lo < hi and (before is null or before <> node)").select("key", "node", "meta", "size"), "met")
+    with small_batches(spark, TEXT_ROWS):
+        met = written(
+            shared.select("*", F.lag("node").over(w).alias("before"), F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi"), F.count("*").over(whole).alias("size"))
+            .where("lo < hi and (before is null or before <> node)").select("key", "node", "meta", "size"), "met")
     # Partners share ``need`` keys, so without the need - 1 most frequent ones of
     # each, in an order that is the same for all, they still share one.
     rare = Window.partitionBy("node", "meta").orderBy("size", "key")
@@ -214,8 +217,9 @@ def _sets(d: DataFrame, nodes: DataFrame, kept: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["node", "part", "n", "hashes"])
 
     found = d.join(bounded_broadcast(ids.drop("c")), d["doc_id"].eqNullSafe(ids["doc_id"]) & (d["h"] == ids["h"])).select("text", "node")
-    out = found.mapInArrow(parts_of, "node long, part int, n long, hashes binary")
-    return written(out.dropDuplicates(["node", "part"]) if again else out, "sets")
+    out = found.mapInArrow(tidy(parts_of), "node long, part int, n long, hashes binary")
+    with small_batches(d.sparkSession, TEXT_ROWS):
+        return written(out.dropDuplicates(["node", "part"]) if again else out, "sets")
 
 
 def _fold(rows: np.ndarray, words: int) -> np.ndarray:
@@ -344,7 +348,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     parts = []
     for p in range(COUNT_FRAGMENTS):  # one after another, so a part's hashes alone are shuffled at a time
         both = pairs.join(side("a", "na", "x").where(F.col("part") == p), "a").join(side("b", "nb", "y").where(F.col("part") == p).drop("part"), "b").select("a", "b", "na", "nb", "x", "y")
-        parts.append(written(both.mapInArrow(count, "a long, b long, na long, nb long, part long"), "overlaps"))
+        with small_batches(pairs.sparkSession, TEXT_ROWS):
+            parts.append(written(both.mapInArrow(tidy(count), "a long, b long, na long, nb long, part long"), "overlaps"))
         drop_shuffles(pairs.sparkSession)
     total = reduce(DataFrame.unionAll, parts).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
     return total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
@@ -409,7 +414,7 @@ def _settle(kept: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             share = (left if most else near).where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == k)
             blocks, pairs = _block_pairs(share, label, sketches)
             with small_batches(spark, 256):
-                made.append(written(pairs.mapInArrow(_propose(most, num, den), "key long, a long, b long, more boolean"), "proposed"))
+                made.append(written(pairs.mapInArrow(tidy(_propose(most, num, den)), "key long, a long, b long, more boolean"), "proposed"))
             discard(spark, blocks)
         found = reduce(DataFrame.unionAll, made)
         new = found.select("a", "b").distinct()

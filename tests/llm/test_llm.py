@@ -296,6 +296,27 @@ def test_ngram_join_proposes_near_copies_once(spark, monkeypatch):
     assert sum(pairs) and sum(later) <= 1.5 * sum(pairs) + 20
 
 
+def test_join_and_lines_read_texts_in_small_batches(spark, docs, monkeypatch):
+    """A batch holds some of a task's texts, and a task's memory goes with it."""
+    from pairlens.llm import workers
+    from pairlens.llm.common import TEXT_ROWS
+
+    sizes = {}
+    for module in (ngram_join, line_dedup):
+        def noting(df, name, written=module.written):
+            sizes[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+            return written(df, name)
+
+        monkeypatch.setattr(module, "written", noting)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ngram_join.ngram_join(docs).count()
+    line_dedup.line_dedup(docs).count()
+    assert {sizes[x] for x in ("nodes", "met", "sets", "overlaps", "lines", "variants", "words")} == {TEXT_ROWS}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    keep = lambda batches: (workers.per_stage("powers", list) for _ in batches)
+    assert list(workers.tidy(keep)([1, 2])) == [[], []] and not workers._kept
+
+
 def test_spanning():
     assert ngram_join.spanning(np.array([1, 2, 1, 5, 3]), np.array([2, 3, 3, 6, 5])) == [0, 1, 3, 4]
 
