@@ -303,15 +303,16 @@ def test_join_and_lines_read_texts_in_small_batches(spark, docs, monkeypatch):
 
     sizes = {}
     for module in (ngram_join, line_dedup):
-        def noting(df, name, written=module.written):
-            sizes[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        def noting(df, name, of=module.__name__.rpartition(".")[2], written=module.written):
+            sizes[of, name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
             return written(df, name)
 
         monkeypatch.setattr(module, "written", noting)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     ngram_join.ngram_join(docs).count()
     line_dedup.line_dedup(docs).count()
-    assert {sizes[x] for x in ("nodes", "met", "sets", "overlaps", "lines", "variants", "words")} == {TEXT_ROWS}
+    texts = [("ngram_join", x) for x in ("nodes", "met", "sets", "overlaps")] + [("line_dedup", x) for x in ("lines", "variants", "words")]
+    assert {sizes[x] for x in texts} == {TEXT_ROWS}
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     keep = lambda batches: (workers.per_stage("powers", list) for _ in batches)
     assert list(workers.tidy(keep)([1, 2])) == [[], []] and not workers._kept
