@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .tokens import CACHE_ENTRIES, Encoder, byte_alphabet, text_slices, tokenizer_path
-from .workers import Bounded, per_stage
+from .tokens import CACHE_ENTRIES, Encoder, Remembered, byte_alphabet, text_slices, tokenizer_path
+from .workers import per_stage
 
 #: Bytes of texts of a chunk, and of those whose graphs are made at once; a text is never cut.
 CHUNK_BYTES, SLICE_BYTES = 1 << 23, 1 << 20
@@ -78,7 +78,7 @@ class SpacePieces:
             bytes([int(x[3:5], 16)]) if self.sp.is_byte(k) else b"" if self.sp.is_control(k) or self.sp.is_unknown(k) else x.replace(_SPACE, " ").encode()
             for k, x in enumerate(names)])
         self.lone = self.sp.piece_to_id(_SPACE)
-        self.known = Bounded(CACHE_ENTRIES)
+        self.known = Remembered(CACHE_ENTRIES)
 
     def _ids_of_new(self, new: list[str]) -> list[tuple[int, ...]]:
         made = self.sp.encode([x[1:] if x[:1] == " " else x for x in new], num_threads=1) if new else []
@@ -110,7 +110,7 @@ class Numbered:
         pieces, self.at = encoder._pieces(texts)
         numbered = pieces.dictionary_encode()
         self.index = numbered.indices.to_numpy()
-        self.flat, self.start, self.length = encoder._rows(numbered.dictionary.to_pylist())
+        self.flat, self.start, self.length = encoder._rows(numbered.dictionary)
 
     def ids(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts ``i`` to ``j`` in a row, and where each text's begin."""

@@ -2,18 +2,20 @@
 
 A file is a row of frames; a frame holds whole documents in ascending id order
 as blocks of ``BLOCK_TOKENS`` ids.  Each block starts with a fresh model and
-has a checksum of its ids, so it can be decoded alone.  Blocks of a frame are
-coded side by side, one numpy lane each.
-
-Per id the model mixes three predictions and a fallback: the id that came last
-after the same two ids (order 2), that after the same id (order 1), the counts
-of all ids seen (order 0), and an even share for ids not seen.  The weights of
-the mixture are learned: for each pair of confidences of the two contexts, what
-each prediction has earned.  One number per id goes to a carrying range coder
-with 64-bit range and 32-bit output.
-
-Frame, little-endian: magic ``TKF2``, u32 documents, u32 blocks, u64 ids, u32
-bits of an id, then i64 document ids, u8 null marks, u32 ids per document, u32
+has a checksum of its ids, so it can be decoded alone, by its frame's head.
+Blocks of a frame are coded side by side, one numpy lane each.
+
+Per id the model mixes three predictions: the id that came last after the same
+two ids (order 2), that after the same id (order 1), and all ids by how often
+the frame has them (order 0), which its head says.  The weights of the mixture
+are learned: for each pair of confidences of the two contexts, the share of ids
+that each prediction has got right, of late more than before.  One number per id
+goes to a carrying range coder with 64-bit range and 32-bit output.
+
+Frame, little-endian: magic ``TKF3``, u32 documents, u32 blocks, u64 ids, u32
+bits of an id, u32 bits of a sum of frequencies, u32 distinct ids, u32 bytes of
+the table, then the table (deflated: u32 steps from one distinct id to the next,
+u32 frequencies), i64 document ids, u8 null marks, u32 ids per document, u32
 ids, bytes and crc32 per block, the blocks' bytes, and a line feed.
 """
 
@@ -31,80 +33,113 @@ from .common import bounded_broadcast, discard, fresh_path, written
 from .tokens import encoder, tokenizer_path
 from .workers import new_stage
 
-BLOCK_TOKENS, LANES, END_ID = 4096, 1536, 2
-#: A frame of full blocks has less than 20 MB.
-FRAMES_PER_FILE = 64
-_M, _TOP = np.uint32((1 << 24) - 1), np.uint64(1 << 32)
-#: Slots of the order-1, order-2 and order-0 tables of a lane, in bits.
-_B1, _B2, _B0 = 9, 10, 10
+BLOCK_TOKENS, LANES, END_ID = 4096, 2304, 2
+#: A frame of full blocks has less than 30 MB.
+FRAMES_PER_FILE = 32
 _U = np.uint64
-_FIELDS, _LOW16 = _U(0x0001000100010001), _U(0xFFFF)
-#: What an outcome adds to its weight, and the sum at which weights are halved.
-_GAIN, _MOST = _U(24), 6000
-#: What an id adds to its slot's count, and after how many ids counts take effect.
-_COUNT, _EVERY = np.uint16(8), 64
-_S16, _S32, _S48 = _U(16), _U(32), _U(48)
-_S22, _S24, _TWELVE = np.uint32(22), np.uint32(24), np.uint32(12)
-_ONE24, _THREE24 = np.uint32(1 << 24), np.uint32(3 << 24)
-_K0, _K1, _K2, _K3 = (_U(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_M, _TOP = np.uint32((1 << 24) - 1), _U(1 << 32)
+#: Slots of the order-1 and order-2 tables of a lane, in bits.
+_B1, _B2 = 9, 10
+#: A slot has an id and, for order 1 and order 2, a confidence from 0 to 3 above.
+_ONE, _THREE = np.array([[1 << 24], [1 << 26]], np.uint32), np.array([[3 << 24], [3 << 26]], np.uint32)
+#: Weights are two 16-bit bounds in one number: order 2 has what is below the
+#: lower, order 0 what is from the upper on.  Both lose a 32nd with each id, and
+#: gain by what was right; order 1 keeps a gap, and order 0 some 480 of 65,536.
+_KEEP, _S5, _S16, _S24 = np.uint32(0x07FF07FF), np.uint32(5), np.uint32(16), np.uint32(24)
+_GAIN = np.array([2032 << 16 | 2030, 2032 << 16 | 1, 3 << 16 | 1], np.uint32)
+_LOW16, _W16, _W32 = np.uint32(0xFFFF), _U(16), _U(32)
+_K, _PAIR = _U(0x9E3779B97F4A7C15), _U(3)
+#: Steps whose slots are found at once when ids are known.
+_AHEAD = 32
+
+
+def _first_weights() -> np.ndarray:
+    """Of each pair of confidences, order 2's being the higher."""
+    upper = lambda one: (1500, 12000, 24000, 36000)[one]
+    lower = [(1000, 16000, 32000, 48000)[two] for two in range(4) for _ in range(4)]
+    return np.array([low | low + (65000 - low) * upper(k & 3) // 65000 << 16 for k, low in enumerate(lower)], np.uint32)
 
 
 class _Lanes:
-    """The models and the range of ``n`` blocks side by side.
+    """The models of ``n`` blocks side by side.
 
-    Order 2 and order 1 predict the id that came last after the same two ids
-    and the same one, with a confidence from 0 to 3.  Order 0 predicts by counts
-    of the ids seen.  ``weights`` has, per pair of confidences, how much each of
-    order 2, order 1, order 0 and an id not seen has earned, in four 16-bit
-    fields; their shares mix the predictions.
+    Order 1 and order 2 predict the id that came last after the same id and the
+    same two, with a confidence from 0 to 3, in one table of two rows of slots.
     """
 
-    def __init__(self, n: int, bits: int):
+    def __init__(self, n: int):
         lanes = np.arange(n)
-        self.at1, self.at2, self.at0 = lanes << _B1, lanes << _B2, lanes << _B0
-        self.at16, self.at_cum = lanes << 4, lanes * ((1 << _B0) + 1)
-        self.t1, self.t2 = np.full(n << _B1, _M), np.full(n << _B2, _M)
-        self.t0 = np.full(n << _B0, _M)
-        self.counts = np.ones(n << _B0, np.uint16)
-        self.cum = np.zeros((n, (1 << _B0) + 1), np.uint16)
-        self.flat_cum = self.cum.ravel()
-        self.total = np.zeros(n, _U)
-        self.weights = np.full(n << 4, 24 | 48 << 16 | 192 << 32 | 192 << 48, _U)
-        self.prev, self.prev2 = np.zeros(n, _U), np.zeros(n, _U)
-        self.range = np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
-        self.novel = _U(1 << bits)
-
-    def begin(self, t: int, a: int) -> None:
-        """Before step ``t`` of ``a`` lanes: what is predicted, and sums of weights."""
-        if t % _EVERY == 0 or t in (4, 8, 16, 32):
-            np.cumsum(self.counts.reshape(-1, 1 << _B0)[:a], 1, dtype=np.uint16, out=self.cum[:a, 1:])
-            self.total[:a] = self.cum[:a, -1]
-        if t % 32 == 0:
-            heavy = np.flatnonzero(self.weights * _FIELDS >> _S48 > _MOST)
-            self.weights[heavy] = self.weights[heavy] >> _U(1) & _U(0x7FFF7FFF7FFF7FFF) | _FIELDS
-        p = self.prev[:a]
-        self.i1 = self.at1[:a] + (p * _K1 >> _U(64 - _B1)).view(np.int64)
-        self.i2 = self.at2[:a] + ((p * _K2 + self.prev2[:a]) * _K3 >> _U(64 - _B2)).view(np.int64)
-        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.g1, self.g2 = self.v1 & _M, self.v2 & _M
-        self.iw = self.at16[:a] + ((self.v2 >> _S22 & _TWELVE) + (self.v1 >> _S24))
+        self.first = np.stack([lanes << _B1, (n << _B1) + (lanes << _B2)])
+        self.slots = np.full(n * ((1 << _B1) + (1 << _B2)), _M)
+        self.at, self.weights = lanes << 4, np.tile(_first_weights(), n)
+
+    def slots_of(self, before: np.ndarray, last: np.ndarray, a: int) -> np.ndarray:
+        """Where to look after ids of the keys ``before`` and ``last``."""
+        out = np.empty((*last.shape[:-1], 2, a), _U)
+        np.right_shift(last, _U(64 - _B1), out=out[..., 0, :])
+        np.right_shift(last + (before >> _PAIR), _U(64 - _B2), out=out[..., 1, :])
+        out = out.view(np.int64)
+        out += self.first[:, :a]
+        return out
+
+    def look(self, i: np.ndarray, a: int) -> None:
+        """What is predicted by the slots ``i``, and the weights."""
+        self.i, self.v = i, self.slots.take(i)
+        self.guess = self.v & _M
+        self.iw = self.at[:a] + ((self.v[0] | self.v[1]) >> _S24)
         self.w = self.weights.take(self.iw)
-        self.sums = self.w * _FIELDS
 
-    def end(self, a: int, x: np.ndarray, shift: np.ndarray, i0: np.ndarray) -> None:
-        """Learns that ``x`` came, by the outcome of field ``shift``."""
-        self.weights[self.iw] = self.w + (_GAIN << shift)
-        for table, i, v, hit in ((self.t1, self.i1, self.v1, self.g1 == x), (self.t2, self.i2, self.v2, self.g2 == x)):
-            # A hit adds one to the confidence, which has 2 bits above the id.
-            table[i] = np.where(hit, np.minimum(v + _ONE24, x | _THREE24), x)
-        self.t0[i0] = x
-        self.counts[i0] = self.counts.take(i0) + _COUNT
-        self.prev2[:a] = self.prev[:a]
-        self.prev[:a] = x
-
-
-def _slot(x: np.ndarray) -> np.ndarray:
-    return (x * _K0 >> _U(64 - _B0)).view(np.int64)
+    def learn(self, x: np.ndarray, hit: np.ndarray, outcome: np.ndarray) -> None:
+        """Learns that ``x`` came; ``outcome``: 0 for order 2, 1 and 2 for orders 1 and 0."""
+        w = self.w - (self.w >> _S5 & _KEEP)
+        w += _GAIN.take(outcome)
+        self.weights[self.iw] = w
+        self.slots[self.i] = np.where(hit, np.minimum(self.v + _ONE, x | _THREE), x)
+
+
+class Frequencies:
+    """Order 0: distinct ids in order, with frequencies of a sum of ``1 << bits``.
+    Without ids, all of ``bits`` bits are equally likely."""
+
+    def __init__(self, bits: int, ids: np.ndarray | None = None, frequencies: np.ndarray | None = None):
+        self.bits, self.ids, self.frequencies = bits, ids, frequencies
+        if ids is not None:
+            self.starts = np.cumsum(frequencies, dtype=_U) - frequencies.astype(_U)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Frequencies:
+        n = int(ids.max(initial=0)) + 1
+        if n <= 1 << 20:
+            counts = sum((np.bincount(ids[i : i + (1 << 20)], minlength=n) for i in range(0, len(ids), 1 << 20)), np.zeros(n, np.int64))
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(ids, return_counts=True)
+        bits = min(24, max(16, (len(found) * 4).bit_length()))
+        out = 1 + counts * ((1 << bits) - len(found)) // max(1, len(ids))
+        if len(found):
+            out[out.argmax()] += (1 << bits) - out.sum()
+        return cls(bits, found.astype(np.uint32), out.astype(np.uint32))
+
+    def by_id(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and frequencies by id."""
+        n = int(self.ids.max(initial=0)) + 1
+        start, size = np.zeros(n, _U), np.ones(n, _U)
+        start[self.ids], size[self.ids] = self.starts, self.frequencies
+        return start, size
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.concatenate([np.diff(self.ids, prepend=np.uint32(0)), self.frequencies]).astype("<u4").tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, bits: int, n: int, content: bytes) -> Frequencies:
+        try:
+            steps = np.frombuffer(zlib.decompress(content), "<u4")
+        except zlib.error:
+            steps = np.zeros(1, np.uint32)
+        if len(steps) != 2 * n or n and int(steps[n:].sum(dtype=np.int64)) != 1 << bits:
+            raise ValueError("the frame's table is damaged")
+        return cls(bits, np.cumsum(steps[:n], dtype=np.uint32), steps[n:])
 
 
 def id_bits(ids) -> int:
@@ -114,16 +149,27 @@ def id_bits(ids) -> int:
     return max(16, most.bit_length())
 
 
-def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+def _spans(lengths: np.ndarray):
+    """(from, to, lanes) for runs of steps with as many lanes; lengths descend."""
+    t = 0
+    for end in np.unique(lengths[lengths > 0]).tolist():
+        yield t, end, int(np.searchsorted(-lengths, -t, "left"))
+        t = end
+
+
+def encode_blocks(blocks: list[np.ndarray], bits: int, order0: Frequencies | None = None) -> list[bytes]:
     """The bytes of each block; blocks are in descending order of length."""
-    n, m = len(blocks), _Lanes(len(blocks), bits)
+    n, m = len(blocks), _Lanes(len(blocks))
     lengths = np.array([len(b) for b in blocks], np.int64)
     most = int(lengths.max(initial=0))
-    ids = np.zeros((most, n), np.uint32)
+    ids = np.zeros((most + 2, n), np.uint32)  # two come before the first
     for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    width = 4 + most * (bits + 13) // 32
+        ids[2 : len(b) + 2, k] = b
+    order0 = order0 or Frequencies(bits)
+    start_of, size_of = (None, None) if order0.ids is None else order0.by_id()
+    width = 4 + most * (order0.bits + 10) // 32
     out, low, size = np.zeros(n * width, np.uint32), np.zeros(n, _U), np.arange(n) * width
+    ranges, shift = np.full(n, 0xFFFFFFFFFFFFFFFF, _U), _U(order0.bits)
 
     def carry(lanes):
         at = size[lanes] - 1
@@ -131,99 +177,112 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
             out[at] += np.uint32(1)
             at = at[out[at] == 0] - 1
 
-    one, zero = _U(1), _U(0)
-    for t in range(most):
-        a = int(np.searchsorted(-lengths, -t, "left"))
-        x = ids[t, :a]
-        wide = x.astype(_U)
-        m.begin(t, a)
-        slot = _slot(wide)
-        i0 = m.at0[:a] + slot
-        old = m.t0.take(i0) == x
-        shift = np.where(m.g2 == x, zero, np.where(m.g1 == x, _S16, np.where(old, _S32, _S48)))
-        start, end = m.sums - m.w >> shift & _LOW16, m.sums >> shift & _LOW16
-        r = m.range[:a] // (m.sums >> _S48)
-        add, r = r * start, r * (end - start)
-        # Then the id itself: by its count, or, if it is new, evenly.
-        at = m.at_cum[:a] + slot
-        known, new = shift == _S32, shift == _S48
-        lo = m.flat_cum.take(at).astype(_U)
-        freq = np.where(known, m.flat_cum.take(at + 1) - lo, one)
-        r //= np.where(known, m.total[:a], np.where(new, m.novel, one))
-        add += r * np.where(known, lo, np.where(new, wide, zero))
-        rg = r * freq
-        lo = low[:a] + add
-        over = lo < add
-        if over.any():
-            carry(np.flatnonzero(over))
-        low[:a], m.range[:a] = lo, rg
-        small = np.flatnonzero(rg < _TOP)
-        lo = low[small]
-        out[size[small]] = lo >> _S32
-        size[small] += 1
-        low[small] = lo << _S32
-        m.range[small] = rg[small] << _S32
-        m.end(a, x, shift, i0)
+    for begin, end, a in _spans(lengths):
+        lo, rg = low[:a], ranges[:a]
+        for t in range(begin, end):
+            k = (t - begin) % _AHEAD
+            if k == 0:
+                part = ids[t : min(t + _AHEAD, end) + 2, :a]
+                keys = part[:-1] * _K
+                slots = m.slots_of(keys[:-1], keys[1:], a)
+                part = np.ascontiguousarray(part[2:])
+                starts, sizes = (part.astype(_U), np.ones(part.shape, _U)) if start_of is None else (start_of.take(part), size_of.take(part))
+            x = part[k]
+            m.look(slots[k], a)
+            hit = m.guess == x
+            one, two = hit
+            lower, upper = m.w & _LOW16, m.w >> _S16
+            not_two = ~two
+            rest = not_two & ~one
+            at = np.where(rest, upper, np.where(two, 0, lower))
+            till = np.where(rest, np.uint32(1 << 16), np.where(two, lower, upper))
+            m.learn(x, hit, not_two.view(np.int8) + rest.view(np.int8))
+            r = rg >> _W16
+            add = r * at
+            r *= till - at
+            # Order 0 then says which id.
+            fine = r >> shift
+            add += fine * (starts[k] * rest)
+            fine *= sizes[k]
+            np.copyto(r, fine, where=rest)
+            lo += add
+            over = lo < add
+            if over.any():
+                carry(np.flatnonzero(over))
+            small = np.flatnonzero(r < _TOP)
+            y, z = lo.take(small), size.take(small)
+            out[z] = y >> _W32
+            size[small] = z + 1
+            lo[small] = y << _W32
+            r[small] <<= _W32
+            rg[:] = r
     for _ in range(2):
-        out[size] = low >> _S32
+        out[size] = low >> _W32
         size += 1
-        low = low << _S32
+        low = low << _W32
     return [out[k * width : size[k]].astype("<u4").tobytes() for k in range(n)]
 
 
-def decode_blocks(parts: list[bytes], lengths: np.ndarray, bits: int) -> list[np.ndarray]:
-    n, m = len(parts), _Lanes(len(parts), bits)
+def decode_blocks(parts: list[bytes], lengths: np.ndarray, bits: int, order0: Frequencies | None = None) -> list[np.ndarray]:
+    n, m = len(parts), _Lanes(len(parts))
     width = max(map(len, parts), default=0) // 4 + 2
     data = np.zeros((n, width), np.uint32)
     for k, b in enumerate(parts):
         data[k, : len(b) // 4] = np.frombuffer(b, "<u4")
-    code = data[:, 0].astype(_U) << _S32 | data[:, 1]
-    data, pos = data.ravel(), np.arange(n) * width + 2
-    ids = np.zeros((int(lengths.max(initial=0)), n), np.uint32)
-    one = _U(1)
-    for t in range(len(ids)):
-        a = int(np.searchsorted(-lengths, -t, "left"))
-        m.begin(t, a)
-        c, r = code[:a], m.range[:a] // (m.sums >> _S48)
-        outcome = (c >= r * (m.sums & _LOW16)).astype(_U)
-        outcome += c >= r * (m.sums >> _S16 & _LOW16)
-        outcome += c >= r * (m.sums >> _S32 & _LOW16)
-        shift = outcome << _U(4)
-        start, end = m.sums - m.w >> shift & _LOW16, m.sums >> shift & _LOW16
-        c, r = c - r * start, r * (end - start)
-        known, new = shift == _S32, shift == _S48
-        total = np.where(known, m.total[:a], np.where(new, m.novel, one))
-        r = r // total
-        u = np.minimum(c // r, total - one)
-        x = np.where(new, u.astype(np.uint32), np.where(shift == 0, m.g2, m.g1))
-        start, freq = np.where(new, u, _U(0)), np.ones(a, _U)
-        some = np.flatnonzero(known)
-        if len(some):
-            at, want = m.at_cum[some], u[some].astype(np.uint16)
-            for k in range(_B0 - 1, -1, -1):
-                at += (m.flat_cum.take(at + (1 << k)) <= want).view(np.int8).astype(np.int64) << k
-            lo = m.flat_cum.take(at)
-            start[some], freq[some] = lo, m.flat_cum.take(at + 1) - lo
-            x[some] = m.t0.take(m.at0.take(some) + (at - m.at_cum.take(some)))
-        c, rg = c - r * start, r * freq
-        code[:a], m.range[:a] = c, rg
-        small = np.flatnonzero(rg < _TOP)
-        code[small] = c[small] << _S32 | data[pos[small]]
-        pos[small] += 1
-        m.range[small] = rg[small] << _S32
-        m.end(a, x, shift, m.at0[:a] + _slot(x.astype(_U)))
-        ids[t, :a] = x
-    return [ids[: lengths[k], k].astype("<u4") for k in range(n)]
+    codes = data[:, 0].astype(_U) << _W32 | data[:, 1]
+    data, places = data.ravel(), np.arange(n) * width + 2
+    ids = np.zeros((int(lengths.max(initial=0)) + 2, n), np.uint32)
+    order0 = order0 or Frequencies(bits)
+    even, shift, most = order0.ids is None, _U(order0.bits), _U((1 << order0.bits) - 1)
+    if not even:
+        rank_of = np.repeat(np.arange(len(order0.ids), dtype=np.int32), order0.frequencies)
+        starts, sizes = order0.starts, order0.frequencies.astype(_U)
+    ranges, key = np.full(n, 0xFFFFFFFFFFFFFFFF, _U), np.zeros(n, _U)
+    before = key
+    for begin, end, a in _spans(lengths):
+        code, rg, pos, before, key = codes[:a], ranges[:a], places[:a], before[:a], key[:a]
+        for t in range(begin, end):
+            m.look(m.slots_of(before, key, a), a)
+            r = rg >> _W16
+            lower, upper = r * (m.w & _LOW16), r * (m.w >> _S16)
+            not_two, rest = code >= lower, code >= upper
+            at = np.where(rest, upper, lower * not_two)
+            c = code - at
+            r = np.where(rest, r << _W16, np.where(not_two, upper, lower))
+            r -= at
+            fine = r >> shift
+            u = c // fine
+            np.minimum(u, most, out=u)
+            if even:
+                x0, fine_at = u.astype(np.uint32), fine * u
+            else:
+                rank = rank_of.take(u.view(np.int64))
+                x0, fine_at = order0.ids.take(rank), fine * starts.take(rank)
+                fine *= sizes.take(rank)
+            c -= fine_at * rest
+            np.copyto(r, fine, where=rest)
+            x = np.where(rest, x0, np.where(not_two, m.guess[0], m.guess[1]))
+            m.learn(x, m.guess == x, not_two.view(np.int8) + rest.view(np.int8))
+            small = np.flatnonzero(r < _TOP)
+            z = pos.take(small)
+            c[small] = c.take(small) << _W32 | data.take(z)
+            pos[small] = z + 1
+            r[small] <<= _W32
+            code[:], rg[:], ids[t + 2, :a] = c, r, x
+            before, key = key, x * _K
+    return [ids[2 : lengths[k] + 2, k].astype("<u4") for k in range(n)]
 
 
 def encode_frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One frame without its final line feed."""
     blocks = [ids[i : i + BLOCK_TOKENS] for i in range(0, len(ids), BLOCK_TOKENS)]
     bits = id_bits(blocks)
-    parts = encode_blocks(blocks, bits)
+    order0 = Frequencies.of(ids)
+    table = order0.packed()
+    parts = encode_blocks(blocks, bits, order0)
     crcs = [zlib.crc32(np.ascontiguousarray(b, "<u4").tobytes()) for b in blocks]
     return b"".join([
-        b"TKF2", struct.pack("<IIQI", len(doc_ids), len(blocks), len(ids), bits),
+        b"TKF3", struct.pack("<IIQIIII", len(doc_ids), len(blocks), len(ids), bits, order0.bits, len(order0.ids), len(table)), table,
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         np.asarray(counts, "<u4").tobytes(), np.array([len(b) for b in blocks], "<u4").tobytes(),
         np.array([len(p) for p in parts], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), *parts,
@@ -235,17 +294,18 @@ def decode_frames(content: bytes):
     checksum differs."""
     at = 0
     while at < len(content):
-        if content[at : at + 4] != b"TKF2":
+        if content[at : at + 4] != b"TKF3":
             raise ValueError(f"no frame at byte {at}")
-        docs, blocks, total, bits = struct.unpack_from("<IIQI", content, at + 4)
-        at += 24
+        docs, blocks, total, bits, sum_bits, distinct, size = struct.unpack_from("<IIQIIII", content, at + 4)
+        at += 36 + size
+        order0 = Frequencies.unpacked(sum_bits, distinct, content[at - size : at])
         fields = []
         for kind, k in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks), ("<u4", blocks)):
             fields.append(np.frombuffer(content, kind, k, at))
             at += fields[-1].nbytes
         doc_ids, null, counts, lengths, sizes, crcs = fields
         ends = at + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        got = decode_blocks([content[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], lengths.astype(np.int64), bits)
+        got = decode_blocks([content[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], lengths.astype(np.int64), bits, order0)
         for k, b in enumerate(got):
             if zlib.crc32(b.tobytes()) != crcs[k]:
                 raise ValueError(f"block {k} of the frame is damaged")

@@ -17,18 +17,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .workers import Bounded, per_stage
+from .workers import per_stage
 
-#: Distinct pieces that a worker remembers, of about 200 bytes each.
-CACHE_ENTRIES = 300_000
+#: Distinct pieces that a worker remembers, of some 40 bytes each, and the longest, in bytes.
+CACHE_ENTRIES, CACHE_LONGEST = 1_000_000, 64
 #: Characters of texts whose pieces are numbered at once, and put together at once.
-NUMBERED, JOINED = 1 << 23, 1 << 20
+NUMBERED, JOINED = 1 << 24, 1 << 20
 _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Special tokens and white space beyond ASCII's usual six: such a text is encoded in one piece.
 _ODD = r"<\||[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Besides these, texts with runs of white space, or other than blanks and line feeds.
 _RUNS = r"[\t\x0b-\r]|[ \n][ \n]"
-_CUT = "([0-9A-Za-z])([.,;:!?])"
+#: A Latin letter or digit and a mark of ASCII: both pre-tokenizers part them, and a contraction begins with its mark.
+_CUT = r"([0-9A-Za-zÀ-ÖØ-öø-ſ])([!-/:-@\[-`{-~])"
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,6 +46,39 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` in a row."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Remembered:
+    """Pieces and their ids in a row: Arrow looks pieces up in far less memory
+    than a dictionary takes.  If they would be more than ``most``, those of the
+    last call alone stay; it may have more."""
+
+    def __init__(self, most: int):
+        self.most, self.pieces = most, None
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Each piece's place, -1 for what isn't known."""
+        if self.pieces is None:
+            return np.full(len(pieces), -1, np.int64)
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+
+    def add(self, pieces: pa.Array, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        short = pc.less_equal(pc.binary_length(pieces), CACHE_LONGEST)
+        at = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+        pieces, start, length = pieces.filter(short), start[at], length[at]
+        flat, own = gathered(flat, start, length), np.cumsum(length) - length
+        if self.pieces is None:
+            self.pieces, self.flat, self.start, self.length = pieces, flat, own, length
+        else:
+            self.start, self.length = np.concatenate([self.start, own + len(self.flat)]), np.concatenate([self.length, length])
+            self.pieces, self.flat = pa.concat_arrays([self.pieces, pieces]), np.concatenate([self.flat, flat])
+
+
 class Encoder:
     """``drop_space``: the vocabulary's normaliser drops white space and lowers
     letters.  ``separator``: a special token that parts pieces which are
@@ -58,7 +92,7 @@ class Encoder:
         self.model = self.tok.model
         self.drop_space = drop_space
         self.separator, self.sep_id = separator, self.tok.token_to_id(separator)
-        self.known = Bounded(CACHE_ENTRIES)
+        self.known = Remembered(CACHE_ENTRIES)
         self.bytes = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
 
     def _ids_of_new(self, new: list[str]) -> list[tuple[int, ...]]:
@@ -128,17 +162,27 @@ class Encoder:
         lists.append(pieces.slice(before))
         return pa.concat_arrays(lists), np.concatenate([[0], np.cumsum(n)])
 
-    def _rows(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _rows(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces in a row, and each one's start and length."""
-        ids = [*map(self.known.get, distinct)]
-        at = [k for k, x in enumerate(ids) if x is None]
-        own = {distinct[k]: x for k, x in zip(at, self._ids_of_new([distinct[k] for k in at]), strict=True)}
-        for k in at:
-            ids[k] = own[distinct[k]]
-        self.known.update(own)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        return flat, np.cumsum(lengths) - lengths, lengths
+        known = self.known
+        at = known.find(distinct)
+        new = np.flatnonzero(at < 0)
+        pieces = distinct.take(pa.array(new))
+        ids = self._ids_of_new(pieces.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        start = np.cumsum(length) - length
+        at[new] = len(known.start) + np.arange(len(new))
+        lengths = np.concatenate([known.length, length])[at]
+        starts = np.concatenate([known.start, start + len(known.flat)])[at]
+        own = gathered(np.concatenate([known.flat, flat]), starts, lengths)
+        starts = np.cumsum(lengths) - lengths
+        if len(known.start) + len(new) > known.most:
+            self.known = Remembered(known.most)
+            self.known.add(distinct, own, starts, lengths)
+        elif len(new):
+            known.add(pieces, flat, start, length)
+        return own, starts, lengths
 
     def encode(self, texts: pa.Array):
         """(from, to, ids, counts) for runs of the rows: all their ids in a row,
@@ -148,7 +192,7 @@ class Encoder:
             pieces, at = self._pieces(texts.slice(i, j - i))
             numbered = pieces.dictionary_encode()
             index = numbered.indices.to_numpy()
-            flat, start, length = self._rows(numbered.dictionary.to_pylist())
+            flat, start, length = self._rows(numbered.dictionary)
             del pieces, numbered
             for a, b in text_slices(texts.slice(i, j - i), JOINED):
                 which = index[at[a] : at[b]]

@@ -60,17 +60,3 @@ def tidy(run: Callable) -> Callable:
         release()
 
     return tidied
-
-
-class Bounded(dict):
-    """A dictionary that starts anew before it holds over ``most`` entries; a
-    single update may."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-
-    def update(self, more: dict) -> None:
-        if len(self) + len(more) > self.most:
-            self.clear()
-        super().update(more)

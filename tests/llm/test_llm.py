@@ -119,6 +119,52 @@ def test_encoder_in_small_steps(name, monkeypatch):
     assert got == [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_parts_words_and_marks(name, monkeypatch):
+    """A word with marks after it is no piece of its own, and ids stay the library's."""
+    e, words, seen = tokens.Encoder(tokens.tokenizer_path(name), drop_space=name.startswith("word")), ["onan", "whtish", "né", "x1"], []
+    monkeypatch.setattr(e, "_ids_of_new", lambda new, f=e._ids_of_new: seen.extend(new) or f(new))
+    texts = [" " + w + m for w in words for m in ["$$$", "***", "&&&", "###", "%%%", '"', ")"]]
+    list(e.encode(pa.array(texts)))
+    assert len([x for x in seen if x]) == len(words) + 7
+    odd = [f"a{c}b{c}{c} é{c}1{c}'s it{c}s ß{c}'ll{c}'" for c in map(chr, range(33, 127)) if not c.isalnum()]
+    got = [x.tolist() for i, j, ids, n in e.encode(pa.array(odd)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [e.tok.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_remembered_pieces():
+    known = tokens.Remembered(4)
+    long = "x" * (tokens.CACHE_LONGEST + 1)
+    assert known.find(pa.array(["a"])).tolist() == [-1]
+    known.add(pa.array(["a", long, "b"]), np.arange(6, dtype=np.uint32), np.array([0, 1, 4]), np.array([1, 3, 2]))
+    known.add(pa.array(["c"]), np.array([7], np.uint32), np.array([0]), np.array([1]))
+    at = known.find(pa.array(["c", long, "b", "a"]))
+    assert at.tolist() == [2, -1, 1, 0]
+    assert tokens.gathered(known.flat, known.start[at[[0, 2, 3]]], known.length[at[[0, 2, 3]]]).tolist() == [7, 4, 5, 0]
+    e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    e.known = tokens.Remembered(2)
+    for words in (["one two"], ["three four five"], ["five one"]):  # beyond its bound the last call's stay
+        assert next(e.encode(pa.array(words)))[2].tolist() == e.tok.encode(words[0], add_special_tokens=False).ids
+    assert e.known.pieces.to_pylist() == ["five", " one"]
+
+
+def test_coder_knows_a_frames_ids():
+    """Order 0 goes by the ids of the frame: an id that is new to a block takes
+    no more than others, and any ids come back."""
+    ids = np.random.default_rng(4).integers(40000, 43000, 40960).astype(np.uint32)
+    frame = token_store.encode_frame([7], np.array([len(ids)]), ids)
+    assert 8 * len(frame) < 13 * len(ids)
+    assert (next(token_store.decode_frames(frame + b"\n"))[2] == ids).all()
+    bad = bytearray(frame + b"\n")
+    bad[45] ^= 255  # of the table
+    with pytest.raises(ValueError):
+        list(token_store.decode_frames(bytes(bad)))
+    rng = np.random.default_rng(5)
+    for some in (np.array([2], np.uint32), rng.integers(0, (1 << 24) - 2, 70000).astype(np.uint32), rng.zipf(1.3, 9000).clip(0, 1 << 22).astype(np.uint32)):
+        got = next(token_store.decode_frames(token_store.encode_frame([None], np.array([len(some)]), some) + b"\n"))
+        assert got[0] == [None] and (got[2] == some).all()
+
+
 def test_coder_on_text_and_on_runs():
     """Blocks of unequal length and of any ids come back; a text's ids take far
     fewer than their 16 bits, and long carries are passed on."""
