@@ -150,15 +150,26 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of tokens that share a byte: one for each stretch between
     neighbouring ends of either, in order.  Both cover the same bytes."""
-    ends = np.union1d(ends_a, ends_b)
+    if all((np.diff(ends, prepend=0) > 0).all() for ends in (ends_a, ends_b)):
+        # Marks at the bytes where tokens end: those before a stretch number its token.
+        size = int(ends_a[-1]) if len(ends_a) else 0
+        marks = np.zeros((2, size), bool)
+        marks[0, ends_a - 1] = marks[1, ends_b - 1] = True
+        at = np.flatnonzero(marks[0] | marks[1])
+        x, y = marks[0, at], marks[1, at]
+        return np.cumsum(x) - x, np.cumsum(y) - y
+    ends = np.union1d(ends_a, ends_b)  # tokens without a byte have no stretch
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
-def _digits(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _blob([str(k).encode() for k in range(most)])
+def _digits(most: int) -> np.ndarray:
+    """Decimal digits of all numbers below ``most``, each with zero bytes before
+    and one after them."""
+    width = len(str(max(0, most - 1)))
+    return np.array([str(k).rjust(width, "\0") + "\0" for k in range(most)], f"S{width + 1}").view(np.uint8).reshape(most, width + 1)
 
 
-def group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: np.ndarray, digits) -> list[bytes]:
+def group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: np.ndarray, digits: np.ndarray) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` of each text.  ``group_a`` and ``group_b`` number the
     groups over all texts; ``groups``: where each text's begin."""
     n = len(a) + len(b)
@@ -171,14 +182,29 @@ def group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.n
     last = np.cumsum(na + nb) - 1
     mark[last - nb] = 124  # |
     mark[last] = 59  # ;
-    data, start, length = digits
-    size = length[token] + 1
-    ends = np.cumsum(size)
-    out = data[np.minimum(np.repeat(start[token] - ends + size, size) + np.arange(ends[-1] if n else 0), len(data) - 1)]
-    out[ends - 1] = mark
-    raw = out.tobytes()
-    border = np.concatenate([[0], ends[last]])[groups] if total else np.zeros(len(groups), np.int64)
-    return [raw[i : j - 1] for i, j in zip(border[:-1].tolist(), border[1:].tolist(), strict=True)]
+    said = digits.take(token, 0)
+    said[:, -1] = mark
+    raw = said.tobytes()
+    border = np.concatenate([[0], last + 1])[groups] * digits.shape[1]
+    return [raw[i:j].translate(None, b"\0")[:-1] for i, j in zip(border[:-1].tolist(), border[1:].tolist(), strict=True)]
+
+
+def pairs_of_texts(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, text) of links, by text and pair, and how many links each
+    has.  A pair is ``a << 32 | b``."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (text, a, b)]
+    if sum(bits) < 64:  # one number each is sorted many times faster
+        key = np.sort(text << bits[1] + bits[2] | a << bits[2] | b)
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        at = key[new]
+        text, pair = at >> bits[1] + bits[2], (at >> bits[2] & (1 << bits[1]) - 1) << 32 | at & (1 << bits[2]) - 1
+    else:
+        key = a << 32 | b
+        order = np.lexsort((key, text))
+        key, text = key[order], text[order]
+        new = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+        pair, text = key[new], text[new]
+    return pair, text, np.diff(np.append(new, len(key)))
 
 
 def _aligned(texts: pa.Array, one: Numbered, two: Numbered, i: int, j: int, bytes_a, bytes_b, digits, digest: bool):
@@ -207,8 +233,7 @@ def _aligned(texts: pa.Array, one: Numbered, two: Numbered, i: int, j: int, byte
         return zero, zero, zero, zero, [""] * (j - i), (a, b, a)
     x, y = links_of(ends_a, ends_b)
     top = components(len(a) + len(b), x, y + len(a))
-    first = np.zeros(len(top), bool)
-    first[np.unique(top)] = True
+    first = top == np.arange(len(top))
     number = np.cumsum(first) - 1  # the least token of a group is an A token, so groups are in order
     group_a, group_b = number[top[: len(a)]], number[top[len(a) :]]
     total = int(first.sum())
@@ -260,12 +285,8 @@ def align(
                     counts[:, rows[i:j]] = numbers
                     for k, s in zip(rows[i:j].tolist(), names, strict=True):
                         groups[k] = s
-                    # Distinct pairs of each text, with how many links each has.
-                    key, order = a << 32 | b, None
-                    order = np.lexsort((key, text))
-                    key, text = key[order], text[order]
-                    new = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(text) != 0)])) if len(key) else np.zeros(0, np.int64)
-                    seen.append((key[new], rows[i:j][text[new]], np.diff(np.append(new, len(key)))))
+                    pair, text, times = pairs_of_texts(a, b, text)
+                    seen.append((pair, rows[i:j][text], times))
                 keys, texts_of, times = (np.concatenate(c) for c in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64),) * 3
                 distinct, place, holders = np.unique(keys, return_inverse=True, return_counts=True)
                 border = np.searchsorted(texts_of, np.arange(hi - lo + 1))

@@ -278,3 +278,39 @@ def test_new_queries(spark):
         assert sorted(f"{c} {t}" for c, t in out.dtypes) == sorted(kinds.split(", "))
         assert out.count() == docs or name.startswith("op12")
     assert queries.op11_mixing(spark, sf).agg(F.sum("taken")).first()[0] > 0
+
+
+def test_links_of_any_ends():
+    """One link per stretch between neighbouring ends, by marks as by search,
+    tokens without a byte included."""
+    rng = np.random.default_rng(3)
+    for least in (1, 0):
+        for _ in range(50):
+            a, b = (np.cumsum(rng.integers(least, 5, rng.integers(1, 30))) for _ in range(2))
+            end = max(a[-1], b[-1]) + 1
+            a, b = np.append(a, end), np.append(b, end)
+            x, y = alignment.links_of(a, b)
+            want = [(sum(e < s for e in a), sum(e < s for e in b)) for s in sorted({*a.tolist(), *b.tolist()} - {0})]
+            assert [p for p, s in zip(zip(x.tolist(), y.tolist(), strict=True), np.union1d(a, b), strict=True) if s] == want
+    assert [z.tolist() for z in alignment.links_of(a[:0], b[:0])] == [[], []]
+
+
+@pytest.mark.parametrize("most", [9, (1 << 31) - 1])
+def test_pairs_of_texts(most):
+    """Each text's distinct pairs and their links, of small ids and of any."""
+    rng = np.random.default_rng(6)
+    a, b = (np.append(rng.integers(0, 9, 400), most) for _ in range(2))
+    text = np.sort(np.append(rng.integers(0, 7, 400), 7))
+    pair, of, times = alignment.pairs_of_texts(a, b, text)
+    got = list(zip(of.tolist(), (pair >> 32).tolist(), (pair & (1 << 32) - 1).tolist(), times.tolist(), strict=True))
+    want = collections.Counter(zip(text.tolist(), a.tolist(), b.tolist(), strict=True))
+    assert got == [(*k, want[k]) for k in sorted(want)]
+    empty = np.zeros(0, np.int64)
+    assert [len(x) for x in alignment.pairs_of_texts(empty, empty, empty)] == [0, 0, 0]
+
+
+def test_group_texts_of_ids_of_any_width():
+    digits = alignment._digits(1001)
+    a, b, of = np.array([0, 1000, 7, 10]), np.array([5, 60, 999]), lambda *x: np.array(x)
+    got = alignment.group_texts(a, b, of(0, 0, 1, 2), of(0, 1, 2), of(0, 2, 2, 3), digits)
+    assert got == [b"0,1000|5;7|60", b"", b"10|999"]
