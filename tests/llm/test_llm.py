@@ -759,6 +759,49 @@ def test_line_dedup_compares_short_lines(spark):
     assert sum(r.n_removed for r in line_dedup.line_dedup(d, min_words=5, near_words=8).collect()) == 0
 
 
+@pytest.mark.parametrize("near_words", [2, 5, 30])
+def test_line_dedup_of_long_lines(spark, near_words):
+    rng = random.Random(near_words)
+    rows = []
+    for i in range(70):
+        w = [f"w{rng.randrange(3 if i % 7 == 0 else 500)}" for _ in range(i + 1)]
+        lines = [w]
+        for p in {0, i, i // 2, rng.randrange(i + 1), max(i // 2 - 1, 0)}:
+            lines += [w[:p] + w[p + 1 :], w[:p] + [f"x{p}"] + w[p + 1 :], w[:p] + [f"y{p}"] + w[p:]]
+        rng.shuffle(lines)
+        rows += [(3 * i + k, "\n".join(" ".join(x) for x in lines[k::3])) for k in range(3)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["row"].doc_id: r.text for r in line_dedup.line_dedup(d, near_words=near_words).collect()}
+    assert got == brute_lines(rows, 1, near_words)
+
+
+def test_line_dedup_makes_few_variants_and_carries_a_text_once(spark, monkeypatch, tmp_path):
+    """Lines that share their first words emit no deletions among these, only
+    variants of several lines are compared, and the last join has the columns
+    that are asked for, each once."""
+    seen, written = {}, line_dedup.written
+
+    def noting(df, name):
+        out = written(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", noting)
+    words = lambda i: [f"w{i}x{j}" for j in range(39)]
+    rows = [(2 * i + k, " ".join([*words(i), end]), "xx") for i in range(20) for k, end in enumerate(("one", "two"))]
+    rows += [(100 + i, " ".join([*words(100 + i), "three"]), "xx") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, tongue string").write.parquet(str(tmp_path / "d"))
+    out = line_dedup.line_dedup(spark.read.parquet(str(tmp_path / "d")))
+    assert seen["variants"] <= 40 * 28 and seen["meeting"] == 40
+    assert {r["row"].doc_id for r in out.where("n_removed = 1").collect()} == set(range(1, 40, 2))
+    plan = out.select("row.doc_id", "text", "n_removed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tongue" not in plan.split("Relation")[0] and plan.count("ArrowEvalPython") == 1
+    # A predicate on what is found is no second call.
+    plan = out.where("n_removed = 0 or text rlike 'a'").select("row.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize(("x", "y", "near"), [("abc", "abc", True), ("abc", "ac", True), ("abc", "abxc", True), ("abc", "abd", True), ("abcd", "acbd", False), ("ab", "abcd", False), ("aab", "ab", True)])
 def test_within_one(x, y, near):
     assert line_dedup.within_one(np.array(list(x)), np.array(list(y))) is near
